@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["selection"]
+MODULES = ["selection", "evaluation", "normalisation"]
 
 
 def load():

@@ -76,6 +76,28 @@ def covers(quad: Sequence[XY], px: Column, py: Column) -> Column:
     return (reduce(add, odd) % 2 == 1) | reduce(or_, on_edge)
 
 
+def turning(quad: Sequence[XY]) -> Column:
+    """1 for a convex outline drawn counter-clockwise, -1 for a convex clockwise one, 0 for anything else."""
+    bends = []
+    for i in range(4):
+        (ax, ay), (bx, by), (cx, cy) = quad[i], quad[(i + 1) % 4], quad[(i + 2) % 4]
+        bends.append(F.signum((bx - ax) * (cy - by) - (by - ay) * (cx - bx)))
+    return F.when(F.least(*bends) > 0, 1).when(F.greatest(*bends) < 0, -1).otherwise(0)
+
+
+def left_turns(quad: Sequence[XY], px: Column, py: Column) -> list[Column]:
+    """Twice the area between each edge and a point: positive to the left of the edge.
+
+    For a convex counter-clockwise quad the point is covered when none is negative, and divided by the edges' lengths
+    the least of them is the distance to the outline.
+    """
+    return [(bx - ax) * (py - ay) - (px - ax) * (by - ay) for (ax, ay), (bx, by) in _edges(quad)]
+
+
+def edge_lengths(quad: Sequence[XY]) -> list[Column]:
+    return [distance(*a, *b) for a, b in _edges(quad)]
+
+
 def inside(quad: Sequence[XY], px: Column, py: Column) -> Column:
     """Even-odd test alone; a point on the outline may go either way."""
     odd = []

@@ -16,6 +16,19 @@ def grouped(value: Column, digits: int) -> Column:
     return F.format_number(F.round(value, digits), digits)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed decimals of a number from 0 up to 256, rounded on its exact binary value, halves up.
+
+    The formatter rounds the shortest decimal form instead, which differs for every 0.xx5.
+    """
+    scale, unit = 10**digits, 2**55
+    exact = (value * F.lit(float(unit))).cast("long").cast("decimal(38,0)")
+    doubled = exact * F.lit(2 * scale).cast("decimal(8,0)") + F.lit(unit).cast("decimal(20,0)")
+    whole = F.lit(2 * unit).cast("decimal(20,0)")
+    steps = ((doubled - doubled % whole).cast("decimal(38,0)") / whole).cast("long")
+    return F.format_string(f"%.{digits}f", steps.cast("double") / F.lit(float(scale)))
+
+
 def _by_size(value: Column, limit: float, small: int, large: int) -> Column:
     return F.when(F.abs(value) < limit, grouped(value, small)).otherwise(grouped(value, large))
 

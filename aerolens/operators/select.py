@@ -10,7 +10,7 @@ from aerolens.functions import quads
 from aerolens.functions.angles import bearing_gap, compass_name, full_turn, js_round, round_to
 from aerolens.functions.crs import grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.rings import overlap_inclusive
-from aerolens.functions.text import iso_utc, sidecar
+from aerolens.functions.text import fixed, iso_utc, sidecar
 from aerolens.operators.gridjoin import points_in_shapes
 from aerolens.operators.skew import with_neighbours
 
@@ -30,40 +30,71 @@ PICK_COLUMNS = (
 
 
 def with_outline_terms(frames: DataFrame) -> DataFrame:
-    """Once per frame: box, centroid, square root of the area, and middle height of its footprint."""
+    """Once per frame: box, centroid, square root of the area, middle height and convexity of its footprint."""
     q, zs = quads.corners(), quads.heights()
     xmin, ymin, xmax, ymax = quads.bbox(q)
     cx, cy = quads.centroid(q)
     return frames.withColumns(
         {
             "xmin": xmin, "ymin": ymin, "xmax": xmax, "ymax": ymax, "cen_x": cx, "cen_y": cy,
-            "sqrt_area": F.sqrt(quads.area(q)), "z_mid": quads.z_middle(zs),
+            "sqrt_area": F.sqrt(quads.area(q)), "z_mid": quads.z_middle(zs), "turning": quads.turning(q),
         }
     )
 
 
 def _slim(frames: DataFrame) -> DataFrame:
-    """Only what selection needs of a frame, renamed so that it cannot clash with the points."""
-    if "cen_x" not in frames.columns:
+    """Only what selection needs of a frame, renamed so that it cannot clash with the points.
+
+    Corners of a convex footprint come counter-clockwise. The numbers the pair test reads are made non-nullable, which
+    keeps the generated join condition small enough for the JVM to compile.
+    """
+    if "turning" not in frames.columns:
         frames = with_outline_terms(frames)
+    frames = frames.where(" AND ".join(f"{a}{n} IS NOT NULL" for n in range(4) for a in "xy"))
+    sure = lambda c: F.coalesce(c, F.lit(0.0))
+    turned = F.col("turning") < 0
+    swap = {0: 0, 1: 3, 2: 2, 3: 1}
+    xy = [sure(F.when(turned, F.col(f"{a}{swap[n]}")).otherwise(F.col(f"{a}{n}")) if n % 2 else F.col(f"{a}{n}")).alias(f"{a}{n}")
+          for n in range(4) for a in "xy"]
+    box = [sure(F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     return frames.select(
-        "filename", "camera", "look_azimuth_deg", "is_reflight", "ts_utc", "pass_id", "shot",
-        *[c for c in OUTLINE if c[0] != "z"], "xmin", "ymin", "xmax", "ymax", "cen_x", "cen_y", "sqrt_area", "z_mid",
+        "filename", "camera", "look_azimuth_deg", "is_reflight", "ts_utc", "pass_id", "shot", *xy, *box,
+        "cen_x", "cen_y", "sqrt_area", "z_mid", (F.col("turning") != 0).alias("__convex"),
         F.col("x").alias("cam_x"), F.col("y").alias("cam_y"), F.col("z").alias("cam_z"),
         (F.col("cam_ccd_res_u") * F.lit(1e-3) / F.col("cam_focal_mm")).alias("ft_per_ft"),
         (F.col("camera") == "Color").alias("__nadir"),
     )
 
 
-def _terms() -> dict[str, Column]:
-    """Ranking terms of a (point, frame) pair."""
-    px, py = F.col("px"), F.col("py")
+def covering_pairs(points: DataFrame, frames: DataFrame, point_id: Sequence[str], fits: Column | None = None, also_on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a point (px, py) and a frame whose footprint covers it, with the terms the ranking needs.
+
+    Convex footprints, which real ones are, take a test of four products; the rest (a vendor outline may be concave or
+    cross itself) go through the general one. `fits` is a further condition on the pair.
+    """
+    px, py = F.coalesce("px", F.lit(0.0)), F.coalesce("py", F.lit(0.0))
+    located = points.where(F.col("px").isNotNull() & F.col("py").isNotNull()).withColumns({"px": px, "py": py})
+    slim, (px, py) = _slim(frames), (F.col("px"), F.col("py"))
+    q = quads.corners()
+    turns, lengths = quads.left_turns(q, px, py), quads.edge_lengths(q)
+    cases = [
+        (F.col("__convex"), F.least(*turns) >= 0, F.least(*[t / n for t, n in zip(turns, [F.col(f"__len{i}") for i in range(4)])])),
+        (~F.col("__convex"), quads.covers(q, px, py), quads.edge_distance(q, px, py)),
+    ]
+    out = None
+    for which, inside, to_edge in cases:
+        side = slim.where(which).withColumns({f"__len{i}": n for i, n in enumerate(lengths)})
+        cond = inside if fits is None else inside & fits
+        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on).withColumn("__to_edge", to_edge)
+        out = pairs if out is None else out.unionByName(pairs)
     slant = quads.distance3(px, py, F.col("z_mid"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
-    return {
-        "center_dist_ft": quads.distance(px, py, F.col("cen_x"), F.col("cen_y")),
-        "edge_frac": quads.edge_distance(quads.corners(), px, py) / F.nullif(F.col("sqrt_area"), F.lit(0.0)),
-        "est_gsd_ft": slant * F.col("ft_per_ft"),
-    }
+    return out.withColumns(
+        {
+            "center_dist_ft": quads.distance(px, py, F.col("cen_x"), F.col("cen_y")),
+            "edge_frac": F.col("__to_edge") / F.nullif(F.col("sqrt_area"), F.lit(0.0)),
+            "est_gsd_ft": slant * F.col("ft_per_ft"),
+        }
+    )
 
 
 def candidates(points: DataFrame, frames: DataFrame, point_id: Sequence[str] = ("point_id",)) -> DataFrame:
@@ -72,12 +103,11 @@ def candidates(points: DataFrame, frames: DataFrame, point_id: Sequence[str] = (
     `points` has px, py (grid feet) and want_azimuth (NULL asks for the nadir camera, a bearing for the obliques).
     """
     asked = points.withColumn("__nadir", F.col("want_azimuth").isNull())
-    inside = quads.covers(quads.corners(), F.col("px"), F.col("py"))
-    pairs = points_in_shapes(asked, _slim(frames), point_id, ["filename"], inside, also_on=["__nadir"])
+    pairs = covering_pairs(asked, frames, point_id, also_on=["__nadir"])
     off = F.when(F.col("want_azimuth").isNull(), F.lit(0.0)).otherwise(
         bearing_gap(F.col("look_azimuth_deg"), F.col("want_azimuth"))
     )
-    return pairs.withColumns({"az_off_deg": off, **_terms()}).select(
+    return pairs.withColumn("az_off_deg", off).select(
         *points.columns, *[c for c in PICK_COLUMNS if c not in ("pick", "az_ok", "eligible")]
     )
 
@@ -159,13 +189,12 @@ def frames_in_views(views: DataFrame, frames: DataFrame, lim: int = 6, n: int =
     Only obliques that look within the tolerance of the view's direction take part.
     """
     samples = view_samples(views, n).select("view_id", "i", "j", "px", "py", "want_azimuth", "vx0", "vy0", "vx1", "vy1")
-    obliques = _slim(frames.where(F.col("camera") != "Color"))
+    obliques = frames.where(F.col("camera") != "Color")
     view_box = tuple(F.col(c) for c in ("vx0", "vy0", "vx1", "vy1"))
     frame_box = tuple(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
     fits = (bearing_gap(F.col("look_azimuth_deg"), F.col("want_azimuth")) <= AZ_TOLERANCE) & overlap_inclusive(view_box, frame_box)
-    inside = fits & quads.covers(quads.corners(), F.col("px"), F.col("py"))
     place = ["view_id", "i", "j"]
-    hits = points_in_shapes(samples, obliques, place, ["filename"], inside).withColumns(_terms())
+    hits = covering_pairs(samples, obliques, place, fits)
     hits = graded(hits.withColumn("az_off_deg", F.lit(0.0)))
     best = hits.withColumn("pick", F.row_number().over(Window.partitionBy(*place).orderBy(*ranking()))).where("pick = 1")
     wins = best.groupBy("view_id", "filename").agg(F.count("*").cast("int").alias("wins"))
@@ -338,7 +367,7 @@ def described_picks(shaped: DataFrame, want: Column, point_id: Sequence[str] = (
         F.array(
             F.concat("camera", F.lit(" camera")),
             F.concat(F.lit("flown "), F.substring("flownUtc", 1, 10)),
-            F.when(F.col("estGsdFt").isNotNull(), F.concat(F.lit("about "), F.format_string("%.2f", "estGsdFt"), F.lit(" ft per pixel here"))),
+            F.when(F.col("estGsdFt").isNotNull(), F.concat(F.lit("about "), fixed(F.col("estGsdFt"), 2), F.lit(" ft per pixel here"))),
         )
     )
     notes = F.array_compact(

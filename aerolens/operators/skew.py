@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # 1 / HOT_SHARE hot keys: that bound is what makes broadcasting their list safe at any table size.
 HOT_SHARE = 0.001
 HOT_FLOOR = 100_000
+SMALL_BYTES = 512 * 1024 * 1024
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], parts: str, floor: int = HOT_FLOOR) -> DataFrame:
@@ -19,6 +20,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str], parts: str, floor: int = HOT_FL
     return counts.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias(parts))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a table as the optimiser estimates it from its files: no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -27,12 +33,18 @@ def spread_join(
     right_id: Sequence[str],
     condition: Column | None = None,
     floor: int = HOT_FLOOR,
+    small: int = SMALL_BYTES,
 ) -> DataFrame:
     """Inner equi-join in which a hot key is cut into a grid of parts, from both sides.
 
     Rows of a hot key are dealt to parts by a hash of their identity and copied to every part of the other side, so
     each pair still meets exactly once. Other keys are left alone. Nothing is dropped and no group meets in one task.
+    Where both inputs together are estimated below `small` bytes no key can be hot, and the plain join is left to the
+    optimiser.
     """
+    if plan_bytes(left) + plan_bytes(right) < small:
+        out = left.join(right, list(keys))
+        return out if condition is None else out.where(condition)
     hot = hot_keys(left, keys, "__lp", floor).join(hot_keys(right, keys, "__rp", floor), list(keys), "full")
     hot = F.broadcast(hot)
 
@@ -105,13 +117,13 @@ def with_rank(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], interpolate: bool = True, bins: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], interpolate: bool = True, bins: int = 65536
 ) -> DataFrame:
     """Exact quantiles per key; `fractions` names the output columns. NULL values are left out.
 
-    Equal values are counted together first. Two rounds of equal-width histograms (at most `bins` rows per key each)
-    then find the narrow bin that holds each wanted rank, and only the distinct values of those bins are put in order.
-    With `interpolate` off the value at floor(p (n - 1)) is returned, otherwise the usual linear mix.
+    Equal values are counted together first. An equal-width histogram (at most `bins` rows per key and rank) then finds
+    the narrow bin that holds each wanted rank, and only the distinct values of those bins are put in order. With
+    `interpolate` off the value at floor(p (n - 1)) is returned, otherwise the usual linear mix.
     """
     names = list(keys)
     values = df.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).cast("double").alias("__v")).agg(
@@ -123,54 +135,40 @@ def exact_quantiles(
     ranks = []
     for name, p in fractions.items():
         at = F.lit(p) * (F.col("__total") - 1)
-        ranks.append(F.struct(F.lit(name).alias("name"), F.lit("lo").alias("end"), F.floor(at).alias("rank")))
+        ranks.append(F.struct(F.lit(name).alias("name"), F.lit(0).alias("end"), F.floor(at).alias("rank")))
         if interpolate:
-            ranks.append(F.struct(F.lit(name).alias("name"), F.lit("hi").alias("end"), F.ceil(at).alias("rank")))
+            ranks.append(F.struct(F.lit(name).alias("name"), F.lit(1).alias("end"), F.ceil(at).alias("rank")))
     wanted = span.select(*names, "__total", "__lo", "__hi", F.lit(0).cast("long").alias("__base"), F.explode(F.array(*ranks)).alias("__w"))
-    wanted = wanted.withColumns(
-        {"__rank": F.col("__w.rank"), "__name": F.col("__w.name"), "__end": F.col("__w.end")}
-    ).drop("__w")
-
-    def bin_of() -> Column:
-        width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-        slot = F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(bins))
-        return F.least(F.coalesce(slot, F.lit(0)), F.lit(bins - 1))
-
-    join_on = lambda a, b: a.join(b, names) if names else a.crossJoin(b)  # noqa: E731 - b is one row when there are no keys
-    for _ in range(2):
-        ends = wanted.select(*names, "__lo", "__hi", "__base").distinct()
-        binned = join_on(values, ends).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-        hist = (
-            binned.withColumn("__bin", bin_of())
-            .groupBy(*names, "__lo", "__hi", "__base", "__bin")
-            .agg(F.sum("__n").alias("__n"), F.min("__v").alias("__nlo"), F.max("__v").alias("__nhi"))
-        )
-        w = Window.partitionBy(*names, "__lo", "__hi", "__base").orderBy("__bin")
-        hist = hist.withColumn("__upto", F.col("__base") + F.sum("__n").over(w))
-        hist = hist.select(
-            *names, "__lo", "__hi", "__base", "__nlo", "__nhi", (F.col("__upto") - F.col("__n")).alias("__from"), "__upto"
-        )
-        wanted = wanted.join(hist, [*names, "__lo", "__hi", "__base"]).where(
-            (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__upto"))
-        )
-        wanted = wanted.select(
-            *names, "__total", F.col("__nlo").alias("__lo"), F.col("__nhi").alias("__hi"), F.col("__from").alias("__base"),
-            "__rank", "__name", "__end",
-        )
-    ends = wanted.select(*names, "__lo", "__hi", "__base").distinct()
-    w = Window.partitionBy(*names, "__lo", "__hi", "__base").orderBy("__v")
-    final = join_on(values, ends).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    final = final.withColumn("__upto", F.col("__base") + F.sum("__n").over(w)).withColumn("__from", F.col("__upto") - F.col("__n"))
-    found = wanted.join(final, [*names, "__lo", "__hi", "__base"]).where(
-        (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__upto"))
+    rank_id = [*names, "__total", "__w"]
+
+    def within(ranges: DataFrame) -> DataFrame:
+        joined = values.join(ranges, names) if names else values.join(ranges, F.lit(True))
+        return joined.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+    def holding(rows: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy(*rank_id).orderBy(order)
+        rows = rows.withColumn("__upto", F.col("__base") + F.sum("__n").over(w))
+        rows = rows.withColumn("__from", F.col("__upto") - F.col("__n"))
+        return rows.where((F.col("__w.rank") >= F.col("__from")) & (F.col("__w.rank") < F.col("__upto")))
+
+    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    slot = F.least(F.coalesce(F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(bins)), F.lit(0)), F.lit(bins - 1))
+    hist = (
+        within(wanted)
+        .groupBy(*rank_id, "__base", slot.alias("__bin"))
+        .agg(F.sum("__n").alias("__n"), F.min("__v").alias("__nlo"), F.max("__v").alias("__nhi"))
+    )
+    narrow = holding(hist, "__bin").select(
+        *rank_id, F.col("__nlo").alias("__lo"), F.col("__nhi").alias("__hi"), F.col("__from").alias("__base")
     )
-    pick = lambda name, end: F.max(F.when((F.col("__name") == name) & (F.col("__end") == end), F.col("__v")))
+    found = holding(within(narrow), "__v")
+    pick = lambda name, end: F.max(F.when((F.col("__w.name") == name) & (F.col("__w.end") == end), F.col("__v")))
     out = []
     for name, p in fractions.items():
-        lo = pick(name, "lo")
+        lo = pick(name, 0)
         if interpolate:
             at = F.lit(p) * (F.max("__total") - 1)
-            out.append((lo + (pick(name, "hi") - lo) * (at - F.floor(at))).alias(name))
+            out.append((lo + (pick(name, 1) - lo) * (at - F.floor(at))).alias(name))
         else:
             out.append(lo.alias(name))
     return found.groupBy(*names).agg(*out)
