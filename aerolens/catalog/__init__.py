@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["selection", "evaluation", "normalisation"]
+MODULES = ["selection", "evaluation", "normalisation", "photos"]
 
 
 def load():

@@ -384,11 +384,15 @@ def described_picks(shaped: DataFrame, want: Column, point_id: Sequence[str] = (
 
 
 def register_sql(spark: SparkSession) -> None:
-    """The bearing difference as a SQL function, and the neighbours of one frame of a view `frames` as a table function."""
+    """The bearing difference as a SQL function."""
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION angle_diff(a DOUBLE, b DOUBLE) RETURNS DOUBLE "
         "RETURN abs(((a - b + 540) - 360 * floor((a - b + 540) / 360)) - 180)"
     )
+
+
+def register_neighbours(spark: SparkSession) -> None:
+    """The neighbours of one frame as a SQL table function over a view named `frames`."""
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION frame_neighbors(fname STRING, max_shot_gap INT DEFAULT 5, max_dist_ft DOUBLE DEFAULT 3000) "
         "RETURNS TABLE (direction STRING, filename STRING, shot BIGINT, dist_ft DOUBLE) RETURN "
