@@ -280,19 +280,19 @@ def p10(spark, sf):
 
 
 def _plane_patches(spark, sf):
-    """A patch per photo, 500 ft cells on a tilted plane: bilinear interpolation is exact, so rays have a closed form."""
+    """A patch per photo, wide cells on a tilted plane: bilinear interpolation is exact, so rays have a closed form."""
     k = F.col("k")
-    left, low = F.col("xmin") - 2000, F.col("ymin") - 2000
-    z = lambda i, j: 500 + (k % 5 - 2) * 0.01 * (left + (i + 0.5) * 500 - F.col("x")) + (k % 3 - 1) * 0.01 * (low + (j + 0.5) * 500 - F.col("y"))
+    left, low = F.col("x") - 30000, F.col("y") - 30000
+    z = lambda i, j: 500 + (k % 5 - 2) * 0.01 * (left + (i + 0.5) * 3000 - F.col("x")) + (k % 3 - 1) * 0.01 * (low + (j + 0.5) * 3000 - F.col("y"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: z(i, j)))
-    return domain.frames(spark, sf).where("cam > 0").select("filename", F.lit(500.0).alias("cellSize"), left.alias("lowerLeftX"), low.alias("lowerLeftY"), F.lit(-9999.0).alias("noDataValue"), grid.alias("value"))
+    return domain.frames(spark, sf).where("cam > 0").select("filename", F.lit(3000.0).alias("cellSize"), left.alias("lowerLeftX"), low.alias("lowerLeftY"), F.lit(-9999.0).alias("noDataValue"), grid.alias("value"))
 
 
 _RAY = ("(cam_width_px * (1 + n) / 4e0)", "(cam_height_px * (2 + (k + n) % 3) / 6e0)")
-_DIR = s.rig_ground("", *_RAY, "(z - 1e0)")
+_DIR = s.rig_ground("", *_RAY, "(z - 1000e0)")
 
 
-@query("p11_ray_terrain", "rig", f"""WITH t AS (SELECT * FROM rig, (SELECT unnest([0, 1, 2]) AS n) WHERE cam > 0), u AS (SELECT *, {_DIR[0]} - x AS dx, {_DIR[1]} - y AS dy, (k % 5 - 2) * 0.01e0 AS gx, (k % 3 - 1) * 0.01e0 AS gy FROM t),
+@query("p11_ray_terrain", "rig", f"""WITH t AS (SELECT * FROM rig, (SELECT unnest([0, 1, 2]) AS n) WHERE cam > 0), u AS (SELECT *, ({_DIR[0]} - x) / 1000 AS dx, ({_DIR[1]} - y) / 1000 AS dy, (k % 5 - 2) * 0.01e0 AS gx, (k % 3 - 1) * 0.01e0 AS gy FROM t),
  v AS (SELECT *, (z - 500e0) / (1 + gx * dx + gy * dy) AS d FROM u) SELECT k * 3 + n AS ray_id, {r('x + dx * d', 3)} AS gx, {r('y + dy * d', 3)} AS gy, {r('z - d', 3)} AS gz FROM v""")
 def p11(spark, sf):
     f = domain.frames(spark, sf)

@@ -12,6 +12,9 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
+LAST = {"spark": 0.0}
+
+
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES.split():
@@ -45,7 +48,9 @@ def rows_of(cols, rows):
 
 
 def compare(spark_df, con, sql) -> str | None:
+    t = time.time()
     got_cols, got = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    LAST["spark"] = time.time() - t
     res = con.execute(sql)
     cols = [d[0] for d in res.description]
     want_cols, want = rows_of(cols, res.fetchall())
@@ -83,7 +88,7 @@ def main() -> None:
         except Exception as error:  # noqa: BLE001
             status = "ERROR " + str(error)[:1500]
         bad += status.startswith(("DIFF", "ERROR"))
-        print(f"{name}: {status[:1800]} [{time.time() - t:.1f}s]", flush=True)
+        print(f"{name}: {status[:1800]} [{time.time() - t:.1f}s, of it {LAST['spark']:.1f} collecting]", flush=True)
     print(f"{bad} bad")
 
 
