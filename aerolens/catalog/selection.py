@@ -53,11 +53,11 @@ SELECT *, coalesce(edge_frac >= 0.10e0 AND gsd <= 0.40e0, false) AS eligible, az
 @query(
     "q2_frames_at_lonlat",
     "places fg",
-    f"WITH w AS (SELECT *, {_wide('lon', 'lat')} FROM places), k AS ({_rank_sql('w', 'point_id')}) SELECT point_id, {_PICK_SQL} FROM k WHERE pick <= 5".replace("round(center_dist, 6)", "round(center_dist, 2)"),
+    f"WITH w AS (SELECT *, {_wide('lon', 'lat')} FROM places), k AS ({_rank_sql('w', 'point_id')}) SELECT point_id, {_PICK_SQL} FROM k WHERE pick <= 5".replace("round(center_dist, 6)", "round(center_dist, 1)"),
 )
 def q2(spark, sf):
     out = _picks(select.frames_at_lonlat(domain.places(spark, sf), domain.frames(spark, sf)))
-    return out.withColumn("center_dist_ft", R(F.col("center_dist_ft"), 2))
+    return out.withColumn("center_dist_ft", R(F.col("center_dist_ft"), 1))
 
 
 def _views_sql(views: str, n: int = 5) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aerolens.functions import quads
 from aerolens.functions.crs import grid_to_lonlat
 from aerolens.functions.angles import round_to
+from aerolens.functions.rings import settle
 from aerolens.operators import select
 from aerolens.operators.expect import rule
 from aerolens.operators.skew import exact_quantiles
@@ -20,7 +21,7 @@ EDGE_FRACTIONS = (0.0, 0.05, 0.10, 0.20)
 def interior_points(frames: DataFrame) -> DataFrame:
     """An interior point of every footprint."""
     px, py = quads.interior_point(quads.corners())
-    return frames.select("filename", "camera", "is_reflight", px.alias("px"), py.alias("py"))
+    return settle(frames.select("filename", "camera", "is_reflight", px.alias("px"), py.alias("py")), "px", "py")
 
 
 def seeded(df: DataFrame, seed: str, n: int) -> DataFrame:

@@ -59,6 +59,7 @@ def points_in_shapes(
     cell: float = CELL_FT,
     levels: Sequence[int] = (0,),
     floor: int = HOT_FLOOR,
+    split: bool | None = None,
 ) -> DataFrame:
     """All pairs of a point and a shape whose box holds it and for which `inside` is true.
 
@@ -73,7 +74,7 @@ def points_in_shapes(
     x, y = F.col(at[0]), F.col(at[1])
     x0, y0, x1, y1 = (F.col(c) for c in box)
     hit = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1) & inside
-    pairs = spread_join(left, right, keys, point_id, shape_id, hit, floor)
+    pairs = spread_join(left, right, keys, point_id, shape_id, hit, floor, split)
     return pairs.drop("__lv", "__cx", "__cy")
 
 

@@ -12,7 +12,7 @@ from aerolens.functions.crs import grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.rings import overlap_inclusive
 from aerolens.functions.text import fixed, iso_utc, sidecar
 from aerolens.operators.gridjoin import points_in_shapes
-from aerolens.operators.skew import with_neighbours
+from aerolens.operators.skew import may_be_hot, with_neighbours
 
 # The selection limits and the limits of a request.
 AZ_TOLERANCE, MIN_EDGE_FRAC, MAX_GSD_FT, TOP = 30.0, 0.10, 0.40, 5
@@ -81,11 +81,11 @@ def covering_pairs(points: DataFrame, frames: DataFrame, point_id: Sequence[str]
         (F.col("__convex"), F.least(*turns) >= 0, F.least(*[t / n for t, n in zip(turns, [F.col(f"__len{i}") for i in range(4)])])),
         (~F.col("__convex"), quads.covers(q, px, py), quads.edge_distance(q, px, py)),
     ]
-    out = None
+    out, split = None, may_be_hot(points, frames)
     for which, inside, to_edge in cases:
         side = slim.where(which).withColumns({f"__len{i}": n for i, n in enumerate(lengths)})
         cond = inside if fits is None else inside & fits
-        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on).withColumn("__to_edge", to_edge)
+        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on, split=split).withColumn("__to_edge", to_edge)
         out = pairs if out is None else out.unionByName(pairs)
     slant = quads.distance3(px, py, F.col("z_mid"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
     return out.withColumns(

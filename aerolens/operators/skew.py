@@ -25,6 +25,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def may_be_hot(*tables: DataFrame) -> bool:
+    """Whether tables are big enough together for one key to overload a task."""
+    return sum(plan_bytes(t) for t in tables) >= SMALL_BYTES
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -33,16 +38,16 @@ def spread_join(
     right_id: Sequence[str],
     condition: Column | None = None,
     floor: int = HOT_FLOOR,
-    small: int = SMALL_BYTES,
+    split: bool | None = None,
 ) -> DataFrame:
     """Inner equi-join in which a hot key is cut into a grid of parts, from both sides.
 
     Rows of a hot key are dealt to parts by a hash of their identity and copied to every part of the other side, so
     each pair still meets exactly once. Other keys are left alone. Nothing is dropped and no group meets in one task.
-    Where both inputs together are estimated below `small` bytes no key can be hot, and the plain join is left to the
-    optimiser.
+    Without `split` the sizes decide: where both inputs together are estimated small no key can be hot, and the plain
+    join is left to the optimiser.
     """
-    if plan_bytes(left) + plan_bytes(right) < small:
+    if not (may_be_hot(left, right) if split is None else split):
         out = left.join(right, list(keys))
         return out if condition is None else out.where(condition)
     hot = hot_keys(left, keys, "__lp", floor).join(hot_keys(right, keys, "__rp", floor), list(keys), "full")
