@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HOT_SHARE = 0.001
 HOT_FLOOR = 100_000
 SMALL_BYTES = 512 * 1024 * 1024
+# The optimiser reports a table it knows nothing about as larger than this.
+UNKNOWN_BYTES = 2**60
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], parts: str, floor: int = HOT_FLOOR) -> DataFrame:
