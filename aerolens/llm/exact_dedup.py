@@ -1,13 +1,15 @@
 """Exact deduplication by deterministic block naming.
 
-A text without its blanks is cut into blocks of a fixed number of characters. Distinct blocks are sorted and get whole
-numbers as names; then adjacent names are paired, distinct pairs are sorted and named, and so on until each document has
-one name. Two texts are equal if and only if they have the same number of blocks and the same last name: names stand for
-the texts themselves, so nothing can collide.
+A text without its blanks is cut into blocks of a fixed number of bytes. Distinct blocks are sorted and get whole numbers as
+names; then adjacent names are paired, distinct pairs are sorted and named, and so on until each document has one name. Two
+texts are equal if and only if they have the same number of blocks and the same last name: names stand for the texts
+themselves, so nothing can collide.
 
-Every level is a table: names come from a grouped (and so map-side combined) table of distinct blocks or pairs, written
-before it is joined back, so that both sides of the join are plain shuffles that Spark can split where one block, or the
-pairs of one much copied document, hold a large share of the rows. Levels halve; there are log2 of the longest text's blocks.
+Texts are shuffled once: a batch of documents lists each of its blocks once (so a block that holds a third of all rows is one
+row for each batch), the blocks of all batches are grouped, and the names go back by (batch, number of the block in it). The
+levels above are slim tables of whole numbers; their names come from map-side combined distinct pairs, written before they are
+joined back, so that both sides of the join are plain shuffles that Spark can split at a much copied pair. Levels halve; there
+are log2 of the longest text's blocks.
 
 Defined cases: a null text counts as empty; texts of blanks only are empty, and all empty texts are equal; repeated rows are
 copies of one another; a null doc_id comes after all others when the row that stays is chosen; an empty table gives no rows.
@@ -16,31 +18,70 @@ Other columns do not matter, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from aerolens.llm import common
 
 
+def blocked(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
+    """One row for each document: row, batch, n_points, n_blocks, text_sha256, `blocks` (its blocks' numbers in the batch), and
+    `fresh`, those of its blocks that the batch had not seen, numbered from `fresh_at`."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    schema = StructType([rows.schema["doc_id"]])
+    for name, kind in (("row", LongType()), ("batch", LongType()), ("n_points", LongType()), ("n_blocks", IntegerType()), ("text_sha256", StringType()), ("blocks", ArrayType(IntegerType())), ("fresh_at", IntegerType()), ("fresh", ArrayType(BinaryType()))):
+        schema = schema.add(name, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            numbers: dict[bytes, int] = {}
+            out = {f.name: [] for f in schema.fields[1:]}
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                bare = b"".join(text.encode().split())  # splits at [\x20\x09-\x0D]
+                fresh_at, fresh, blocks = len(numbers), [], []
+                for at in range(0, len(bare) or 1, block_bytes):
+                    block = bare[at : at + block_bytes]
+                    number = numbers.setdefault(block, len(numbers))
+                    if number == fresh_at + len(fresh):
+                        fresh.append(block)
+                    blocks.append(number)
+                for name, value in zip(out, (first + k, first, len(text), len(blocks), hashlib.sha256(bare).hexdigest(), blocks, fresh_at, fresh)):
+                    out[name].append(value)
+            first += batch.num_rows
+            arrays = [pa.array(out[f.name], _ARROW[type(f.dataType)] if not isinstance(f.dataType, ArrayType) else pa.list_(_ARROW[type(f.dataType.elementType)])) for f in schema.fields[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+_ARROW = {LongType: pa.int64(), IntegerType: pa.int32(), StringType: pa.string(), BinaryType: pa.binary()}
+
+
 def _named(distinct: DataFrame, keys: list[str], what: str) -> DataFrame:
     """A whole number for each row of a table of distinct keys: its place when the keys of a partition are sorted."""
     named = distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
     return common.stored(named, what)
 
 
-def identities(docs: DataFrame, block_chars: int = 4096) -> tuple[DataFrame, DataFrame]:
+def identities(docs: DataFrame, block_bytes: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(documents: row, doc_id, n_points, n_blocks, text_sha256), (identities: row, name)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bare = F.regexp_replace(text, common.BLANK, "")
-    cut = F.regexp_extract_all(F.col("__bare"), F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.length(text).alias("n_points"), bare.alias("__bare"))
-    rows = rows.withColumn("blocks", F.when(F.col("__bare") == "", F.array(F.lit(""))).otherwise(cut))
-    rows = rows.select("row", "doc_id", "n_points", F.size("blocks").alias("n_blocks"), F.sha2("__bare", 256).alias("text_sha256"), "blocks")
-    rows = common.stored(rows, "blocks")
-    documents = rows.drop("blocks")
-
-    blocks = rows.select("row", "n_blocks", F.posexplode("blocks").alias("pos", "block"))
-    names = _named(blocks.select("block").distinct(), ["block"], "block-names")
-    named = common.stored(blocks.join(names, "block").select("row", "n_blocks", "pos", "name"), "level")
+    rows = common.stored(blocked(docs, block_bytes), "blocks")
+    documents = rows.select("row", "doc_id", "n_points", "n_blocks", "text_sha256")
+    blocks = rows.select("batch", "fresh_at", F.posexplode("fresh").alias("k", "block"))
+    at = F.struct("batch", (F.col("fresh_at") + F.col("k")).alias("number"))
+    # A block has one place for each batch that holds it, so the list of a block grows with batches, not with rows.
+    names = blocks.groupBy("block").agg(F.collect_list(at).alias("at")).sortWithinPartitions("block")
+    names = names.select(F.monotonically_increasing_id().alias("name"), F.explode("at").alias("at")).select("name", "at.batch", "at.number")
+    names = common.stored(names, "block-names")
+    places = rows.select("row", "batch", "n_blocks", F.posexplode("blocks").alias("pos", "number"))
+    named = common.stored(places.join(names, ["batch", "number"]).select("row", "n_blocks", "pos", "name"), "level")
     done, longest = [], documents.agg(F.max("n_blocks")).first()[0] or 0
     while True:
         done.append(named.where("n_blocks = 1").select("row", "name"))
@@ -61,12 +102,12 @@ def identities(docs: DataFrame, block_chars: int = 4096) -> tuple[DataFrame, Dat
     return documents, found
 
 
-def groups(docs: DataFrame, block_chars: int = 4096) -> DataFrame:
+def groups(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """Every row with doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the one with the most characters before the blanks went, then the smallest doc_id, stays.
     """
-    documents, found = identities(docs, block_chars)
+    documents, found = identities(docs, block_bytes)
     rows = common.stored(documents.join(found, "row"), "identities")
     key = ["n_blocks", "name"]
     first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
