@@ -3,7 +3,8 @@
 Fit, on a bounded sample of labelled training rows (`max_docs` of each class, in the order of a hash, texts of at most
 `max_chars` characters, so at most 2 * max_docs * max_chars characters reach the driver): a word of a toxic document is tagged
 toxic where the word or one of its beginnings is far commoner in toxic documents than in clean ones (in at least `min_docs`, at
-log odds of `min_odds`); all other words are tagged clean. A two-tag chain with features for the word, its beginnings and its
+log odds of `min_odds`, beyond what chance gives among all that are tested); all other words are tagged clean. Of near copies
+within the sample one is used. A two-tag chain with features for the word, its beginnings and its
 length is trained on those tags by gradient descent on the exact log likelihood.
 
 Scoring runs over every whole text: forward-backward gives each word the probability of the toxic tag, a document's score
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -119,15 +121,36 @@ def _run(step: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, float]:
     return out / out.sum(axis=1, keepdims=True), total
 
 
+def _families(texts: list[list[str]], labels: list[int]) -> list[int]:
+    """One text, the first, of each family of near copies in the sample: those that share a smallest 5-word hash of four kinds.
+
+    Copies of one toxic document would otherwise make every word of it look toxic.
+    """
+    mixers = np.random.default_rng(1).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
+    seen: set[tuple[int, int, int]] = set()
+    keep = []
+    for k, (words, y) in enumerate(zip(texts, labels)):
+        hashes = np.array([zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))], np.uint64)
+        marks = {(y, j, int((hashes * m).min())) for j, m in enumerate(mixers)}
+        if not marks & seen:
+            keep.append(k)
+        seen |= marks
+    return keep
+
+
 def _labelled(docs: list[list[str]], toxic: np.ndarray, min_docs: int, min_odds: float) -> list[np.ndarray]:
     """Tags of the words of each document."""
     counts = {True: Counter(), False: Counter()}
     for words, y in zip(docs, toxic):
         counts[bool(y)].update({f for w in set(words) for f in features(w)[:-1]})
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    share = n1 / (n1 + n0)
+    tested = [(f, n, counts[False][f]) for f, n in counts[True].items() if n >= min_docs]
     bad = set()
-    for f, n in counts[True].items():
-        if n >= min_docs and math.log((n + 0.5) / (n1 + 1)) - math.log((counts[False][f] + 0.5) / (n0 + 1)) >= min_odds:
+    for f, n, m in tested:
+        odds = math.log((n + 0.5) / (n1 + 1)) - math.log((m + 0.5) / (n0 + 1))
+        # The chance of so few clean documents if the feature had nothing to do with the label, for all that are tested.
+        if odds >= min_odds and sum(math.comb(n + m, k) * share ** (n + m - k) * (1 - share) ** k for k in range(m + 1)) * len(tested) < 0.01:
             bad.add(f)
     known: dict[str, int] = {}
 
@@ -139,16 +162,18 @@ def _labelled(docs: list[list[str]], toxic: np.ndarray, min_docs: int, min_odds:
     return [np.array([tag(w) for w in words] if y else [0] * len(words), np.int64) for words, y in zip(docs, toxic)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int = 8000, min_docs: int = 5, min_odds: float = 3.0, rounds: int = 60, seed: int = 42) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int = 5000, min_docs: int = 5, min_odds: float = 3.0, rounds: int = 40, seed: int = 42) -> Model:
     """The chain, from labelled rows of the training folds."""
     marks = labels.where("toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), "toxic")
     rows = docs.where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
     rows = rows.join(marks, F.col("doc_id") == F.col("__id")).select("text", "toxic", F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
     taken = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy("__h", "text").limit(max_docs).collect()]
+    texts = [WORDS.findall(r.text.lower()) for r in taken]
+    one = _families(texts, [r.toxic for r in taken])
+    taken, texts = [taken[k] for k in one], [texts[k] for k in one]
     toxic = np.array([r.toxic == 1 for r in taken], bool)
     if not toxic.any() or toxic.all():
         return Model()
-    texts = [WORDS.findall(r.text.lower()) for r in taken]
     tags = _labelled(texts, toxic, min_docs, min_odds)
     keep = [k for k, words in enumerate(texts) if words]
     words = [w for k in keep for w in texts[k]]
@@ -190,8 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: int
             state[k] = one, two = 0.9 * one + 0.1 * g, 0.99 * two + 0.01 * g * g
             steps[k] = 0.25 * (one / (1 - 0.9**t)) / (np.sqrt(two / (1 - 0.99**t)) + 1e-8)
         weights, bias, moves, start = weights + steps["w"], bias + steps["b"][0], moves + steps["m"], start + steps["s"]
-    # Weights below a hundredth change no score that matters; the bias goes with the length feature every word has.
-    kept = {f: float(weights[k]) for f, k in ids.items() if abs(weights[k]) > 0.01}
+    # Weights this small change no score that matters; the bias goes with the length feature every word has.
+    kept = {f: float(weights[k]) for f, k in ids.items() if abs(weights[k]) > 0.02}
     for n in range(1, 13):
         kept[f"#{n}"] = kept.get(f"#{n}", 0.0) + float(bias)
     return Model(kept, moves, start, True)
