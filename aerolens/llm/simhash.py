@@ -105,45 +105,49 @@ def _without(fp: Column, bit: Column | int) -> Column:
     return fp.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit if isinstance(bit, Column) else F.lit(bit))))
 
 
-def variants(fps: DataFrame, distance: int) -> DataFrame:
-    """(seg, bit, rest, fp): each segment of each fingerprint with each one of its bits deleted."""
+def variants(fps: DataFrame, distance: int, keep: Sequence[str] = ("fp",), seed_no: int = 0) -> DataFrame:
+    """(key, bit, *keep): each segment of each fingerprint with each one of its bits deleted.
+
+    The key holds the number of the fingerprint's seed, the deleted bit (which tells the segment), and what is left of it.
+    """
     each = []
-    for k, (first, bits) in enumerate(_segments(distance)):
-        bit = F.explode(F.sequence(F.lit(first), F.lit(first + bits - 1)))
-        rows = fps.select("fp", F.lit(k).cast("byte").alias("seg"), bit.alias("bit"))
-        each.append(rows.select("seg", F.col("bit").cast("byte").alias("bit"), _without(F.col("fp").bitwiseAND(F.lit(_mask(first, bits))), F.col("bit")).alias("rest"), "fp"))
+    for first, bits in _segments(distance):
+        rows = fps.select(*keep, F.explode(F.sequence(F.lit(first), F.lit(first + bits - 1))).alias("bit"))
+        left = F.shiftrightunsigned(_without(F.col("fp"), F.col("bit")).bitwiseAND(F.lit(_mask(first, bits))), first)
+        head = F.shiftleft((F.lit(64 * seed_no) + F.col("bit")).cast("long"), bits)
+        each.append(rows.select((head + left).alias("key"), F.col("bit").cast("byte").alias("bit"), *keep))
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _buckets(fps: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
-    """The index, and its keys of several fingerprints: n, and the smallest and largest of them."""
-    index = variants(fps, distance)
-    keys = index.groupBy("seg", "bit", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    return index, common.stored(keys, "simhash-keys")
+def _keys(index: DataFrame) -> DataFrame:
+    """The keys of several fingerprints: n, and the smallest and largest of them."""
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
+    return common.stored(keys, "simhash-keys")
 
 
 def _pairs(index: DataFrame, keys: DataFrame, bucket: int) -> DataFrame:
     """(a, b), a < b, of all keys of at most `bucket` fingerprints; `bucket` bounds the partners of each."""
-    key = ["seg", "bit", "rest"]
-    some = common.stored(index.join(keys.where(f"n > 2 AND n <= {bucket}").select(*key), key), "simhash-some")
-    pairs = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), key).where("a < b").select("a", "b")
+    some = common.stored(index.join(keys.where(f"n > 2 AND n <= {bucket}").select("key"), "key").select("key", "fp"), "simhash-some")
+    pairs = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")
     return pairs.unionByName(keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
 
 
 def links(fps: DataFrame, bucket: int = 32) -> DataFrame:
     """Links (a, b) between distinct fingerprints at two or fewer bits; they connect just what all such pairs connect."""
-    index, keys = _buckets(fps, 2)
+    index = variants(fps, 2)
+    keys = _keys(index)
     close = _pairs(index, keys, bucket).where(F.bit_count(F.expr("a ^ b")) <= 2)
-    many = common.stored(index.join(keys.where(f"n > {bucket}").select("seg", "bit", "rest"), ["seg", "bit", "rest"]), "simhash-many")
+    many = common.stored(index.join(keys.where(f"n > {bucket}").select("key"), "key").select("bit", "fp"), "simhash-many")
     stars = []
-    for k, (first, bits) in enumerate(_segments(2)):
-        own = many.where(F.col("seg") == k)
+    for first, bits in _segments(2):
+        own = many.where(F.col("bit").between(first, first + bits - 1))
         others = [b for b in range(64) if not first <= b < first + bits]
         one = own.withColumn("x", F.explode(F.array(*[F.lit(b) for b in others])))
         stars.append(one.select("fp", "bit", "x", F.lit(-1).alias("y"), _without(_without(F.col("fp"), F.col("bit").cast("int")), F.col("x")).alias("left")))
+        # Two deleted bits outside the segment serve those that agree in it, which all meet under its first bit.
         two = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for i, a in enumerate(others) for b in others[:i]]
         same = own.where(F.col("bit") == first).withColumn("xy", F.explode(F.array(*two)))
         stars.append(same.select("fp", F.lit(-1).cast("byte").alias("bit"), "xy.x", "xy.y", _without(_without(F.col("fp"), F.col("xy.x")), F.col("xy.y")).alias("left")))
@@ -169,3 +173,61 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame:
     known = common.stored(heads.join(least, "root").select("fp", "component_id"), "fingerprint-components")
     out = rows.join(known, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(row, shingles): the distinct n-word shingles of a text as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(words_of(t), n)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, shingles array<long>")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (42, 43, 44), distance: int = 3, bucket: int = 32) -> DataFrame:
+    """`docs` without near copies: of each group the row with the smallest doc_id stays.
+
+    Texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of at least `similarity`, which is
+    verified for every candidate. Candidates come from fingerprints of single words, which hardly move when a few words of a
+    text change, one for each seed: texts whose fingerprints differ in at most `distance` bits for one of the seeds. Texts of
+    the same words in the same order are one from the start. Under a key of more than `bucket` fingerprints each is a
+    candidate with the smallest one only, so candidates grow with the rows.
+    """
+    stored = common.stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "near-texts")
+    text = F.coalesce("doc.text", F.lit(""))
+    words = F.lower(F.trim(F.regexp_replace(text, common.BLANK, " ")))
+    named = common.stored(stored.select("row", F.col("doc.doc_id").alias("doc_id"), F.md5(words).alias("digest")), "near-digests")
+    same = common.stored(named.groupBy("digest").agg(F.min("row").alias("head")), "near-heads")
+    named = common.stored(named.join(same, "digest").select("row", "doc_id", "head"), "near-rows")
+    heads = stored.join(same.select(F.col("head").alias("row")), "row", "left_semi").select("row", F.col("doc.text").alias("text"))
+    prints = common.stored(with_fingerprints(heads, 1, seeds), "near-fingerprints")
+
+    found = None
+    for k in range(len(seeds)):
+        rows = prints.select("row", F.col("fps")[k].alias("fp"))
+        first = common.stored(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "near-firsts")
+        index = variants(first.select("fp"), distance, seed_no=k)
+        keys = _keys(index)
+        many = index.join(keys.where(f"n > {bucket}").select("key", F.col("lo").alias("a")), "key").where("fp <> a").select("a", F.col("fp").alias("b"))
+        close = _pairs(index, keys, bucket).unionByName(many).where(F.bit_count(F.expr("a ^ b")) <= distance).distinct()
+        at = first.select("fp", "first")
+        pairs = close.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select("x", "y")
+        shared = rows.join(first.where("n > 1").select("fp", "first"), "fp").where("row <> first").select(F.col("first").alias("x"), F.col("row").alias("y"))
+        pairs = pairs.unionByName(shared)
+        found = pairs if found is None else found.unionByName(pairs)
+    found = common.stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-candidates")
+    some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row"))).distinct()
+    sets = common.stored(_shingle_sets(heads.join(some, "row", "left_semi"), shingle), "near-shingles")
+    checked = found.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
+    both = F.size(F.array_intersect("s", "t"))
+    # Texts without words have no shingles and one digest; they never meet here.
+    checked = checked.where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = graph.components(checked, "near-components")
+    groups = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
+    groups = common.stored(groups, "near-groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = common.stored(groups.groupBy("root").agg(least.alias("best")).select(F.col("best.row").alias("row")), "near-stay")
+    kept = stored.join(stay, "row", "left_semi")
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
