@@ -78,10 +78,10 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     out = rows.join(per.drop("all"), "row", "left")
     none = F.array().cast(per.schema["found"].dataType)
     out = out.withColumns({"found": F.coalesce("found", none), "base": F.coalesce("base", none)})
-    count = lambda test: F.size(F.filter("base", test)).cast("long")
+    kinds = F.transform("base", lambda s: s["kind"])
     return out.select(
         "doc_id",
-        *[count(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_example"),
         "base",
