@@ -32,6 +32,8 @@ SEED = 42
 BLOCK = 65_536
 #: Words whose hashes a task keeps; more than that and it starts afresh.
 KEPT_WORDS = 500_000
+#: At most so many keys, numbers of eight bytes, are sent to every executor.
+KEYS_SENT = 1_000_000
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> np.ndarray:
@@ -108,39 +110,38 @@ def _without(fp: Column, bit: Column | int) -> Column:
 def variants(fps: DataFrame, distance: int, keep: Sequence[str] = ("fp",), seed_no: int = 0) -> DataFrame:
     """(key, bit, *keep): each segment of each fingerprint with each one of its bits deleted.
 
-    The key holds the number of the fingerprint's seed, the deleted bit (which tells the segment), and what is left of it.
+    The key is a hash of the seed's number, the deleted bit (which tells the segment) and what is left of the segment; that two
+    of them collide only adds a pair to be verified.
     """
     each = []
     for first, bits in _segments(distance):
         rows = fps.select(*keep, F.explode(F.sequence(F.lit(first), F.lit(first + bits - 1))).alias("bit"))
-        left = F.shiftrightunsigned(_without(F.col("fp"), F.col("bit")).bitwiseAND(F.lit(_mask(first, bits))), first)
-        head = F.shiftleft((F.lit(64 * seed_no) + F.col("bit")).cast("long"), bits)
-        each.append(rows.select((head + left).alias("key"), F.col("bit").cast("byte").alias("bit"), *keep))
+        left = _without(F.col("fp"), F.col("bit")).bitwiseAND(F.lit(_mask(first, bits)))
+        each.append(rows.select(F.xxhash64(F.lit(seed_no), "bit", left).alias("key"), F.col("bit").cast("byte").alias("bit"), *keep))
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _keys(index: DataFrame) -> DataFrame:
-    """The keys of several fingerprints: n, and the smallest and largest of them."""
-    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    return common.stored(keys, "simhash-keys")
+def _members(index: DataFrame) -> DataFrame:
+    """(key, bit, fp, n) of the keys that n > 1 fingerprints share; where these keys are few, the index is shuffled only once."""
+    keys = common.stored(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
+    shared = F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
+    return common.stored(index.join(shared, "key").select("key", "bit", "fp", "n"), "simhash-members")
 
 
-def _pairs(index: DataFrame, keys: DataFrame, bucket: int) -> DataFrame:
+def _pairs(members: DataFrame, bucket: int) -> DataFrame:
     """(a, b), a < b, of all keys of at most `bucket` fingerprints; `bucket` bounds the partners of each."""
-    some = common.stored(index.join(keys.where(f"n > 2 AND n <= {bucket}").select("key"), "key").select("key", "fp"), "simhash-some")
-    pairs = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")
-    return pairs.unionByName(keys.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    some = members.where(f"n <= {bucket}").select("key", "fp")
+    return some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")
 
 
 def links(fps: DataFrame, bucket: int = 32) -> DataFrame:
     """Links (a, b) between distinct fingerprints at two or fewer bits; they connect just what all such pairs connect."""
-    index = variants(fps, 2)
-    keys = _keys(index)
-    close = _pairs(index, keys, bucket).where(F.bit_count(F.expr("a ^ b")) <= 2)
-    many = common.stored(index.join(keys.where(f"n > {bucket}").select("key"), "key").select("bit", "fp"), "simhash-many")
+    members = _members(variants(fps, 2))
+    close = _pairs(members, bucket).where(F.bit_count(F.expr("a ^ b")) <= 2)
+    many = members.where(f"n > {bucket}")
     stars = []
     for first, bits in _segments(2):
         own = many.where(F.col("bit").between(first, first + bits - 1))
@@ -208,10 +209,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     for k in range(len(seeds)):
         rows = prints.select("row", F.col("fps")[k].alias("fp"))
         first = common.stored(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "near-firsts")
-        index = variants(first.select("fp"), distance, seed_no=k)
-        keys = _keys(index)
-        many = index.join(keys.where(f"n > {bucket}").select("key", F.col("lo").alias("a")), "key").where("fp <> a").select("a", F.col("fp").alias("b"))
-        close = _pairs(index, keys, bucket).unionByName(many).where(F.bit_count(F.expr("a ^ b")) <= distance).distinct()
+        members = _members(variants(first.select("fp"), distance, seed_no=k))
+        many = members.where(f"n > {bucket}")
+        least = common.stored(many.groupBy("key").agg(F.min("fp").alias("a")), "simhash-least")
+        many = many.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
+        close = _pairs(members, bucket).unionByName(many).where(F.bit_count(F.expr("a ^ b")) <= distance).distinct()
         at = first.select("fp", "first")
         pairs = close.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select("x", "y")
         shared = rows.join(first.where("n > 1").select("fp", "first"), "fp").where("row <> first").select(F.col("first").alias("x"), F.col("row").alias("y"))
