@@ -129,12 +129,12 @@ def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rou
         return x
     active: list[int] = []
     banned: set[int] = set()
-    residual = h.copy()
+    residual, width = h.copy(), at_once
     for _ in range(rounds):
         gradient = residual[combos].sum(axis=1)
         gradient[active] = 0.0
         gradient[list(banned)] = 0.0
-        best = np.argsort(-gradient, kind="stable")[:at_once]
+        best = np.argsort(-gradient, kind="stable")[:width]
         best = [int(k) for k in best if gradient[k] > 1e-6 * max(1.0, h.max())]
         if not best:
             break
@@ -155,7 +155,6 @@ def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rou
             down = z <= 0
             new = np.array([k in fresh for k in active]) & down & (now == 0)
             if new.any():
-                banned |= {k for k, out in zip(active, new) if out}
                 active = [k for k, out in zip(active, new) if not out]
                 continue
             step = (now[down] / (now[down] - z[down])).min()
@@ -164,6 +163,11 @@ def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rou
             x[:] = 0.0
             x[active] = now
             active = [k for k, v in zip(active, now) if v > 0]
+        # One column alone always joins, several may stand in each other's way; one that rounding keeps out is left out.
+        joined = bool(fresh.intersection(active))
+        if not joined and width == 1:
+            banned |= fresh
+        width = at_once if joined else 1
         a = x[active]
         residual = h.copy()
         np.add.at(residual, combos[active], -a[:, None])
