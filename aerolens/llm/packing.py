@@ -116,7 +116,7 @@ def combinations(supply: np.ndarray) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rounds: int = 400) -> np.ndarray:
+def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rounds: int = 400, tolerance: float = 1e-6) -> np.ndarray:
     """Non-negative least squares by an active set: how often each combination is used to match the supply.
 
     Columns of the largest gradients join the active set, the set is solved, and a step towards that solution stops where a
@@ -135,7 +135,7 @@ def repeat_counts(combos: np.ndarray, supply: np.ndarray, at_once: int = 32, rou
         gradient[active] = 0.0
         gradient[list(banned)] = 0.0
         best = np.argsort(-gradient, kind="stable")[:width]
-        best = [int(k) for k in best if gradient[k] > 1e-6 * max(1.0, h.max())]
+        best = [int(k) for k in best if gradient[k] > tolerance * max(1.0, h.max())]
         if not best:
             break
         active += best
@@ -180,7 +180,7 @@ def plan(supply: np.ndarray) -> list[tuple[list[int], int]]:
     w = len(supply) - 1
     left = supply.astype(np.int64).copy()
     combos = combinations(left)
-    counts = repeat_counts(combos, left)
+    counts = repeat_counts(combos, left, tolerance=1e-3)
     out: list[tuple[list[int], int]] = []
     for k in np.argsort(-counts, kind="stable"):
         if counts[k] < 0.5:
