@@ -165,8 +165,13 @@ def _labelled(docs: list[list[str]], toxic: np.ndarray, min_docs: int, min_odds:
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int = 5000, min_docs: int = 5, min_odds: float = 3.0, rounds: int = 40, seed: int = 42) -> Model:
     """The chain, from labelled rows of the training folds."""
     marks = labels.where("toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), "toxic")
-    rows = docs.where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text")
-    rows = rows.join(marks, F.col("doc_id") == F.col("__id")).select("text", "toxic", F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
+    rows = docs.where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = rows.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
+    # Which documents, from slim rows; then their texts.
+    known = rows.select("doc_id", "__h").join(marks, F.col("doc_id") == F.col("__id")).select("__id", "__h", "toxic")
+    chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy("__h", "__id").limit(max_docs).collect()]
+    chosen = docs.sparkSession.createDataFrame(list(dict.fromkeys((r[0], r[2]) for r in chosen)), marks.schema)
+    rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic", "__h")
     taken = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy("__h", "text").limit(max_docs).collect()]
     texts = [WORDS.findall(r.text.lower()) for r in taken]
     one = _families(texts, [r.toxic for r in taken])
