@@ -9,7 +9,7 @@ Only the histogram (window / grain bins) and the plan made from it pass through
 pieces of its bin: its number within its task, plus the pieces of earlier tasks (a window over tasks, one row for each). The
 plan gives ranges of such numbers to the places of sequences. Offsets are sums within one sequence.
 
-The tokeniser drops blanks, and none of its pieces spans one, so the ids of a text are those of its words in a row; a task
+The tokeniser drops blanks, and none of its pieces spans one, so the ids of a text are those of its words in a row; a worker
 keeps the ids of words it has met (up to a bound), which is what makes tokenising cheap.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no rows. Other
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,33 +29,73 @@ from pyspark.sql import DataFrame, Window, functions as F
 from aerolens.llm import common
 
 END = 2
-#: Words whose ids a task keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker process keeps, from task to task.
+KEPT_WORDS = 1_000_000
+#: Characters of the texts whose words are looked up at once.
+TEXTS = 2_000_000
 
 
 class WordIds:
-    """Ids of texts by way of their words."""
+    """Ids of texts, as little-endian unsigned 32-bit numbers, by way of their words.
+
+    Case does not matter to the tokeniser, so words are kept in lower case; texts with its special tokens keep their case. A word
+    of ASCII letters is one piece of its pre-tokeniser and goes straight to the model, and so does one that a full stop or a
+    comma follows, which are a piece of their own there; other words take the whole tokeniser.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, text: bytes | None) -> list[int]:
-        words = text.split() if text else []
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, new = {}, list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False)):
-                self.known[w] = tuple(e.ids)
-        out: list[int] = []
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _letters(self, word: bytes) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word.decode())])
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        known, other = self.known, []
+        marks = dict(zip((b".", b","), self._whole([b".", b","])))
         for w in words:
-            out += self.known[w]
-        return out
+            if w.isalpha() and w.islower():
+                known[w] = self._letters(w)
+            elif w[-1:] in marks and w[:-1].isalpha() and w[:-1].islower():
+                known[w] = (known.get(w[:-1]) or self._letters(w[:-1])) + marks[w[-1:]]
+            else:
+                other.append(w)
+        for at in range(0, len(other), 4096):
+            known.update(zip(other[at : at + 4096], self._whole(other[at : at + 4096])))
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        met = set().union(*words)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known, new = {}, met
+        self._learn(new)
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
+    return _TOKENIZERS[path]
+
+
+def _in_groups(texts: list[bytes | None], ids_of: WordIds) -> Iterator[bytes]:
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or b"")
+        if size >= TEXTS or i == len(texts) - 1:
+            yield from ids_of(texts[at : i + 1])
+            at, size = i + 1, 0
 
 
 def pieces(docs: DataFrame, path: str, window: int = 4096, grain: int = 8, keep_ids: bool = False) -> DataFrame:
@@ -68,12 +108,12 @@ def pieces(docs: DataFrame, path: str, window: int = 4096, grain: int = 8, keep_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, ids_of, seen = TaskContext.get().partitionId(), WordIds(path), np.zeros(window // grain + 2, np.int64)
+        task, ids_of, seen = TaskContext.get().partitionId(), word_ids(path), np.zeros(window // grain + 2, np.int64)
         for batch in batches:
             out: dict[str, list] = {k: [] for k, _ in _PIECE}
             source, kept = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = np.array([*ids_of(text), END], np.dtype("<u4"))
+            for i, found in enumerate(_in_groups(batch.column("text").to_pylist(), ids_of)):
+                ids = np.frombuffer(found + END.to_bytes(4, "little"), "<u4")
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     b = -(-len(part) // grain)
