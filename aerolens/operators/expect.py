@@ -89,10 +89,15 @@ def shot_grammar() -> Column:
 
 
 def clock_of(text: Column) -> Column:
-    """Seconds since midnight of HH:MM:SS text; NULL when it is not a time of day."""
-    part = lambda at: F.substring(text, at, 2).try_cast("int")
-    seconds = part(1) * 3600 + part(4) * 60 + part(7)
-    return F.when(text.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), seconds)
+    """Seconds since midnight of a time of day, to the microsecond; NULL when it is none.
+
+    One or two digits of hours, minutes and, if given, seconds, with or without a fraction; blanks around it do not matter.
+    """
+    form = r"^\s*([01]?\d|2[0-3]):([0-5]?\d)(?::([0-5]?\d)(?:\.(\d*))?)?\s*\z"
+    part = lambda k: F.coalesce(F.regexp_extract(text, form, k).try_cast("int"), F.lit(0))
+    fraction = F.rpad(F.substring(F.regexp_extract(text, form, 4), 1, 6), 6, "0")
+    seconds = F.concat_ws(".", part(1) * 3600 + part(2) * 60 + part(3), fraction).cast("decimal(18,6)")
+    return F.when(text.rlike(form), seconds)
 
 
 def zone_hours(label: Column) -> Column:
@@ -122,14 +127,17 @@ def incomplete_groups(df: DataFrame, group: str, member: str, size: int, name: s
     return rule(name, per.where(F.col("n") != size))
 
 
-def outline_health() -> dict[str, Column]:
-    """Footprints that cross themselves or have no area, and rows without one."""
+def outline_health(ring: Column | None = None) -> dict[str, Column]:
+    """Footprints that cross themselves or have no area, and rows without one.
+
+    With the decoded `ring` an empty outline is told from a missing one; corner columns alone cannot tell them apart.
+    """
     q = quads.corners()
     missing = reduce(lambda a, b: a | b, [c.isNull() for xy in q for c in xy])
     return {
-        "frame without a footprint": missing,
+        "frame without a footprint": missing if ring is None else ring.isNull(),
         "invalid footprint": ~missing & (crossed(q) | (quads.area(q) == 0)),
-        "empty footprint": missing,
+        "empty footprint": missing if ring is None else ring.isNotNull() & (F.size(ring) == 0),
     }
 
 

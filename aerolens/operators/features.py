@@ -121,11 +121,15 @@ def sizes() -> dict[str, Column]:
     }
 
 
-def attributes(located: DataFrame) -> DataFrame:
+def attribute_columns() -> list[Column]:
     """The ten columns every export carries."""
-    df = located.withColumns(sizes())
-    radius = F.when(F.col("kind") == "circle", F.col("radius_m"))
-    return df.select("id", "kind", "label", "notes", "color", radius.alias("radius_m"), "length_ft", "perimeter_ft", "area_sqft", F.col("created_at").alias("created"))
+    size, radius = sizes(), F.when(F.col("kind") == "circle", F.col("radius_m"))
+    measures = [size[n].alias(n) for n in ("length_ft", "perimeter_ft", "area_sqft")]
+    return [*[F.col(n) for n in ("id", "kind", "label", "notes", "color")], radius.alias("radius_m"), *measures, F.col("created_at").alias("created")]
+
+
+def attributes(located: DataFrame) -> DataFrame:
+    return located.select(*attribute_columns())
 
 
 def _roomiest(ring: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

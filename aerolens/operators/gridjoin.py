@@ -59,7 +59,7 @@ def points_in_shapes(
     cell: float = CELL_FT,
     levels: Sequence[int] = (0,),
     floor: int = HOT_FLOOR,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """All pairs of a point and a shape whose box holds it and for which `inside` is true.
 

@@ -61,37 +61,41 @@ def planned_regions(regions: DataFrame, levels: DataFrame, max_tiles: Column | i
     df = df.withColumns(
         {"cx0": F.greatest(zero, "x0"), "cy0": F.greatest(zero, "y0"), "cx1": F.least("fw", "x1"), "cy1": F.least("fh", "y1")}
     ).where("cx1 > cx0 AND cy1 > cy0")
-    df = df.withColumn("__all", F.explode("ladder"))
-    lv = F.col("__all")
-    sx, sy = lv["width"] / F.col("fw"), lv["height"] / F.col("fh")
-    across, down = F.ceil(lv["width"] / lv["tile_width"]), F.ceil(lv["height"] / lv["tile_height"])
-    first = lambda v, s, t, n: F.least(n - 1, F.floor(F.col(v) * s / t))
-    df = df.withColumns({"sx": sx, "sy": sy, "across": across, "down": down})
-    df = df.withColumns({"col0": first("cx0", F.col("sx"), lv["tile_width"], F.col("across")), "row0": first("cy0", F.col("sy"), lv["tile_height"], F.col("down"))})
-    last = lambda v, s, t, n, a: F.least(n - 1, F.greatest(a, F.ceil(F.col(v) * s / t) - 1))
-    df = df.withColumns(
-        {
-            "col1": last("cx1", F.col("sx"), lv["tile_width"], F.col("across"), F.col("col0")),
-            "row1": last("cy1", F.col("sy"), lv["tile_height"], F.col("down"), F.col("row0")),
-        }
-    )
-    df = df.withColumns({"rect_x": F.col("col0") * lv["tile_width"], "rect_y": F.col("row0") * lv["tile_height"]})
-    df = df.withColumns(
-        {
-            "rect_w": F.least((F.col("col1") + 1) * lv["tile_width"], lv["width"]) - F.col("rect_x"),
-            "rect_h": F.least((F.col("row1") + 1) * lv["tile_height"], lv["height"]) - F.col("rect_y"),
-            "tiles": (F.col("col1") - F.col("col0") + 1) * (F.col("row1") - F.col("row0") + 1),
-        }
-    )
     enough = F.filter("ladder", lambda o: o["width"] / F.col("fw") >= F.col("need") * tolerance)
     start = F.coalesce(F.try_element_at(enough, F.lit(1))["width"], F.col("fw"))
-    smallest = F.element_at("ladder", 1)["width"]
-    fits = (F.col("tiles") <= most) & (F.col("rect_w") <= max_side) & (F.col("rect_h") <= max_side)
-    df = df.where((lv["width"] <= start) & (fits | (lv["width"] == smallest)))
+    # Columns that the steps below read once for each level.
+    df = df.withColumns({"__start": start, "__most": most, "__smallest": F.element_at("ladder", 1)["width"]})
+
+    def scaled(lv: Column) -> Column:
+        return F.struct(
+            lv["width"].alias("width"), lv["level"].alias("level"), lv["height"].alias("height"), lv["tile_width"].alias("tw"), lv["tile_height"].alias("th"),
+            (lv["width"] / F.col("fw")).alias("sx"), (lv["height"] / F.col("fh")).alias("sy"),
+            F.ceil(lv["width"] / lv["tile_width"]).alias("across"), F.ceil(lv["height"] / lv["tile_height"]).alias("down"),
+        )
+
+    first = lambda v, s, t, n: F.least(n - 1, F.floor(F.col(v) * s / t))
+    last = lambda v, s, t, n, a: F.least(n - 1, F.greatest(a, F.ceil(F.col(v) * s / t) - 1))
+    starts = lambda o: o.withField("col0", first("cx0", o["sx"], o["tw"], o["across"])).withField("row0", first("cy0", o["sy"], o["th"], o["down"]))
+    ends = lambda o: o.withField("col1", last("cx1", o["sx"], o["tw"], o["across"], o["col0"])).withField("row1", last("cy1", o["sy"], o["th"], o["down"], o["row0"]))
+
+    def planned(o: Column) -> Column:
+        x, y = o["col0"] * o["tw"], o["row0"] * o["th"]
+        return F.struct(
+            o["width"].alias("width"), o["level"].alias("level"), o["across"].alias("across"), *[o[c].alias(c) for c in ("col0", "col1", "row0", "row1")],
+            x.alias("rect_x"), y.alias("rect_y"),
+            (F.least((o["col1"] + 1) * o["tw"], o["width"]) - x).alias("rect_w"), (F.least((o["row1"] + 1) * o["th"], o["height"]) - y).alias("rect_h"),
+            ((o["col1"] - o["col0"] + 1) * (o["row1"] - o["row0"] + 1)).alias("tiles"), o["sx"].alias("sx"), o["sy"].alias("sy"),
+        )
+
+    steps = "ladder"
+    for step in (scaled, starts, ends, planned):
+        steps = F.transform(steps, step)
+    fits = lambda o: (o["tiles"] <= F.col("__most")) & (o["rect_w"] <= max_side) & (o["rect_h"] <= max_side)
+    good = F.filter(steps, lambda o: (o["width"] <= F.col("__start")) & (fits(o) | (o["width"] == F.col("__smallest"))))
+    # A struct led by the width: the greatest is the widest level that serves.
+    df = df.withColumn("__p", F.array_max(good)).where("__p IS NOT NULL")
     names = ["level", "width", "across", "col0", "col1", "row0", "row1", "rect_x", "rect_y", "rect_w", "rect_h", "tiles", "sx", "sy"]
-    plan = F.struct(lv["width"].alias("width"), lv["level"].alias("level"), *[F.col(c) for c in names[2:]])
-    best = df.groupBy(*regions.columns).agg(F.max_by(plan, lv["width"]).alias("p"))
-    return best.select(*regions.columns, *[F.col(f"p.{c}").alias(c) for c in names])
+    return df.select(*regions.columns, *[F.col(f"__p.{c}").alias(c) for c in names])
 
 
 def plan_tiles(plans: DataFrame, key: list[str]) -> DataFrame:

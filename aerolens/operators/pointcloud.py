@@ -181,7 +181,7 @@ def depth_under_budget(pairs: DataFrame, max_points: float = MAX_POINTS, max_byt
         F.min(F.when(bad & (F.col("depth") > 0), F.col("depth"))).alias("__stop"),
         F.coalesce(F.bool_or(F.when(F.col("depth") == 0, bad)), F.lit(False)).alias("over"),
     )
-    ends = ends.select("area_id", "deepest", "over", F.coalesce(F.col("__stop") - 1, F.col("deepest")).alias("chosen"))
+    ends = ends.select("area_id", "deepest", "over", F.when(F.col("over"), F.lit(0)).otherwise(F.coalesce(F.col("__stop") - 1, F.col("deepest"))).alias("chosen"))
     inside = F.col("depth") <= F.col("chosen")
     return upto.join(ends, "area_id").groupBy("area_id", F.col("chosen"), "deepest", "over").agg(
         F.floor(F.coalesce(F.sum(F.when(inside, F.col("p"))), F.lit(0.0)) + 0.5).alias("points"),

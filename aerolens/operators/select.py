@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -12,7 +13,7 @@ from aerolens.functions.crs import grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.rings import overlap_inclusive
 from aerolens.functions.text import fixed, iso_utc, sidecar
 from aerolens.operators.gridjoin import points_in_shapes
-from aerolens.operators.skew import may_be_hot, with_neighbours
+from aerolens.operators.skew import with_neighbours
 
 # The selection limits and the limits of a request.
 AZ_TOLERANCE, MIN_EDGE_FRAC, MAX_GSD_FT, TOP = 30.0, 0.10, 0.40, 5
@@ -81,11 +82,11 @@ def covering_pairs(points: DataFrame, frames: DataFrame, point_id: Sequence[str]
         (F.col("__convex"), F.least(*turns) >= 0, F.least(*[t / n for t, n in zip(turns, [F.col(f"__len{i}") for i in range(4)])])),
         (~F.col("__convex"), quads.covers(q, px, py), quads.edge_distance(q, px, py)),
     ]
-    out, split = None, may_be_hot(points, frames)
+    out = None
     for which, inside, to_edge in cases:
         side = slim.where(which).withColumns({f"__len{i}": n for i, n in enumerate(lengths)})
         cond = inside if fits is None else inside & fits
-        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on, split=split).withColumn("__to_edge", to_edge)
+        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on).withColumn("__to_edge", to_edge)
         out = pairs if out is None else out.unionByName(pairs)
     slant = quads.distance3(px, py, F.col("z_mid"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
     return out.withColumns(
@@ -292,8 +293,8 @@ def scene_frames(wins: DataFrame, frames: DataFrame, image_base: str) -> DataFra
 
 def parse_look(raw: Column) -> Column:
     """STRUCT<ok, label, azimuth> of a look text: a direction name, `down` (azimuth NULL) or a bearing of up to four digits."""
-    key = F.lower(F.trim(raw))
-    number = key.rlike(r"^-?\d{1,4}(\.\d+)?$")
+    key = F.lower(F.regexp_replace(raw, r"^\s+|\s+\z", ""))
+    number = key.rlike(r"^-?\d{1,4}(\.\d+)?\z")
     azimuth = full_turn(key.try_cast("double"))
     known = key.isin(*LOOK_NAMES, "down")
     for name, value in LOOK_NAMES.items():
@@ -336,7 +337,8 @@ def view_request_problem() -> Column:
 
 def name_request_ok(filename: Column, prefix: str, suffix: str) -> Column:
     """Whether a name has the form of a frame name of the survey whose folders are <prefix><season key><suffix>."""
-    pattern = rf"^{prefix}\d{{4}}_Season\d{suffix}/(Color|Fwd|Bwd|Left|Right)_[0-9_]{{1,40}}\.tif$"
+    quoted = lambda text: re.sub(r"([^A-Za-z0-9_/])", r"\\\1", text)
+    pattern = rf"^{quoted(prefix)}\d{{4}}_Season\d{quoted(suffix)}/(Color|Fwd|Bwd|Left|Right)_[0-9_]{{1,40}}\.tif\z"
     return F.coalesce(filename.rlike(pattern), F.lit(False))
 
 

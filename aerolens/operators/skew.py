@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # 1 / HOT_SHARE hot keys: that bound is what makes broadcasting their list safe at any table size.
 HOT_SHARE = 0.001
 HOT_FLOOR = 100_000
-SMALL_BYTES = 512 * 1024 * 1024
-# The optimiser reports a table it knows nothing about as larger than this.
-UNKNOWN_BYTES = 2**60
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], parts: str, floor: int = HOT_FLOOR) -> DataFrame:
@@ -22,16 +19,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], parts: str, floor: int = HOT_FL
     return counts.where(F.col("__n") > limit).select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias(parts))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of a table as the optimiser estimates it from its files: no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def may_be_hot(*tables: DataFrame) -> bool:
-    """Whether tables are big enough together for one key to overload a task."""
-    return sum(plan_bytes(t) for t in tables) >= SMALL_BYTES
-
-
 def spread_join(
     left: DataFrame,
     right: DataFrame,
@@ -40,16 +27,15 @@ def spread_join(
     right_id: Sequence[str],
     condition: Column | None = None,
     floor: int = HOT_FLOOR,
-    split: bool | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Inner equi-join in which a hot key is cut into a grid of parts, from both sides.
 
     Rows of a hot key are dealt to parts by a hash of their identity and copied to every part of the other side, so
     each pair still meets exactly once. Other keys are left alone. Nothing is dropped and no group meets in one task.
-    Without `split` the sizes decide: where both inputs together are estimated small no key can be hot, and the plain
-    join is left to the optimiser.
+    Which keys are hot is counted on the rows at every size; `split=False` asks for the plain join.
     """
-    if not (may_be_hot(left, right) if split is None else split):
+    if not split:
         out = left.join(right, list(keys))
         return out if condition is None else out.where(condition)
     hot = hot_keys(left, keys, "__lp", floor).join(hot_keys(right, keys, "__rp", floor), list(keys), "full")

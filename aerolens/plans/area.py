@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from aerolens.operators import pointcloud
 from aerolens.session import staged
@@ -11,14 +11,19 @@ from aerolens.session import staged
 def load(areas: DataFrame, tiles: DataFrame, nodes: DataFrame, points: DataFrame, max_points: float = pointcloud.MAX_POINTS, max_bytes: float = pointcloud.MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """(points inside the areas down to the planned depth, one summary row per area).
 
-    The plan comes first and the point table is joined with it on (file, key), so only planned nodes are clipped.
+    The plan comes first and the point table is joined with it on (file, key), so only planned nodes are clipped. An area
+    reads the nodes of its own tiles alone, whatever other areas are asked with it; one that needs more tiles than a load
+    may read has none.
     """
     grid = staged(pointcloud.grid_areas(pointcloud.within_limit(areas).select("area_id", "ring")))
     chosen = staged(pointcloud.tiles_for_areas(tiles, grid))
-    read = nodes.join(chosen.select(chosen["tile_id"].alias("file")).distinct(), "file", "left_semi")
-    pairs = staged(pointcloud.nodes_over_areas(pointcloud.with_node_boxes(read), grid))
+    loaded = chosen.where("NOT refused")
+    own = loaded.select("area_id", F.col("tile_id").alias("file")).distinct()
+    read = nodes.join(own.select("file").distinct(), "file", "left_semi")
+    pairs = pointcloud.nodes_over_areas(pointcloud.with_node_boxes(read), grid)
+    pairs = staged(pairs.join(own, ["area_id", "file"], "left_semi"))
     plan = pointcloud.depth_under_budget(pairs, max_points, max_bytes)
     wanted = pointcloud.selected_nodes(pairs, plan).select("area_id", "file", "key")
     clipped = pointcloud.clipped_points(points.join(wanted.select("file", "key").distinct(), ["file", "key"], "left_semi"), grid)
     clipped = clipped.join(wanted, ["area_id", "file", "key"], "left_semi")
-    return clipped, pointcloud.load_summary(plan, chosen, pointcloud.chunk_sizes(clipped))
+    return clipped, pointcloud.load_summary(plan, loaded, pointcloud.chunk_sizes(clipped))

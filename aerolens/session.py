@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,29 +28,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "aer
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a stage that several later jobs read.
+    """Cut the lineage of a stage that several later jobs read: a Parquet table in the work folder, read back.
 
-    The checkpoint folder is the shared one the cluster names. Only a local session without one gets a folder of its
-    own; on a cluster without the setting the plan is left as it is, since a machine-local folder dies with its executor.
+    Its readers prune columns and push filters, and lost executors cost no repeated work.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="aerolens-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
+    at = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, which spark.checkpoint.dir names; a local session without it gets its own.
 
-def work_folder(spark: SparkSession) -> str | None:
-    """The shared folder for intermediate tables: the cluster's checkpoint folder, or one of our own in a local session."""
+    A cluster has to name one: a machine-local folder dies with its executor and is not seen by the others.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
-            return None
-        shared = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="aerolens-"))
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="aerolens-")
+        shared = _LOCAL["dir"]
     return f"{shared}/aerolens-{spark.sparkContext.applicationId}"
 
 
@@ -60,12 +59,9 @@ _WRITTEN: dict[tuple[str, str], StructType] = {}
 def stored(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A derived table, written once per application to the work folder and read back from there.
 
-    Readers then prune its columns and push filters into the scan, and recompute nothing. Without a shared folder on a
-    cluster the table is derived in place each time.
+    Readers then prune its columns and push filters into the scan, and recompute nothing.
     """
     folder = work_folder(spark)
-    if folder is None:
-        return make()
     name = hashlib.sha1(key.encode()).hexdigest()[:16]
     at = (folder, name)
     if at not in _WRITTEN:

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from aerolens.operators.features import attributes, with_geometry
+from aerolens.operators.features import attribute_columns, with_geometry
 from aerolens.sources.wkb import to_wkb
 
 # The grid's definition as PROJJSON. Degrees need none: the format's default is longitude, latitude.
@@ -68,13 +69,12 @@ STATE_PLANE = {
 
 def prepared(located: DataFrame, crs: str = "wgs84") -> DataFrame:
     """Features ready to write: WKB, geometry type, bounds, and the ten attribute columns."""
-    geom = with_geometry(located, crs)
     lon, lat = F.transform("path", lambda p: p["lon"]), F.transform("path", lambda p: p["lat"])
-    shape = geom.select(
-        "id", to_wkb("type", "path").alias("geometry"), "type", F.array_min(lon).alias("xmin"), F.array_min(lat).alias("ymin"),
-        F.array_max(lon).alias("xmax"), F.array_max(lat).alias("ymax"),
+    own = attribute_columns()
+    return with_geometry(located, crs).select(
+        own[0], to_wkb("type", "path").alias("geometry"), "type", F.array_min(lon).alias("xmin"), F.array_min(lat).alias("ymin"),
+        F.array_max(lon).alias("xmax"), F.array_max(lat).alias("ymax"), *own[1:],
     )
-    return shape.join(attributes(located), "id")
 
 
 HELPERS = ("type", "xmin", "ymin", "xmax", "ymax")
@@ -106,9 +106,9 @@ class GeoParquetWriter(DataSourceArrowWriter):
             t = pa.Table.from_batches([batch])
             if t.num_rows == 0:
                 continue
-            types |= set(t["type"].to_pylist())
-            low = [min(t[c].to_pylist()) for c in ("xmin", "ymin")]
-            high = [max(t[c].to_pylist()) for c in ("xmax", "ymax")]
+            types |= set(pc.unique(t["type"]).to_pylist())
+            low = [pc.min(t[c]).as_py() for c in ("xmin", "ymin")]
+            high = [pc.max(t[c]).as_py() for c in ("xmax", "ymax")]
             box = low + high if box is None else [min(box[0], low[0]), min(box[1], low[1]), max(box[2], high[0]), max(box[3], high[1])]
             t = t.drop_columns(list(HELPERS))
             if writer is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aerolens.functions.crs import lonlat_to_grid
-from aerolens.operators.features import attributes, with_geometry
+from aerolens.operators.features import attribute_columns, with_geometry
 
 PATCH_SCHEMA = "patch_id bigint, cellSize double, lowerLeftX double, lowerLeftY double, noDataValue double, value array<array<double>>"
 ITEM_SCHEMA = (
@@ -75,7 +75,6 @@ def catalogue_items(raw: DataFrame, phase: Column | int) -> DataFrame:
 
 def geojson_features(located: DataFrame) -> DataFrame:
     """One GeoJSON feature per row (id, json): degrees, polygons closed, attributes with their empty values."""
-    geom = with_geometry(located).select("id", "type", "path")
     pair = lambda q: F.array(q["lon"], q["lat"])
     line = F.transform("path", pair)
     coords = (
@@ -83,15 +82,13 @@ def geojson_features(located: DataFrame) -> DataFrame:
         .when(F.col("type") == "LineString", F.to_json(line))
         .otherwise(F.to_json(F.array(line)))
     )
-    table = attributes(located)
-    properties = F.to_json(F.struct(*[F.col(c) for c in table.columns]), {"ignoreNullFields": "false"})
-    props = table.select("id", properties.alias("__p"))
+    properties = F.to_json(F.struct(*attribute_columns()), {"ignoreNullFields": "false"})
     quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     feature = F.concat(
         F.lit('{"type":"Feature","id":'), quoted(F.col("id")), F.lit(',"geometry":{"type":"'), "type", F.lit('","coordinates":'), coords,
-        F.lit('},"properties":'), "__p", F.lit("}"),
+        F.lit('},"properties":'), properties, F.lit("}"),
     )
-    return geom.join(props, "id").select("id", feature.alias("json"))
+    return with_geometry(located).select("id", feature.alias("json"))
 
 
 def write_geojson(located: DataFrame, path: str) -> None:
