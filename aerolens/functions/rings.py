@@ -134,6 +134,23 @@ def inside(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(0), lambda n, e: n + crossing(e)) % 2 == 1
 
 
+def covers(ring: Column, px: Column, py: Column) -> Column:
+    """Point in outline, the outline included."""
+
+    def touches(e: Column) -> Column:
+        turn = (e["bx"] - e["ax"]) * (py - e["ay"]) - (px - e["ax"]) * (e["by"] - e["ay"])
+        within = px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+        return (turn == 0) & within
+
+    return inside(ring, px, py) | F.exists(edges(ring), touches)
+
+
+def opened(ring: Column) -> Column:
+    """The outline without the repeated first vertex of a closed one."""
+    last = F.when((F.size(ring) > 1) & ring[0].eqNullSafe(F.element_at(ring, -1)), F.size(ring) - 1).otherwise(F.size(ring))
+    return F.slice(ring, 1, last)
+
+
 def edge_distance(ring: Column, px: Column, py: Column, closed: bool = True) -> Column:
     """Distance from a point to the nearest edge; NULL without edges."""
     return F.sqrt(

@@ -17,7 +17,10 @@ TYPE_CODE = {"Point": 1, "LineString": 2, "Polygon": 3}
 
 
 def _ring(blob: bytes | None) -> list[dict] | None:
-    """Vertices of the outer ring of a polygon in any of the usual dialects; M is dropped and a missing Z is 0."""
+    """Vertices of the outer ring of a polygon in any of the usual dialects; M is dropped and a missing Z is 0.
+
+    Another kind of geometry has no ring; a polygon without rings has an empty one.
+    """
     if blob is None:
         return None
     order = "<" if blob[0] == 1 else ">"
@@ -29,7 +32,7 @@ def _ring(blob: bytes | None) -> list[dict] | None:
     code &= 0x0FFFFFFF
     dims = {0: (has_z, has_m), 1: (True, False), 2: (False, True), 3: (True, True)}[code // 1000]
     if code % 1000 != 3:
-        raise ValueError(f"not a polygon: type {code}")
+        return None
     if struct.unpack_from(order + "I", blob, at)[0] == 0:
         return []
     n = struct.unpack_from(order + "I", blob, at + 4)[0]
@@ -45,10 +48,15 @@ def _decode(blobs: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def with_outlines(df: DataFrame, blob: str = "footprint_wkb") -> DataFrame:
-    """Decode outlines once, at ingest: `ring`, the four corner columns the rest of the library works on, and the srid."""
+    """Decode outlines once, at ingest: `ring` with all its vertices, four corner columns, and the srid.
+
+    The corner columns are those of four-cornered outlines, which take the short formulas; other outlines have NULL there
+    and are worked on by their ring.
+    """
     decode = F.pandas_udf(_decode, RING)
     out = df.withColumn("ring", decode(blob)).drop(blob)
-    corner = lambda n: F.try_element_at("ring", F.lit(n + 1))
+    four = (F.size("ring") == 5) & F.element_at("ring", 1).eqNullSafe(F.try_element_at("ring", F.lit(5))) | (F.size("ring") == 4)
+    corner = lambda n: F.when(four, F.try_element_at("ring", F.lit(n + 1)))
     return out.withColumns({**{f"{a}{n}": corner(n)[a] for n in range(4) for a in "xyz"}, "srid": F.lit(SRID)})
 
 

@@ -1,12 +1,15 @@
 """Rows that the synthetic survey does not have."""
 
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
+from aerolens.catalog import domain
 from aerolens.operators import expect, imagery, pointcloud, select
-from aerolens.sources import geoparquet, tables
 from aerolens.operators.features import on_grid, repaired
-from aerolens.catalog import domain
+from aerolens.operators.select import candidates, with_outline_terms
+from aerolens.sources import geoparquet, tables, wkb
 
 
 def test_equal_region_requests_keep_their_rows(spark):
@@ -44,3 +47,22 @@ def test_features_with_one_id_stay_one_row_each(spark, sf):
     three = one.unionByName(one).unionByName(one)
     assert tables.geojson_features(three).count() == 3
     assert geoparquet.prepared(three).count() == 3
+
+
+def test_outlines_of_any_shape_are_kept_whole(spark, sf):
+    def polygon(points):
+        return struct.pack("<BIII", 1, 1003, 1, len(points)) + b"".join(struct.pack("<3d", *p) for p in points)
+
+    # An L of six corners around the same place as a square, with the notch in the north-east.
+    ell = [(0, 0, 5), (10, 0, 5), (10, 10, 5), (5, 10, 7), (5, 20, 7), (0, 20, 5), (0, 0, 5)]
+    square = [(0, 0, 5), (10, 0, 5), (10, 20, 5), (0, 20, 5), (0, 0, 5)]
+    frame = domain.frames(spark, sf).where("camera = 'Color'").limit(1).drop(*[f"{a}{n}" for a in "xyz" for n in range(4)], "xmin", "ymin", "xmax", "ymax", "cen_x", "cen_y", "sqrt_area", "z_mid", "turning")
+    extra = spark.createDataFrame([("ell", polygon(ell)), ("square", polygon(square)), ("point", struct.pack("<BI2d", 1, 1, 1.0, 2.0)), ("none", None)], "filename string, footprint_wkb binary")
+    frames = with_outline_terms(wkb.with_outlines(frame.drop("filename").crossJoin(extra)))
+    found = {r.filename: r for r in frames.collect()}
+    assert found["ell"].sqrt_area ** 2 == pytest.approx(150) and found["square"].sqrt_area ** 2 == pytest.approx(200)
+    assert found["ell"].x0 is None and found["square"].x2 == 10.0 and found["point"].ring is None and found["ell"].z_mid == 6.0
+    asked = spark.createDataFrame([(1, 2.0, 15.0, None), (2, 7.0, 15.0, None), (3, 7.0, 10.0, None), (4, 11.0, 5.0, None)], "point_id int, px double, py double, want_azimuth double")
+    got = candidates(asked, frames.where("filename IN ('ell', 'square')")).collect()
+    assert {(r.point_id, r.filename) for r in got} == {(1, "ell"), (1, "square"), (2, "square"), (3, "ell"), (3, "square")}
+    assert next(r for r in got if (r.point_id, r.filename) == (1, "ell")).edge_frac == pytest.approx(2 / 150**0.5)
