@@ -12,7 +12,8 @@ query; so a vector that a third of all rows share is scanned once. Lists are cut
 by a hash, and a query meets the pieces of its lists, so a task's group is bounded however large a list is.
 
 The vectors without structure that this was measured on need a large share of the lists for a recall of 0.9; `probes` is a
-share, so the recall holds at every size, and the lists grow with the square root of the rows.
+share, so the recall holds at every size, and the lists grow with the square root of the rows. A query whose lists hold too few
+vectors for k answers probes further ones.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 as query or candidate; a null id takes no part; repeated ids count once per id and vector; with fewer than k candidates all
@@ -139,11 +140,16 @@ def search(
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.stack(b["v"].to_numpy()) if len(b) else np.empty((0, dims))
-            near = np.argpartition(_squared(x, c), min(probed, len(c)) - 1, axis=1)[:, :probed]
-            yield pd.DataFrame({"list": list(near.astype("int32")), "group": b["group"], "v": b["v"]})
+            order = np.argsort(_squared(x, c), axis=1, kind="stable")
+            # The probed share, and on until the lists hold enough.
+            enough = (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1
+            yield pd.DataFrame({"list": [o[: max(probed, n)].astype("int32") for o, n in zip(order, enough.tolist())], "group": b["group"], "v": b["v"]})
 
     listed = common.stored(groups.select("group", "v").mapInPandas(assign, "list int, group long, v array<double>"), "lists")
     sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / piece).cast("int").alias("pieces"))  # one row for each centre
+    held = np.zeros(len(c), np.int64)
+    for row in listed.groupBy("list").count().collect():  # one row for each centre
+        held[row["list"]] = row["count"]
     sizes = F.broadcast(sizes) if len(c) <= common.BROADCAST_ROWS else sizes
     pieces = listed.join(sizes, "list").withColumn("piece", F.pmod(F.xxhash64("group"), F.col("pieces")).cast("int")).drop("pieces")
     heads = asked.select("group").distinct().join(groups.select("group", "v"), "group")
