@@ -187,6 +187,11 @@ def _shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, shingles array<long>")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Numbers of rows: where they are few they are sent to the texts, else both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (42, 43, 44), distance: int = 3, bucket: int = 32) -> DataFrame:
     """`docs` without near copies: of each group the row with the smallest doc_id stays.
 
@@ -202,8 +207,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     named = common.stored(stored.select("row", F.col("doc.doc_id").alias("doc_id"), F.md5(words).alias("digest")), "near-digests")
     same = common.stored(named.groupBy("digest").agg(F.min("row").alias("head")), "near-heads")
     named = common.stored(named.join(same, "digest").select("row", "doc_id", "head"), "near-rows")
-    heads = stored.join(same.select(F.col("head").alias("row")), "row", "left_semi").select("row", F.col("doc.text").alias("text"))
-    prints = common.stored(with_fingerprints(heads, 1, seeds), "near-fingerprints")
+    texts = stored.select("row", F.col("doc.text").alias("text"))
+    prints = with_fingerprints(texts, 1, seeds).join(same.select(F.col("head").alias("row")), "row", "left_semi")
+    prints = common.stored(prints, "near-fingerprints")
 
     found = None
     for k in range(len(seeds)):
@@ -221,7 +227,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
         found = pairs if found is None else found.unionByName(pairs)
     found = common.stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-candidates")
     some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row"))).distinct()
-    sets = common.stored(_shingle_sets(heads.join(some, "row", "left_semi"), shingle), "near-shingles")
+    sets = common.stored(_shingle_sets(texts.join(_sent(common.stored(some, "near-some")), "row", "left_semi"), shingle), "near-shingles")
     checked = found.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
     both = F.size(F.array_intersect("s", "t"))
     # Texts without words have no shingles and one digest; they never meet here.
@@ -230,6 +236,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     groups = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
     groups = common.stored(groups, "near-groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    stay = common.stored(groups.groupBy("root").agg(least.alias("best")).select(F.col("best.row").alias("row")), "near-stay")
-    kept = stored.join(stay, "row", "left_semi")
+    best = common.stored(groups.groupBy("root").agg(least.alias("best")).select("root", F.col("best.row").alias("stays")), "near-best")
+    gone = common.stored(groups.join(best, "root").where("row <> stays").select("row"), "near-gone")
+    kept = stored.join(_sent(gone), "row", "left_anti")
     return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
