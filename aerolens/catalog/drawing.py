@@ -75,7 +75,7 @@ _SURF = f"CASE WHEN {s.ring_area('ring')} > 0 THEN {s.ring_area('ring')} * sqrt(
 def _surfaces(spark, sf):
     m = features.measured(domain.measurements(spark, sf)).where((F.col("tool") == "area3d") & (F.size("v") >= 3))
     outlines = m.select(F.col("meas_id").alias("shape_id"), F.col("meas_id").alias("patch_id"), F.transform("v", lambda p: rings.point(p["x"], p["y"])).alias("ring"))
-    make = lambda: features.surface_areas(outlines, _big_patches(spark, sf), samples=400)
+    make = lambda: features.surface_areas(outlines, _big_patches(spark, sf))
     return stored(spark, f"surfaces|{sf}", make)
 
 

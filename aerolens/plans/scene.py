@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 from aerolens.functions import quads
@@ -10,6 +13,7 @@ from aerolens.operators import imagery, photo, select
 from aerolens.session import staged
 
 SPOTS, OUTLINE_SPOTS = 9, 3
+BOX = ("west", "south", "east", "north", "want_azimuth")
 
 
 def _spread(views: DataFrame, n: int) -> DataFrame:
@@ -25,9 +29,18 @@ def _spread(views: DataFrame, n: int) -> DataFrame:
 def read_plan(views: DataFrame, frames: DataFrame, levels: DataFrame, screen_px: float = 1000.0, lim: int = 6) -> DataFrame:
     """One row per photo a view needs: level and tile rectangle, within the tile budget the view's photos share.
 
-    `frames` has the rotation columns; `levels` describes each photo under its filename as `photo`.
+    `frames` has the rotation columns; `levels` describes each photo under its filename as `photo`. Views that share a rounded
+    box and a direction are planned once.
     """
-    boxes = imagery.shared_boxes(views)
+    rounded = imagery.shared_boxes(views)
+    shared = rounded.groupBy(*BOX).agg(F.min("view_id").alias("shared_id"))
+    same = reduce(and_, [rounded[c].eqNullSafe(shared[c]) for c in BOX])
+    members = rounded.join(shared, same).select("view_id", "shared_id")
+    plan = _plan(shared.withColumnRenamed("shared_id", "view_id"), frames, levels, screen_px, lim)
+    return members.join(plan.withColumnRenamed("view_id", "shared_id"), "shared_id").drop("shared_id")
+
+
+def _plan(boxes: DataFrame, frames: DataFrame, levels: DataFrame, screen_px: float, lim: int) -> DataFrame:
     wins = staged(select.frames_in_views(boxes, frames, lim))
     rig = frames.select("filename", *photo.RIG_COLUMNS, quads.mean_height(quads.heights()).alias("gz"))
     stack = wins.select("view_id", "filename", F.col("place").alias("priority")).join(rig, "filename")

@@ -15,12 +15,15 @@ import re
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ENVELOPE_BYTES = (0, 32, 48, 48, 64)
 ROWS_PER_PARTITION = 200_000
+BATCH_ROWS = 4096
 
 
 def _open(path: str) -> sqlite3.Connection:
@@ -73,6 +76,7 @@ class FidRange(InputPartition):
 
 class GeoPackageReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict):
+        self.schema = to_arrow_schema(schema)
         self.names = [f.name for f in schema.fields]
         self.bools = [isinstance(f.dataType, T.BooleanType) for f in schema.fields]
         self.paths = _paths(options)
@@ -89,25 +93,23 @@ class GeoPackageReader(DataSourceReader):
                 out += [FidRange(path, at, min(at + self.rows - 1, hi)) for at in range(lo, hi + 1, self.rows)]
         return out
 
-    def read(self, part: FidRange) -> Iterator[tuple]:
+    def read(self, part: FidRange) -> Iterator[pa.RecordBatch]:
         con = _open(part.path)
         try:
             table, geom = _main_table(con, self.table)
             named = [n for n in self.names if n != "source_file"]
-            columns = ", ".join(_quoted(geom if n == "geometry_wkb" else n) for n in named)
-            shape = named.index("geometry_wkb") if "geometry_wkb" in named else None
-            at = self.names.index("source_file") if "source_file" in self.names else None
-            bools = [i for i, n in enumerate(named) if self.bools[self.names.index(n)]]
-            sql = f"SELECT {columns} FROM {_quoted(table)} WHERE fid BETWEEN ? AND ?"
-            for row in con.execute(sql, (part.first, part.last)):
-                row = list(row)
-                for i in bools:
-                    row[i] = None if row[i] is None else bool(row[i])
-                if shape is not None:
-                    row[shape] = wkb_of(row[shape])
-                if at is not None:
-                    row.insert(at, os.path.basename(part.path))
-                yield tuple(row)
+            columns = ", ".join(["fid", *(_quoted(geom if n == "geometry_wkb" else n) for n in named)])
+            rows = con.execute(f"SELECT {columns} FROM {_quoted(table)} WHERE fid BETWEEN ? AND ?", (part.first, part.last))
+            while block := rows.fetchmany(BATCH_ROWS):
+                values = dict(zip(named, list(zip(*block))[1:]))
+                for n, is_bool in zip(self.names, self.bools):
+                    if is_bool:
+                        values[n] = [None if v is None else bool(v) for v in values[n]]
+                if "geometry_wkb" in values:
+                    values["geometry_wkb"] = [wkb_of(v) for v in values["geometry_wkb"]]
+                if "source_file" in self.names:
+                    values["source_file"] = [os.path.basename(part.path)] * len(block)
+                yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) for f in self.schema], schema=self.schema)
         finally:
             con.close()
 
