@@ -17,6 +17,7 @@ one another; with one document alone all its words are unseen; an empty table gi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ KEPT_WORDS = 500_000
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The bytes of numbers, place by place, compressed: small numbers have mostly empty places."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return raw.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _ODD[4]
     return h ^ (h >> np.uint64(29))
@@ -55,7 +66,7 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
     """One row for each chunk: its documents' ids and numbers of words, and its words as places in a list of word hashes."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType
-    schema = StructType().add("chunk", LongType()).add("doc_ids", ArrayType(kind)).add("lengths", ArrayType(IntegerType())).add("hashes", BinaryType()).add("words", BinaryType())
+    schema = StructType().add("chunk", LongType()).add("doc_ids", ArrayType(kind)).add("lengths", ArrayType(IntegerType())).add("hashes", BinaryType()).add("n", LongType()).add("words", BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -75,7 +86,11 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
                 lengths.append(len(words))
                 size += len(words)
                 if size >= chunk_words or i == len(texts) - 1:
-                    hashes, places = np.unique(np.array(found, np.uint64), return_inverse=True)
+                    hashes, places, n = np.unique(np.array(found, np.uint64), return_inverse=True, return_counts=True)
+                    order = np.argsort(-n, kind="stable")  # common words get small places
+                    rank = np.empty(len(order), np.int32)
+                    rank[order] = np.arange(len(order), dtype=np.int32)
+                    hashes, places = hashes[order], rank[places]
                     part = ids.slice(at, i + 1 - at)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -83,9 +98,10 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
                             pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part),
                             pa.array([lengths], pa.list_(pa.int32())),
                             pa.array([hashes.tobytes()], pa.binary()),
-                            pa.array([places.astype(np.int32).tobytes()], pa.binary()),
+                            pa.array([len(places)], pa.int64()),
+                            pa.array([_packed(places)], pa.binary()),
                         ],
-                        ["chunk", "doc_ids", "lengths", "hashes", "words"],
+                        ["chunk", "doc_ids", "lengths", "hashes", "n", "words"],
                     )
                     chunk, at, lengths, found, size = chunk + 1, i + 1, [], [], 0
 
@@ -94,15 +110,14 @@ def chunks(docs: DataFrame, chunk_words: int) -> DataFrame:
 
 def _grams_of(hashes: bytes, words: bytes, lengths, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     lengths = np.asarray(lengths, np.int64)
-    return grams(np.frombuffer(hashes, np.uint64)[np.frombuffer(words, np.int32)], lengths, order), lengths
+    return grams(np.frombuffer(hashes, np.uint64)[_unpacked(words, np.int32)], lengths, order), lengths
 
 
-def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: int = 300_000, bucket_words: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: int = 1_000_000, bucket_words: int = 2_000_000) -> DataFrame:
     """Every row with doc_id, n_words, and score: the mean log score of its words, null if it has none."""
     spark = docs.sparkSession
     table = common.stored(chunks(docs, chunk_words), "chunks")
-    total = table.agg(F.sum(F.length("words") / 4)).first()[0] or 0
-    total = int(total)
+    total = table.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(common.partitions(spark, total, bucket_words)))))
     shift = np.uint64(64 - bits)
 
@@ -114,6 +129,7 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: in
                 if not len(keys):
                     continue
                 n = n.astype(np.int32)
+                steps = np.diff(keys, prepend=np.uint64(0))  # of sorted keys, smaller numbers than the keys
                 bucket = (keys >> shift).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket)) + 1
                 some = bucket[np.concatenate([[0], cut])]
@@ -121,19 +137,21 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: in
                     [
                         pa.array(some, pa.int64()),
                         pa.array([row["chunk"]] * len(some), pa.int64()),
-                        pa.array([k.tobytes() for k in np.split(keys, cut)], pa.binary()),
-                        pa.array([k.tobytes() for k in np.split(n, cut)], pa.binary()),
+                        pa.array([k[0] for k in np.split(keys, cut)], pa.uint64()).view(pa.int64()),
+                        pa.array([_packed(k[1:]) for k in np.split(steps, cut)], pa.binary()),
+                        pa.array([_packed(k) for k in np.split(n, cut)], pa.binary()),
                     ],
-                    ["bucket", "chunk", "keys", "n"],
+                    ["bucket", "chunk", "first", "steps", "n"],
                 )
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]])
-        n = np.concatenate([np.frombuffer(k, np.int32) for k in rows["n"]])
+        parts = [np.cumsum(np.concatenate([np.array([f], np.int64).view(np.uint64), _unpacked(k, np.uint64)])) for f, k in zip(rows["first"], rows["steps"])]
+        keys = np.concatenate(parts)
+        n = np.concatenate([_unpacked(k, np.int32) for k in rows["n"]])
         _, place = np.unique(keys, return_inverse=True)
         sums = np.bincount(place, n)[place].astype(np.int64)
-        cut = np.cumsum([len(k) // 8 for k in rows["keys"]])[:-1]
-        return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "sums": [s.tobytes() for s in np.split(sums, cut)]})
+        cut = np.cumsum([len(k) for k in parts])[:-1]
+        return pd.DataFrame({"bucket": rows["bucket"], "chunk": rows["chunk"], "sums": [_packed(s) for s in np.split(sums, cut)]})
 
     id_kind = table.schema["doc_ids"].dataType.elementType
     out_schema = StructType().add("doc_id", id_kind).add("n_words", LongType()).add("score", "double")
@@ -146,7 +164,7 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: in
             mean = np.full(len(lengths), np.nan)
             if len(doc):
                 keys = np.unique(np.concatenate([g[g > 0] for g in found]))
-                sums = np.concatenate([np.frombuffer(s, np.int64) for s in right.sort_values("bucket")["sums"]])
+                sums = np.concatenate([_unpacked(s, np.int64) for s in right.sort_values("bucket")["sums"]])
                 rest = []  # for each order, the count of each word's n-gram in the other documents
                 for g in found:
                     have = g > 0
@@ -166,6 +184,6 @@ def score(docs: DataFrame, order: int = 2, backoff: float = 0.4, chunk_words: in
             parts.append(pd.DataFrame({"doc_id": pd.Series(list(row.doc_ids), dtype=object), "n_words": lengths, "score": pd.Series(mean).astype(object).where(lengths > 0, None)}))
         return pd.concat(parts) if parts else pd.DataFrame({"doc_id": [], "n_words": [], "score": []})
 
-    blocks = table.mapInArrow(exploded, "bucket long, chunk long, keys binary, n binary")
+    blocks = table.mapInArrow(exploded, "bucket long, chunk long, first long, steps binary, n binary")
     counts = blocks.groupBy("bucket").applyInPandas(summed, "bucket long, chunk long, sums binary")
     return table.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(finished, out_schema)
