@@ -34,6 +34,8 @@ BLOCK = 65_536
 KEPT_WORDS = 500_000
 #: At most so many keys, numbers of eight bytes, are sent to every executor.
 KEYS_SENT = 1_000_000
+#: Bins of a shingle set's counts.
+BINS = 128
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> np.ndarray:
@@ -177,14 +179,34 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(row, shingles): the distinct n-word shingles of a text as hashes."""
+    """(row, shingles, n, counts): the distinct n-word shingles of a text as hashes, and how many fall into each of some bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(words_of(t), n)).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+            sets = [np.unique(shingle_hashes(words_of(t), n)) for t in batch.column("text").to_pylist()]
+            counts = [np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32) for x in sets]
+            arrays = [batch.column("row"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "shingles", "n", "counts"])
 
-    return texts.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, "row long, shingles array<long>")
+    rows = texts.select("row", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row long, shingles array<long>, n int, counts array<int>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose shingle sets have the Jaccard similarity.
+
+    Two sets share no more than the smaller counts of their bins add up to; pairs that this rules out, which none of that
+    similarity can be, never carry their sets through a shuffle.
+    """
+    enough = lambda both, a, b: both >= F.lit(similarity) * (a + b - both)
+    slim = sets.select("row", "n", "counts")
+    may = pairs.join(slim.toDF("x", "m", "s"), "x").join(slim.toDF("y", "n", "t"), "y")
+    may = may.where(enough(F.least("m", "n"), F.col("m"), F.col("n")))
+    most = F.aggregate(F.zip_with("s", "t", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    may = common.stored(may.where(enough(most, F.col("m"), F.col("n"))).select("x", "y"), "near-likely")
+    full = sets.select("row", "shingles")
+    checked = may.join(full.toDF("x", "s"), "x").join(full.toDF("y", "t"), "y")
+    return checked.where(enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -192,7 +214,7 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (42, 43, 44), distance: int = 3, bucket: int = 32) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (42, 43, 44), distance: int = 2, bucket: int = 32) -> DataFrame:
     """`docs` without near copies: of each group the row with the smallest doc_id stays.
 
     Texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of at least `similarity`, which is
@@ -228,11 +250,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     found = common.stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-candidates")
     some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row"))).distinct()
     sets = common.stored(_shingle_sets(texts.join(_sent(common.stored(some, "near-some")), "row", "left_semi"), shingle), "near-shingles")
-    checked = found.join(sets.toDF("x", "s"), "x").join(sets.toDF("y", "t"), "y")
-    both = F.size(F.array_intersect("s", "t"))
     # Texts without words have no shingles and one digest; they never meet here.
-    checked = checked.where(both >= F.lit(similarity) * (F.size("s") + F.size("t") - both)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = graph.components(checked, "near-components")
+    roots = graph.components(_alike(found, sets, similarity), "near-components")
     groups = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
     groups = common.stored(groups, "near-groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
