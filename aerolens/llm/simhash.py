@@ -199,9 +199,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     similarity can be, never carry their sets through a shuffle.
     """
     enough = lambda both, a, b: both >= F.lit(similarity) * (a + b - both)
-    slim = sets.select("row", "n", "counts")
-    may = pairs.join(slim.toDF("x", "m", "s"), "x").join(slim.toDF("y", "n", "t"), "y")
-    may = may.where(enough(F.least("m", "n"), F.col("m"), F.col("n")))
+    sizes, slim = sets.select("row", "n"), sets.select("row", "n", "counts")
+    may = pairs.join(sizes.toDF("x", "m"), "x").join(sizes.toDF("y", "n"), "y")
+    may = common.stored(may.where(enough(F.least("m", "n"), F.col("m"), F.col("n"))).select("x", "y"), "near-sized")
+    may = may.join(slim.toDF("x", "m", "s"), "x").join(slim.toDF("y", "n", "t"), "y")
     most = F.aggregate(F.zip_with("s", "t", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
     may = common.stored(may.where(enough(most, F.col("m"), F.col("n"))).select("x", "y"), "near-likely")
     full = sets.select("row", "shingles")
@@ -214,14 +215,92 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
 
 
+def _crowds(prints: DataFrame, distance: int, seed_no: int) -> DataFrame:
+    """(key, seed, fp, n, rows, first): variant keys of one seed that several rows of (row, seed, fp) share, with their fingerprints.
+
+    `n` rows have the fingerprint, the smallest is `first`; `rows` have one of the key's fingerprints. Of keys with the same
+    fingerprints one is enough; they are told by their numbers and two hashes.
+    """
+    own = prints.where(F.col("seed") == seed_no).groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    own = common.stored(own, "near-prints")
+    index = variants(own, distance, ("fp", "n", "first"), seed_no)
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"mark{k}") for k in (1, 2)]
+    keys = index.groupBy("key").agg(F.count("*").alias("prints"), F.sum("n").alias("rows"), *same).where("rows > 1")
+    keys = keys.groupBy("prints", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rows")
+    keys = common.stored(keys, "near-keys")
+    return index.join(_sent(keys), "key").select("key", F.lit(seed_no).alias("seed"), "fp", "n", "rows", "first")
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.expr(f"{a} ^ {b}")) <= distance
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _first_candidates(crowds: DataFrame, prints: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(x, y): all pairs under keys of at most `bucket` rows; under others each fingerprint's first row with the smallest
+    fingerprint's, and each row with its fingerprint's first."""
+    few, many = crowds.where(f"rows <= {bucket}"), crowds.where(f"rows > {bucket}")
+    one = few.select("key", F.col("seed").alias("s"), F.col("fp").alias("a"))
+    close = one.join(few.select("key", F.col("fp").alias("b")), "key").where("a <= b").where(_near("a", "b", distance)).select("s", "a", "b").distinct()
+    left, right = prints.select(F.col("row").alias("x"), F.col("seed").alias("s"), F.col("fp").alias("a")), prints.select(F.col("row").alias("y"), F.col("seed").alias("s"), F.col("fp").alias("b"))
+    pairs = close.join(left, ["s", "a"]).join(right, ["s", "b"]).where("a < b OR x < y").select("x", "y")
+    least = common.stored(many.groupBy("key").agg(F.min(F.struct("fp", "first")).alias("least")).select("key", F.col("least.fp").alias("a"), F.col("least.first").alias("x")), "near-least")
+    starred = many.join(_sent(least), "key").where(_near("a", "fp", distance)).select("x", F.col("first").alias("y"))
+    shared = many.where("n > 1").select("seed", "fp", "first").distinct()
+    shared = prints.join(_sent(common.stored(shared, "near-shared")), ["seed", "fp"]).select(F.col("first").alias("x"), F.col("row").alias("y"))
+    return common.stored(_ordered(pairs.unionByName(starred).unionByName(shared)), "near-candidates")
+
+
+def _linked(crowds: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, distance: int, bucket: int, found: DataFrame) -> DataFrame:
+    """(node, root) of the rows that alike candidates connect, all candidates of crowded keys included.
+
+    Under a key of more than `bucket` rows pairs are not formed at once. In each round it names rows outside its largest group,
+    which are compared with all its rows of other groups, eight times as many in each round, until every row outside the
+    largest group has been named. A pair that was never compared is then of one group already.
+    """
+    roots = common.stored(graph.components(_alike(found, sets, similarity), "near-components"), "near-roots")
+    many = common.stored(crowds.where(f"rows > {bucket}").select("key", "seed", "fp"), "near-many")
+    if many.isEmpty():
+        return roots
+    inside = common.stored(prints.join(_sent(common.stored(many.select("seed", "fp").distinct(), "near-inside")), ["seed", "fp"]), "near-inside-rows")
+    done, names = None, 8
+    while True:
+        placed = inside.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "seed", "fp", F.coalesce("root", "row").alias("group"))
+        placed = common.stored(placed, "near-placed")
+        cells = common.stored(placed.groupBy("seed", "fp", "group").agg(F.count("*").alias("n")), "near-cells")
+        held = many.join(cells, ["seed", "fp"])
+        groups = held.groupBy("key", "group").agg(F.sum("n").alias("n"))
+        largest = groups.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+        largest = common.stored(largest.select("key", F.col("most.group").alias("largest")), "near-largest")
+        # Only keys of several groups are left.
+        held = common.stored(held.join(_sent(largest), "key").select("key", "seed", "fp", "group", "largest"), "near-held")
+        fresh = placed if done is None else placed.join(_sent(done), "row", "left_anti")
+        outside = held.where("group <> largest").select("key", "seed", "fp", "group").join(fresh, ["seed", "fp", "group"])
+        named = outside.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(names)).alias("part")).agg(F.min("row").alias("row"))
+        named = common.stored(named.select("row").distinct(), "near-named")
+        if named.isEmpty():
+            return roots
+        mine = placed.join(_sent(named), "row").select(F.col("row").alias("x"), "seed", F.col("fp").alias("a"), F.col("group").alias("own"))
+        mine = common.stored(mine.join(held.select("key", "seed", F.col("fp").alias("a"), F.col("group").alias("own")), ["seed", "a", "own"]).select("key", "x", "a", "own"), "near-mine")
+        meets = held.join(_sent(mine), "key").where("group <> own").where(_near("a", "fp", distance)).select("x", "seed", "fp", "group").distinct()
+        pairs = common.stored(_ordered(placed.join(_sent(common.stored(meets, "near-meets")), ["seed", "fp", "group"]).select("x", F.col("row").alias("y"))), "near-pairs")
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(pairs, sets, similarity))
+        roots = common.stored(graph.components(edges, "near-components"), "near-roots")
+        done = named if done is None else common.stored(done.unionByName(named), "near-done")
+        names *= 8
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: Sequence[int] = (42, 43, 44), distance: int = 3, bucket: int = 32) -> DataFrame:
     """`docs` without near copies: of each group the row with the smallest doc_id stays.
 
     Texts are near copies if their sets of `shingle`-word shingles have a Jaccard similarity of at least `similarity`, which is
     verified for every candidate. Candidates come from fingerprints of single words, which hardly move when a few words of a
     text change, one for each seed: texts whose fingerprints differ in at most `distance` bits for one of the seeds. Texts of
-    the same words in the same order are one from the start. Under a key of more than `bucket` fingerprints each is a
-    candidate with the smallest one only, so candidates grow with the rows.
+    the same words in the same order are one from the start. Pairs under a key of more than `bucket` rows are compared in
+    rounds (`_linked`), which leave out only pairs of rows that are in one group already.
     """
     stored = common.stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "near-texts")
     text = F.coalesce("doc.text", F.lit(""))
@@ -231,27 +310,20 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     named = common.stored(named.join(same, "digest").select("row", "doc_id", "head"), "near-rows")
     texts = stored.select("row", F.col("doc.text").alias("text"))
     prints = with_fingerprints(texts, 1, seeds).join(same.select(F.col("head").alias("row")), "row", "left_semi")
-    prints = common.stored(prints, "near-fingerprints")
+    prints = common.stored(prints.select("row", F.posexplode("fps").alias("seed", "fp")), "near-fingerprints")
 
-    found = None
+    crowds = None
     for k in range(len(seeds)):
-        rows = prints.select("row", F.col("fps")[k].alias("fp"))
-        first = common.stored(rows.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")), "near-firsts")
-        members = _members(variants(first.select("fp"), distance, seed_no=k))
-        many = members.where(f"n > {bucket}")
-        least = common.stored(many.groupBy("key").agg(F.min("fp").alias("a")), "simhash-least")
-        many = many.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
-        close = _pairs(members, bucket).unionByName(many).where(F.bit_count(F.expr("a ^ b")) <= distance).distinct()
-        at = first.select("fp", "first")
-        pairs = close.join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select("x", "y")
-        shared = rows.join(first.where("n > 1").select("fp", "first"), "fp").where("row <> first").select(F.col("first").alias("x"), F.col("row").alias("y"))
-        pairs = pairs.unionByName(shared)
-        found = pairs if found is None else found.unionByName(pairs)
-    found = common.stored(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "near-candidates")
-    some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row"))).distinct()
+        own = _crowds(prints, distance, k)
+        crowds = own if crowds is None else crowds.unionByName(own)
+    crowds = common.stored(crowds, "near-crowds")
+    found = _first_candidates(crowds, prints, distance, bucket)
+    some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row")))
+    crowded = crowds.where(f"rows > {bucket}").select("seed", "fp").distinct()
+    some = some.unionByName(prints.join(crowded, ["seed", "fp"]).select("row")).distinct()
     sets = common.stored(_shingle_sets(texts.join(_sent(common.stored(some, "near-some")), "row", "left_semi"), shingle), "near-shingles")
     # Texts without words have no shingles and one digest; they never meet here.
-    roots = graph.components(_alike(found, sets, similarity), "near-components")
+    roots = _linked(crowds, prints, sets, similarity, distance, bucket, found)
     groups = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
     groups = common.stored(groups, "near-groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))

@@ -184,3 +184,25 @@ def test_recall_over_true_pairs_near_the_threshold(spark):
         kept = set(kept_of(spark, texts, **more))
         recall[name] = np.mean([not (a in kept and b in kept) for a, b in pairs])
     assert recall["default"] == recall["three"] > recall["two"], recall
+
+
+def star_of_copies(copies, words, seed=5):
+    """Copies of a text, each about 0.86 alike to it and 0.73 to each other, the text itself in their middle; and its place."""
+    rng = random.Random(seed)
+    base = [f"v{int(3000 * rng.random() ** 3)}" for _ in range(words)]
+    texts = [" ".join(changed(rng, base, words * 3 // 200)) for _ in range(copies)]
+    return texts[: copies // 2] + [" ".join(base)] + texts[copies // 2 :], copies // 2
+
+
+def reached(texts, bits, seeds=(42, 43, 44)):
+    """How many are left if all pairs of alike texts whose fingerprints are near for one of the seeds are linked."""
+    prints = [[slow_fingerprint(t, 1, s) for s in seeds] for t in texts]
+    near = {p for p in near_pairs(texts) if any((a ^ b).bit_count() <= bits for a, b in zip(prints[p[0]], prints[p[1]]))}
+    root = components(range(len(texts)), lambda a, b: (b, a) in near)
+    return len(set(root.values()))
+
+
+def test_original_in_the_middle_of_its_copies(spark):
+    texts, _ = star_of_copies(60, 200)
+    left = len(kept_of(spark, texts))
+    assert left == reached(texts, 3), left
