@@ -224,11 +224,13 @@ def _crowds(prints: DataFrame, distance: int, seed_no: int) -> DataFrame:
     own = prints.where(F.col("seed") == seed_no).groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("first"))
     own = common.stored(own, "near-prints")
     index = variants(own, distance, ("fp", "n", "first"), seed_no)
-    same = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"mark{k}") for k in (1, 2)]
-    keys = index.groupBy("key").agg(F.count("*").alias("prints"), F.sum("n").alias("rows"), *same).where("rows > 1")
-    keys = keys.groupBy("prints", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "rows")
-    keys = common.stored(keys, "near-keys")
-    return index.join(_sent(keys), "key").select("key", F.lit(seed_no).alias("seed"), "fp", "n", "rows", "first")
+    # The marks of all keys would be most of the disk; only shared keys have them.
+    keys = common.stored(index.groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1"), "near-keys")
+    shared = common.stored(index.join(_sent(keys), "key").select("key", "fp", "n", "rows", "first"), "near-shared-keys")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"mark{k}") for k in (1, 2)]
+    each = shared.groupBy("key").agg(F.count("*").alias("prints"), F.first("rows").alias("rows"), *marks)
+    each = common.stored(each.groupBy("prints", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key"), "near-distinct-keys")
+    return shared.join(_sent(each), "key").select("key", F.lit(seed_no).alias("seed"), "fp", "n", "rows", "first")
 
 
 def _near(a: str, b: str, distance: int) -> Column:
