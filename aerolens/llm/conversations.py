@@ -23,7 +23,6 @@ or an empty one, cannot be kept. An empty table gives no rows. Other columns do
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
@@ -71,8 +70,29 @@ ROW_MOVES = tuple(_row_moves(k) for k in range(DEAD + 1))
 Ahead = tuple[tuple[int, int], ...]
 
 
-@lru_cache(1 << 16)
+#: Steps that a task has taken before; vectors differ little, so there are few.
+_STEPS: dict[tuple, tuple] = {}
+KEPT_STEPS = 50_000
+
+
+def _step(kind, vector: tuple, moves: Moves) -> tuple:
+    found = _STEPS.get((kind, vector, moves))
+    if found is None:
+        if len(_STEPS) >= KEPT_STEPS:
+            _STEPS.clear()
+        found = _STEPS[kind, vector, moves] = _ahead(vector, moves) if kind else _to_go(vector, moves)
+    return found
+
+
 def _forward(ahead: Ahead, moves: Moves) -> tuple[int, Ahead]:
+    return _step(True, ahead, moves)
+
+
+def _backward(moves: Moves, to_go: tuple[int, ...]) -> tuple[int, ...]:
+    return _step(False, to_go, moves)
+
+
+def _ahead(ahead: Ahead, moves: Moves) -> tuple[int, Ahead]:
     """One step of a forward vector of (cost, rank of the audit); what its least cost has grown by, and the rest."""
     best = []
     for to in range(4):
@@ -83,8 +103,7 @@ def _forward(ahead: Ahead, moves: Moves) -> tuple[int, Ahead]:
     return least, tuple((b[0] - least, order.index(b[1:])) if b else (FAR, 9) for b in best)
 
 
-@lru_cache(1 << 16)
-def _backward(moves: Moves, to_go: tuple[int, ...]) -> tuple[int, ...]:
+def _to_go(to_go: tuple[int, ...], moves: Moves) -> tuple[int, ...]:
     """One step of a backward vector of costs, its least taken off."""
     costs = [min(min(cost, FAR) + more for (cost, _), more in zip(row, to_go)) for row in moves]
     return tuple(min(c - min(costs), FAR) for c in costs)
