@@ -21,10 +21,10 @@ string; repeated rows count as documents each; an empty table gives no rows. Oth
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,6 +48,11 @@ TOGETHER, STRETCH = 1_000_000, 1_000_000
 #: Bits of a level for each pair in it.
 ROOM = 1.5
 PLACES = re.compile(r"(?<=\S) ")
+#: Parts encoded and aligned at once; longer parts than `SHORT` go to the library whose time does not grow with their square.
+TOGETHER_PARTS, SHORT = 20_000, 256
+#: The byte-level tokenizer's own pattern (a fixed value).
+PARTS_OF_BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 class Tokenizers:
@@ -56,15 +61,25 @@ class Tokenizers:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.bytewise = Tokenizer.from_file(byte_path)
         self.bytewise.encode_special_tokens = True
+        with open(byte_path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         # Byte-level entries are written in printable characters: bytes that have none follow from 256 on, in order.
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         shown = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
         size = self.bytewise.get_vocab_size()
-        self.a_bytes = [bytes(shown[c] for c in self.bytewise.id_to_token(i)) if all(c in shown for c in self.bytewise.id_to_token(i)) else self.bytewise.id_to_token(i).encode() for i in range(size)]
+        names = [self.bytewise.id_to_token(i) for i in range(size)]
+        self.a_bytes = [bytes(shown[c] for c in n) if all(c in shown for c in n) else n.encode() for n in names]
+        # Merges are made in the order of ids, so that ids are ranks, and short parts go to the quicker library.
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if any(model["vocab"][m.replace(" ", "")] != 256 + k for k, m in enumerate(merges)):
+            raise ValueError("ids are not in the order of merges")
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        self.short = tiktoken.Encoding("parts", pat_str=PARTS_OF_BYTES, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.n_b = self.pieces.vocab_size()
         names = [self.pieces.id_to_piece(i) for i in range(self.n_b)]
@@ -74,49 +89,107 @@ class Tokenizers:
             raise ValueError("pairs of ids do not fit 32 bits")
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.space = self.pieces.piece_to_id("▁")
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # Ids as they are written within a group and at its end.
+        self.text = [x for i in range(size) for x in (f"{i},", f"{i}|")] + [x for i in range(self.n_b) for x in (f"{i},", f"{i};")]
 
-    def encoded(self, parts: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encoded(self, parts: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids by both tokenizers of a space and each part."""
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            first = self.bytewise.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            # The piece model puts a space before what it is given, except before nothing.
-            second = self.pieces.encode(some, num_threads=1)
-            yield from ((a.ids, b if p else [self.space]) for p, a, b in zip(some, first, second))
-
-    def groups(self, part: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """The ids between places where tokens of both end; none if the bytes are not those of a space and the part."""
-        whole = (" " + part).encode()
-        ab, bb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(ab) != whole or b"".join(bb) != whole:
-            return None
-        out, i, j, ends_a, ends_b = [], 0, 0, 0, 0
-        from_i = from_j = 0
-        while i < len(a) or j < len(b):
-            if ends_a <= ends_b:
-                ends_a += len(ab[i])
-                i += 1
-            else:
-                ends_b += len(bb[j])
-                j += 1
-            if ends_a == ends_b and i > from_i and j > from_j:
-                out.append((a[from_i:i], b[from_j:j]))
-                from_i, from_j = i, j
-        return out
-
-    def links(self, groups: list[tuple[list[int], list[int]]]) -> dict[int, int]:
-        """Pairs, first id times the second vocabulary's size plus second id, and how often they are linked."""
-        out: dict[int, int] = {}
-        for a, b in groups:
-            if len(a) == len(b) == 1:
-                code = a[0] * self.n_b + b[0]
-                out[code] = out.get(code, 0) + 1
-                continue
-            times = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in times.items():
-                    out[x * self.n_b + y] = out.get(x * self.n_b + y, 0) + n * m
-        return out
+        short, whole = self.short.encode_ordinary, self.bytewise.encode
+        first = [short(" " + p) if len(p) < SHORT else whole(" " + p, add_special_tokens=False).ids for p in parts]
+        # The piece model puts a space before what it is given, except before nothing.
+        second = self.pieces.encode(list(parts), num_threads=1)
+        return first, [b if p else [self.space] for p, b in zip(parts, second)]
+
+
+class Parts:
+    """What a worker knows of parts of texts: numbers of ids, groups and links, the links, and the groups' text if `names`."""
+
+    def __init__(self, both: Tokenizers, names: bool):
+        self.both, self.named = both, names
+        self.clear(1024)
+
+    def clear(self, size: int) -> None:
+        self.index: dict[str, int] = {}
+        self.names: list[str] = []
+        self.table = np.zeros((size, len(_COLUMNS)), np.int64)
+        self.start = np.zeros(size + 1, np.int64)
+        self.codes = np.empty(size * 4, "<u4")
+
+    def learn(self, met: set[str]) -> tuple[int, int]:
+        """Looks at parts that are not known yet; the numbers of the first and after the last."""
+        new = list(met.difference(self.index))
+        if len(self.index) + len(new) > KEPT:
+            self.clear(max(1024, len(met)))
+            new = list(met)
+        first = len(self.index)
+        while len(self.table) < first + len(new):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.start = np.concatenate([self.start, np.zeros(len(self.start) - 1, np.int64)])
+        for at in range(0, len(new), TOGETHER_PARTS):
+            self._add(new[at : at + TOGETHER_PARTS])
+        return first, len(self.index)
+
+    def _add(self, parts: list[str]) -> None:
+        both, first = self.both, len(self.index)
+        self.index.update(zip(parts, range(first, first + len(parts))))
+        a, b = both.encoded(parts)
+        good = np.ones(len(parts), bool)
+        whole = "".join([" " + p for p in parts]).encode()
+        if not whole == b"".join([both.a_bytes[i] for x in a for i in x]) == b"".join([both.b_bytes[i] for x in b for i in x]):
+            for k, (p, x, y) in enumerate(zip(parts, a, b)):
+                good[k] = (" " + p).encode() == b"".join([both.a_bytes[i] for i in x]) == b"".join([both.b_bytes[i] for i in y])
+            a, b = ([x for x, g in zip(xs, good) if g] for xs in (a, b))
+        self.table[first : first + len(parts)] = -1
+        ours = first + np.flatnonzero(good)
+        codes, links, names = self._aligned(a, b, ours)
+        self.start[first + 1 : first + len(parts) + 1] = 0
+        self.start[ours + 1] = links
+        self.start[first + 1 : first + len(parts) + 1] = self.start[first] + np.cumsum(self.start[first + 1 : first + len(parts) + 1])
+        end = self.start[first + len(parts)]
+        while len(self.codes) < end:
+            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
+        self.codes[self.start[first] : end] = codes
+        if self.named:
+            out = iter(names)
+            self.names += [next(out) if g else "" for g in good]
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]], ours: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The links of parts in a row, their number by part, and the groups' texts."""
+        both, n = self.both, len(a)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
+        ids_a, ids_b = (np.fromiter((i for x in xs for i in x), np.int64, int(m.sum())) for xs, m in ((a, n_a), (b, n_b)))
+        end_a, end_b = np.cumsum(both.a_size[ids_a]), np.cumsum(both.b_size[ids_b])
+        ends = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
+        size_a, size_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
+        start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        part_of = np.searchsorted(end_a[np.cumsum(n_a) - 1], ends) if n else ends
+        links = np.bincount(part_of, weights=size_a * size_b, minlength=n).astype(np.int64)
+        # Each first token meets all second ones of its group.
+        times = size_b[group_a]
+        left = np.repeat(ids_a, times)
+        right = np.repeat(start_b[group_a] - (np.cumsum(times) - times), times) + np.arange(len(left))
+        self.table[ours] = 0
+        self.table[ours, :4] = np.stack([n_a, n_b, np.bincount(part_of, minlength=n), links], 1)
+        names: list[str] = []
+        if self.named and n:
+            last_a, last_b = end_a == ends[group_a], end_b == ends[group_b]
+            order = np.empty(len(ids_a) + len(ids_b), np.int64)
+            order[np.arange(len(ids_a)) + start_b[group_a]] = ids_a * 2 + last_a
+            order[np.arange(len(ids_b)) + (start_a + size_a)[group_b]] = 2 * len(both.a_bytes) + ids_b * 2 + last_b
+            words = [both.text[k] for k in order.tolist()]
+            cuts = np.cumsum(n_a + n_b).tolist()
+            names = ["".join(words[x:y]) for x, y in zip([0, *cuts], cuts)]
+        return (left * both.n_b + ids_b[right]).astype("<u4"), links, names
+
+    def numbers(self, parts) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+
+    def links(self, at: np.ndarray) -> np.ndarray:
+        """The links of some parts, one after another."""
+        size = self.start[at + 1] - self.start[at]
+        return self.codes[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[list[str]]:
@@ -204,7 +277,7 @@ def _chunks(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
         from pyspark import TaskContext
 
         both, task, chunk = Tokenizers(*paths), TaskContext.get().partitionId(), 0
-        known: dict[str, np.ndarray | None] = {}
+        known = Parts(both, False)
         held: list[np.ndarray] = []
 
         def given() -> pa.RecordBatch:
@@ -221,21 +294,16 @@ def _chunks(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
             mine: dict[int, np.ndarray | None] = {}
             for some in _together(batch.column("text").to_pylist()):
                 distinct = [(k, set(parts)) for k, parts in some]
-                met = set().union(*(d for _, d in distinct))
-                new = list(met.difference(known))
-                if len(known) + len(new) > KEPT:
-                    known, new = {}, list(met)
-                for part, (a, b) in zip(new, both.encoded(new)):
-                    groups = both.groups(part, a, b)
-                    known[part] = None if groups is None else np.fromiter(both.links(groups), "<u4")
+                known.learn(set().union(*(d for _, d in distinct)))
                 for k, parts in distinct:
                     if k in mine and mine[k] is None:
                         continue
-                    arrays = [known[p] for p in parts]
-                    if any(x is None for x in arrays):
+                    at = known.numbers(parts)
+                    if (known.table[at, 0] < 0).any():
                         mine[k] = None
                     else:
-                        mine[k] = np.unique(np.concatenate(arrays + ([mine[k]] if k in mine else [])))
+                        links = known.links(at)
+                        mine[k] = np.unique(np.concatenate([links, mine[k]]) if k in mine else links)
             held += [m for m in mine.values() if m is not None and len(m)]
             if sum(map(len, held)) >= CHUNK:
                 yield given()
@@ -358,61 +426,42 @@ class Lookup:
         return counts, best
 
 
-_COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
 def _looked_up(texts: DataFrame, paths: tuple[str, str], sent, whole: bool) -> DataFrame:
     """Per row: the sums of its links over a slice of the table and, if `whole`, its own numbers and the digest of its groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, lookup = Tokenizers(*paths), Lookup(sent.value)
-        known: dict[str, int] = {}
-        table, names = np.zeros((KEPT, len(_COLUMNS)), np.int64), []
-        fail = -1
+        known = Parts(both, whole)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             sums = np.zeros((len(texts), len(_COLUMNS)), np.int64)
             digests, bad = [None] * len(texts), set()
+            # Every group ends with a semicolon but the last one of a text.
+            waiting = [""] * len(texts)
             for some in _together(texts):
-                met = set().union(*(parts for _, parts in some))
-                new = list(met.difference(known))
-                if len(known) + len(new) > KEPT:
-                    known, names, new = {}, [], list(met)
-                    if len(new) > len(table):
-                        table = np.zeros((len(new), len(_COLUMNS)), np.int64)
-                first, linked = len(names), []
-                for part, (a, b) in zip(new, both.encoded(new)):
-                    groups = both.groups(part, a, b)
-                    if groups is None:
-                        known[part] = fail
-                        continue
-                    known[part] = k = len(names)
-                    links = both.links(groups)
-                    linked.append(links)
-                    table[k, :4] = len(a), len(b), len(groups), sum(links.values())
-                    names.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups).encode() if whole else b"")
-                if linked:
-                    pairs = np.fromiter((p for x in linked for p in x), "<u4")
-                    times = np.fromiter((n for x in linked for n in x.values()), np.int64)
-                    owner = np.repeat(np.arange(first, first + len(linked)), [len(x) for x in linked])
-                    counts, best = lookup(pairs, both.n_b)
-                    table[first : first + len(linked), 4:] = 0
-                    np.add.at(table[:, 4], owner, times * best)
-                    np.add.at(table[:, 5], owner, times * counts)
+                first, end = known.learn(set().union(*(parts for _, parts in some)))
+                if end > first:
+                    counts, best = lookup(known.codes[known.start[first] : known.start[end]], both.n_b)
+                    owner = np.repeat(np.arange(end - first), np.diff(known.start[first : end + 1]))
+                    for column, values in ((4, best), (5, counts)):
+                        fresh = known.table[first:end, column]
+                        np.add.at(fresh, owner, values)
                 for k, parts in some:
                     if k in bad:
                         continue
-                    at = [known[p] for p in parts]
-                    if fail in at:
+                    at = known.numbers(parts)
+                    rows = known.table[at]
+                    if (rows[:, 0] < 0).any():
                         bad.add(k)
                         continue
-                    sums[k] += table[at].sum(0)
+                    sums[k] += rows.sum(0)
                     if whole:
-                        if digests[k] is None:
-                            digests[k] = hashlib.sha256()
-                        else:
-                            digests[k].update(b";")
-                        digests[k].update(b";".join([names[i] for i in at]))
+                        digests[k] = digests[k] or hashlib.sha256()
+                        digests[k].update(waiting[k].encode())
+                        waiting[k] = "".join([known.names[i] for i in at.tolist()])
+            for k, digest in enumerate(digests):
+                if digest is not None:
+                    digest.update(waiting[k][:-1].encode())
             if bad:
                 sums[list(bad)] = 0
             out = {"row": batch.column("row")}

@@ -82,6 +82,17 @@ def test_long_text_in_stretches(spark, monkeypatch):
     assert got == {1: want[0], None: want[1]}
 
 
+def test_parts_are_encoded_as_whole_texts_are(sf):
+    import pyarrow.parquet as pq
+
+    both = alignment.Tokenizers(*PATHS)
+    second = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    for text in [*ODD, *pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()]:
+        if "▁" not in text:
+            a, b = both.encoded([p for parts in alignment.stretches(text) for p in parts])
+            assert sum(a, []) == both.bytewise.encode(" " + text, add_special_tokens=False).ids and sum(b, []) == second.encode(text)
+
+
 def test_hash_is_minimal_and_perfect():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 3, 1000, 50_000):
