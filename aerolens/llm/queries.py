@@ -24,4 +24,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from aerolens.llm import query_alignment, query_conversations, query_exact_dedup, query_langid, query_lines, query_lm_scores, query_mixing, query_neighbours, query_packing, query_secrets, query_simhash, query_toxicity  # noqa: E402,F401
+from aerolens.llm import query_alignment, query_conversations, query_exact_dedup, query_langid, query_lines, query_lm_scores, query_mixing, query_neighbours, query_ngram_join, query_packing, query_secrets, query_simhash, query_toxicity  # noqa: E402,F401
