@@ -34,20 +34,7 @@ def _wide(lon: str, lat: str) -> str:
 
 def _rank_sql(source: str, part: str) -> str:
     """Candidates of a table (px, py, want_azimuth and key columns) ranked within `part`."""
-    return f"""
-SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY az_ok DESC NULLS FIRST, CASE WHEN az_ok THEN 0 ELSE az_off END, eligible DESC,
- is_reflight DESC, center_dist, ts_utc DESC, filename) AS pick FROM ({_cand_sql(source)})"""
-
-
-def _cand_sql(source: str) -> str:
-    return f"""
-SELECT *, coalesce(edge_frac >= 0.10e0 AND gsd <= 0.40e0, false) AS eligible, az_off <= 30 AS az_ok FROM (
- SELECT p.*, g.filename, g.camera, g.look_azimuth_deg, g.is_reflight, g.ts_utc, g.pass_id, g.shot, g.x AS cam_x, g.y AS cam_y, g.x0, g.y0, g.x1, g.y1, g.x2, g.y2, g.x3, g.y3,
- CASE WHEN p.want_azimuth IS NULL THEN 0e0 ELSE {s.gap("g.look_azimuth_deg", "p.want_azimuth")} END AS az_off,
- sqrt((p.px - g.cen_x)^2 + (p.py - g.cen_y)^2) AS center_dist, {s.quad_edge_dist("g.", "p.px", "p.py")} / nullif(g.sqrt_area, 0) AS edge_frac,
- sqrt((g.x - p.px)^2 + (g.y - p.py)^2 + (g.z - g.z_mid)^2) * g.cam_ccd_res_u * 1e-3 / g.cam_focal_mm AS gsd
- FROM {source} p JOIN fg g ON p.px BETWEEN g.xmin AND g.xmax AND p.py BETWEEN g.ymin AND g.ymax AND {s.quad_covers("g.", "p.px", "p.py")}
-  AND (p.want_azimuth IS NULL) = (g.camera = 'Color'))"""
+    return s.picked(f"({s.candidates(source)})", part)
 
 
 @query(
@@ -69,15 +56,9 @@ def _views_sql(views: str, n: int = 5) -> str:
     )
     return f"""
 vp AS (SELECT v.*, i, j, {s.grid_x(lon, lat)} AS px, {s.grid_y(lon, lat)} AS py, {box} FROM {views} v, unnest(range(0, {n})) a(i), unnest(range(0, {n})) b(j)),
-hits AS (SELECT p.view_id, p.i, p.j, g.filename, g.is_reflight, g.ts_utc, sqrt((p.px - g.cen_x)^2 + (p.py - g.cen_y)^2) AS center_dist,
- coalesce({s.quad_edge_dist("g.", "p.px", "p.py")} / nullif(g.sqrt_area, 0) >= 0.10e0 AND
-  sqrt((g.x - p.px)^2 + (g.y - p.py)^2 + (g.z - g.z_mid)^2) * g.cam_ccd_res_u * 1e-3 / g.cam_focal_mm <= 0.40e0, false) AS eligible
- FROM vp p JOIN fg g ON p.px BETWEEN g.xmin AND g.xmax AND p.py BETWEEN g.ymin AND g.ymax AND {s.quad_covers("g.", "p.px", "p.py")}
-  AND g.camera <> 'Color' AND {s.gap("g.look_azimuth_deg", "p.want_azimuth")} <= 30
-  AND g.xmin <= p.vx1 AND g.xmax >= p.vx0 AND g.ymin <= p.vy1 AND g.ymax >= p.vy0),
-wins AS (SELECT view_id, filename, count(*) AS wins FROM (SELECT *, row_number() OVER (PARTITION BY view_id, i, j ORDER BY eligible DESC, is_reflight DESC,
-  center_dist, ts_utc DESC, filename) AS n FROM hits) WHERE n = 1 GROUP BY ALL),
-shown AS (SELECT *, row_number() OVER (PARTITION BY view_id ORDER BY wins DESC, filename) AS place FROM wins)"""
+won AS (SELECT view_id, i, j, arg_min(filename, {s.preference()}) AS filename FROM ({s.candidates('vp')})
+ WHERE az_ok AND want_azimuth IS NOT NULL AND NOT (xmax < vx0 OR xmin > vx1 OR ymax < vy0 OR ymin > vy1) GROUP BY view_id, i, j),
+shown AS (SELECT view_id, filename, count(*) AS wins, row_number() OVER (PARTITION BY view_id ORDER BY {{'fewer': -count(*), 'name': filename}}) AS place FROM won GROUP BY view_id, filename)"""
 
 
 @query("q3_frames_in_view", "views fg", f"WITH {_views_sql('views')} SELECT view_id, place, filename, wins FROM shown WHERE place <= 6")
