@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["selection", "evaluation", "normalisation", "photos", "drawing", "clouds", "files", "pictures"]
+MODULES = ["selection", "evaluation", "normalisation", "photos", "drawing", "clouds", "files", "pictures", "outlines"]
 
 
 def load():

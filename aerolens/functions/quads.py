@@ -171,7 +171,7 @@ def interior_point(quad: Sequence[XY]) -> XY:
         meets = ((ay <= scan) & (by > scan)) | ((by <= scan) & (ay > scan))
         hits.append(F.when(meets, ax + (bx - ax) * (scan - ay) / F.nullif(by - ay, F.lit(0.0))))
     ordered = F.array_sort(F.array_compact(F.array(*hits)))
-    first, second = ordered.getItem(0), F.try_element_at(ordered, F.lit(2))
+    first, second = F.try_element_at(ordered, F.lit(1)), F.try_element_at(ordered, F.lit(2))
     third, fourth = F.try_element_at(ordered, F.lit(3)), F.try_element_at(ordered, F.lit(4))
     later_wider = F.coalesce(fourth - third > second - first, F.lit(False))
     x = F.when(later_wider, (third + fourth) / 2).otherwise((first + second) / 2)

@@ -107,6 +107,12 @@ def signed_area_twice(ring: Column) -> Column:
     return total(_relative(ring), _cross)
 
 
+def moments_twice(ring: Column) -> tuple[Column, Column]:
+    """Sums of the edges' middles, doubled, by their cross products, from the first vertex."""
+    rel = _relative(ring)
+    return total(rel, lambda e: (e["ax"] + e["bx"]) * _cross(e)), total(rel, lambda e: (e["ay"] + e["by"]) * _cross(e))
+
+
 def area(ring: Column) -> Column:
     """Unsigned shoelace area; 0 for an empty outline."""
     return F.when(F.size(ring) == 0, F.lit(0.0)).otherwise(F.abs(signed_area_twice(ring)) / F.lit(2.0))
@@ -122,8 +128,8 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return ring[0]["x"] + cx, ring[0]["y"] + cy
 
 
-def inside(ring: Column, px: Column, py: Column) -> Column:
-    """Even-odd test. Give `px`, `py` as stored columns, not as long expressions."""
+def odd_crossings(all_edges: Column, px: Column, py: Column) -> Column:
+    """Even-odd test over any edges. Give `px`, `py` as stored columns, not as long expressions."""
 
     def crossing(e: Column) -> Column:
         turn = (e["bx"] - e["ax"]) * (py - e["ay"]) - (px - e["ax"]) * (e["by"] - e["ay"])
@@ -131,18 +137,24 @@ def inside(ring: Column, px: Column, py: Column) -> Column:
         down = (e["ay"] > py) & (e["by"] <= py) & (turn < 0)
         return (up | down).cast("int")
 
-    return F.aggregate(edges(ring), F.lit(0), lambda n, e: n + crossing(e)) % 2 == 1
+    return F.aggregate(all_edges, F.lit(0), lambda n, e: n + crossing(e)) % 2 == 1
 
 
-def covers(ring: Column, px: Column, py: Column) -> Column:
-    """Point in outline, the outline included."""
+def inside(ring: Column, px: Column, py: Column) -> Column:
+    """Even-odd test."""
+    return odd_crossings(edges(ring), px, py)
 
-    def touches(e: Column) -> Column:
-        turn = (e["bx"] - e["ax"]) * (py - e["ay"]) - (px - e["ax"]) * (e["by"] - e["ay"])
-        within = px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
-        return (turn == 0) & within
 
-    return inside(ring, px, py) | F.exists(edges(ring), touches)
+def touches(e: Column, px: Column, py: Column) -> Column:
+    """Whether a point lies on an edge."""
+    turn = (e["bx"] - e["ax"]) * (py - e["ay"]) - (px - e["ax"]) * (e["by"] - e["ay"])
+    within = px.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & py.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+    return (turn == 0) & within
+
+
+def covers(ring: Column, px: Column, py: Column) -> Column:
+    """Point in outline, the outline included."""
+    return inside(ring, px, py) | F.exists(edges(ring), lambda e: touches(e, px, py))
 
 
 def opened(ring: Column) -> Column:
@@ -151,19 +163,18 @@ def opened(ring: Column) -> Column:
     return F.slice(ring, 1, last)
 
 
+def nearest_edge_distance(all_edges: Column, px: Column, py: Column) -> Column:
+    """Distance from a point to the nearest of some edges; NULL without edges."""
+    return F.sqrt(F.array_min(F.transform(all_edges, lambda e: segment_distance_sq(e["ax"], e["ay"], e["bx"], e["by"], px, py))))
+
+
 def edge_distance(ring: Column, px: Column, py: Column, closed: bool = True) -> Column:
     """Distance from a point to the nearest edge; NULL without edges."""
-    return F.sqrt(
-        F.array_min(
-            F.transform(
-                edges(ring) if closed else legs(ring),
-                lambda e: segment_distance_sq(e["ax"], e["ay"], e["bx"], e["by"], px, py),
-            )
-        )
-    )
+    return nearest_edge_distance(edges(ring) if closed else legs(ring), px, py)
 
 
-def _side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+def side(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
+    """1 if a third point lies to the left of the line through two others, -1 to the right, 0 on it."""
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
@@ -175,10 +186,10 @@ def crosses_itself(ring: Column) -> Column:
         def crosses(q: Column) -> Column:
             a, c = p["e"], q["e"]
             apart = (q["i"] >= p["i"] + 2) & ~((p["i"] == 0) & (q["i"] == p["n"] - 1))
-            one = _side(a["ax"], a["ay"], a["bx"], a["by"], c["ax"], c["ay"]) * _side(
+            one = side(a["ax"], a["ay"], a["bx"], a["by"], c["ax"], c["ay"]) * side(
                 a["ax"], a["ay"], a["bx"], a["by"], c["bx"], c["by"]
             )
-            two = _side(c["ax"], c["ay"], c["bx"], c["by"], a["ax"], a["ay"]) * _side(
+            two = side(c["ax"], c["ay"], c["bx"], c["by"], a["ax"], a["ay"]) * side(
                 c["ax"], c["ay"], c["bx"], c["by"], a["bx"], a["by"]
             )
             return apart & (one < 0) & (two < 0)
@@ -197,8 +208,8 @@ def box_touches(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
     def meets(e: Column) -> Column:
         hit = F.lit(False)
         for (cx, cy), (dx, dy) in zip(quad, quad[1:] + quad[:1]):
-            apart = _side(e["ax"], e["ay"], e["bx"], e["by"], cx, cy) != _side(e["ax"], e["ay"], e["bx"], e["by"], dx, dy)
-            split = _side(cx, cy, dx, dy, e["ax"], e["ay"]) != _side(cx, cy, dx, dy, e["bx"], e["by"])
+            apart = side(e["ax"], e["ay"], e["bx"], e["by"], cx, cy) != side(e["ax"], e["ay"], e["bx"], e["by"], dx, dy)
+            split = side(cx, cy, dx, dy, e["ax"], e["ay"]) != side(cx, cy, dx, dy, e["bx"], e["by"])
             hit = hit | (apart & split)
         return hit
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aerolens.functions import quads
+from aerolens.functions import quads, shapes
 from aerolens.functions.crs import grid_to_lonlat
 from aerolens.functions.angles import round_to
 from aerolens.functions.rings import settle
@@ -19,9 +19,15 @@ EDGE_FRACTIONS = (0.0, 0.05, 0.10, 0.20)
 
 
 def interior_points(frames: DataFrame) -> DataFrame:
-    """An interior point of every footprint."""
+    """An interior point of every footprint: by the corners of a quad, else by all rings of the outline."""
     px, py = quads.interior_point(quads.corners())
-    return settle(frames.select("filename", "camera", "is_reflight", px.alias("px"), py.alias("py")), "px", "py")
+    keep = ["filename", "camera", "is_reflight"]
+    if "ring" not in frames.columns:
+        return settle(frames.select(*keep, px.alias("px"), py.alias("py")), "px", "py")
+    other = F.when(F.col("x0").isNull(), shapes.of_frame(frames.columns)).alias("__shape")
+    both = settle(frames.select(*keep, px.alias("__qx"), py.alias("__qy"), other), "__qx", "__qy", "__shape")
+    both = shapes.with_interior_point(both, F.col("__shape"))
+    return both.select(*keep, F.coalesce("__qx", "px").alias("px"), F.coalesce("__qy", "py").alias("py"))
 
 
 def seeded(df: DataFrame, seed: str, n: int) -> DataFrame:

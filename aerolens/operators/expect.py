@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aerolens.functions import quads
-from aerolens.functions.angles import half_turn, full_turn
+from aerolens.functions import quads, rings, shapes
+from aerolens.functions.angles import full_turn, half_turn
+from aerolens.functions.rings import settle
 
 CAMERAS = ["Color", "Fwd", "Bwd", "Left", "Right"]
 
@@ -128,9 +129,10 @@ def incomplete_groups(df: DataFrame, group: str, member: str, size: int, name: s
 
 
 def outline_health(ring: Column | None = None) -> dict[str, Column]:
-    """Footprints that cross themselves or have no area, and rows without one.
+    """Footprints that cross themselves or have no area, and rows without one, told from the corner columns.
 
-    With the decoded `ring` an empty outline is told from a missing one; corner columns alone cannot tell them apart.
+    With the decoded `ring` an empty outline is told from a missing one; corner columns alone cannot tell them apart. Outlines that
+    are no quads are judged by `outline_rules`.
     """
     q = quads.corners()
     missing = reduce(lambda a, b: a | b, [c.isNull() for xy in q for c in xy])
@@ -141,6 +143,35 @@ def outline_health(ring: Column | None = None) -> dict[str, Column]:
     }
 
 
+def with_validity(frames: DataFrame, key: str = "filename", srid: int = 3089) -> DataFrame:
+    """`frames` with `outline_state`: missing, empty, invalid or valid; and whether it is in another reference system.
+
+    An outline is invalid if two of its edges cross, within a ring or between rings, if a ring has under three corners, or if it
+    has no area. Quads are judged by their corners, others edge by edge (`shapes.crossing_shapes`); `key` is unique.
+    """
+    q, shape = quads.corners(), shapes.of_frame(frames.columns)
+    quad = F.col("x0").isNotNull()
+    df = settle(frames.withColumn("__shape", F.when(~quad, shape)), "__shape")
+    df = settle(df.withColumn("__area", F.when(quad, quads.area(q)).otherwise(shapes.area(F.col("__shape")))), "__area")
+    short = F.exists(F.flatten("__shape"), lambda r: F.size(rings.opened(r)) < 3)
+    others = df.where(F.col("__shape").isNotNull()).select(key, "__shape")
+    cut = shapes.crossing_shapes(others, key, F.col("__shape")).withColumn("__cut", F.lit(True))
+    df = df.join(cut, key, "left")
+    bad = F.coalesce(F.when(quad, crossed(q)).otherwise(F.col("__cut") | short), F.lit(False)) | (F.col("__area") <= 0)
+    state = F.when(F.col("ring").isNull(), "missing").when(F.size("ring") == 0, "empty").when(bad, "invalid").otherwise("valid")
+    other = F.col("srid") != srid if "srid" in frames.columns else F.lit(False)
+    return df.withColumns({"outline_state": state, "other_srid": F.coalesce(other, F.lit(True))}).drop("__shape", "__area", "__cut")
+
+
+def outline_rules(frames: DataFrame, key: str = "filename") -> DataFrame:
+    """(rule, n_bad) over outlines of any kind."""
+    state = F.col("outline_state")
+    return rules(
+        with_validity(frames, key),
+        {"frame without a footprint": state == "missing", "empty footprint": state == "empty", "invalid footprint": state == "invalid", "footprint in another reference system": F.col("other_srid")},
+    )
+
+
 def crossed(q) -> Column:
     """Whether two opposite sides of a quad properly cross."""
 
@@ -153,10 +184,15 @@ def crossed(q) -> Column:
     return cut(q[0], q[1], q[2], q[3]) | cut(q[1], q[2], q[3], q[0])
 
 
-def misdirected() -> Column:
-    """Footprints that do not lie where the photo looks: bearing within 3 degrees and 3,000 to 7,000 ft away, nadir within 60 ft."""
+def misdirected(columns=()) -> Column:
+    """Footprints that do not lie where the photo looks: bearing within 3 degrees and 3,000 to 7,000 ft away, nadir within 60 ft.
+
+    A quad's place is the mean of its corners, another outline's its centroid (`cen_x`, `cen_y`), where `columns` names these.
+    """
     q = quads.corners()
     mx, my = sum(c[0] for c in q) / 4, sum(c[1] for c in q) / 4
+    if "cen_x" in columns:
+        mx, my = F.coalesce(mx, F.col("cen_x")), F.coalesce(my, F.col("cen_y"))
     away = quads.distance(F.col("x"), F.col("y"), mx, my)
     bearing = full_turn(F.degrees(F.atan2(mx - F.col("x"), my - F.col("y"))))
     off = F.abs(half_turn(bearing - F.col("look_azimuth_deg")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerolens.functions.angles import full_turn, half_turn, look_offset
-from aerolens.functions import quads
+from aerolens.functions import quads, shapes
 from aerolens.operators.expect import clock_of, zone_hours
 from aerolens.operators.skew import exact_quantiles, with_neighbours, with_rank
 
@@ -120,8 +120,10 @@ def with_azimuth(frames: DataFrame) -> DataFrame:
 def normalised(kept_rows: DataFrame) -> DataFrame:
     """The frame table from the kept rows."""
     out = with_azimuth(with_reflight(with_passes(kept_rows)))
-    xmin, ymin, xmax, ymax = quads.bbox(quads.corners())
-    return out.withColumns({"xmin": xmin, "ymin": ymin, "xmax": xmax, "ymax": ymax}).drop("eo_ts", "tz_offset_h", "dup_rank", "fid")
+    box = quads.bbox(quads.corners())
+    if "ring" in out.columns:
+        box = [F.coalesce(a, b) for a, b in zip(box, shapes.box(shapes.of_frame(out.columns)))]
+    return out.withColumns(dict(zip(("xmin", "ymin", "xmax", "ymax"), box))).drop("eo_ts", "tz_offset_h", "dup_rank", "fid")
 
 
 def season_report(frames: DataFrame) -> DataFrame:

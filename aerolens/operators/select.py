@@ -9,7 +9,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from aerolens.functions import quads, rings
+from aerolens.functions import quads, rings, shapes
 from aerolens.functions.angles import bearing_gap, compass_name, full_turn, js_round, round_to
 from aerolens.functions.crs import grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.rings import overlap_inclusive
@@ -35,7 +35,8 @@ PICK_COLUMNS = (
 def with_outline_terms(frames: DataFrame) -> DataFrame:
     """Once per frame: box, centroid, square root of the area, middle height and convexity of its footprint.
 
-    Frames that carry a `ring` and have no corner columns, because they are not four-cornered, get them from the ring.
+    Frames that carry a `ring` and have no corner columns, because they are not four-cornered, get them from the ring, or from
+    all their `parts` and holes.
     """
     q, zs = quads.corners(), quads.heights()
     xmin, ymin, xmax, ymax = quads.bbox(q)
@@ -46,12 +47,14 @@ def with_outline_terms(frames: DataFrame) -> DataFrame:
     }
     if "ring" not in frames.columns:
         return frames.withColumns(terms)
-    frames = rings.settle(frames.withColumn("__outline", F.when(_by_ring(), rings.opened(F.col("ring")))), "__outline")
-    ring = F.col("__outline")
-    z = F.transform(ring, lambda p: p["z"])
-    other = dict(zip(("xmin", "ymin", "xmax", "ymax", "cen_x", "cen_y"), (*rings.box(ring), *rings.centroid(ring))))
-    other |= {"sqrt_area": F.sqrt(rings.area(ring)), "z_mid": (F.array_min(z) + F.array_max(z)) / 2, "turning": F.lit(0)}
-    return frames.withColumns({n: F.when(_by_ring(), other[n]).otherwise(v) for n, v in terms.items()}).drop("__outline")
+    shape = F.when(_by_ring(), shapes.of_frame(frames.columns))
+    frames = rings.settle(frames.withColumn("__outline", shape), "__outline")
+    frames = rings.settle(frames.withColumn("__moments", shapes.moments(F.col("__outline"))), "__moments")
+    shape, m = F.col("__outline"), F.col("__moments")
+    z = F.transform(shapes.vertices(shape), lambda p: p["z"])
+    other = dict(zip(("xmin", "ymin", "xmax", "ymax", "cen_x", "cen_y"), (*shapes.box(shape), *shapes.centroid_of(m))))
+    other |= {"sqrt_area": F.sqrt(shapes.area_of(m)), "z_mid": (F.array_min(z) + F.array_max(z)) / 2, "turning": F.lit(0)}
+    return frames.withColumns({n: F.when(_by_ring(), other[n]).otherwise(v) for n, v in terms.items()}).drop("__outline", "__moments")
 
 
 def _by_ring() -> Column:
@@ -68,7 +71,7 @@ def _slim(frames: DataFrame) -> DataFrame:
     if "turning" not in frames.columns:
         frames = with_outline_terms(frames)
     four = reduce(and_, [F.col(f"{a}{n}").isNotNull() for n in range(4) for a in "xy"])
-    ring = F.when(_by_ring(), rings.opened(F.col("ring"))) if "ring" in frames.columns else F.lit(None)
+    shape = F.when(_by_ring(), shapes.of_frame(frames.columns)) if "ring" in frames.columns else F.lit(None)
     frames = frames.where(four | _by_ring() if "ring" in frames.columns else four)
     sure = lambda c: F.coalesce(c, F.lit(0.0))
     turned = F.col("turning") < 0
@@ -81,7 +84,7 @@ def _slim(frames: DataFrame) -> DataFrame:
         "cen_x", "cen_y", "sqrt_area", "z_mid", (F.col("turning") != 0).alias("__convex"),
         F.col("x").alias("cam_x"), F.col("y").alias("cam_y"), F.col("z").alias("cam_z"),
         (F.col("cam_ccd_res_u") * F.lit(1e-3) / F.col("cam_focal_mm")).alias("ft_per_ft"),
-        (F.col("camera") == "Color").alias("__nadir"), ring.alias("__ring"),
+        (F.col("camera") == "Color").alias("__nadir"), shape.alias("__shape"),
     )
 
 
@@ -89,13 +92,13 @@ def covering_pairs(points: DataFrame, frames: DataFrame, point_id: Sequence[str]
     """Pairs of a point (px, py) and a frame whose footprint covers it, with the terms the ranking needs.
 
     Convex footprints, which real ones are, take a test of four products; the rest (a vendor outline may be concave or
-    cross itself) go through the general one, and outlines of more corners through that of rings. `fits` is a further
+    cross itself) go through the general one, and outlines of more corners, with holes or of several parts through that of shapes. `fits` is a further
     condition on the pair.
     """
     px, py = F.coalesce("px", F.lit(0.0)), F.coalesce("py", F.lit(0.0))
     located = points.where(F.col("px").isNotNull() & F.col("py").isNotNull()).withColumns({"px": px, "py": py})
     slim, (px, py) = _slim(frames), (F.col("px"), F.col("py"))
-    quad, ring = F.col("__ring").isNull(), F.col("__ring")
+    quad, shape = F.col("__shape").isNull(), F.col("__shape")
     q = quads.corners()
     turns, lengths = quads.left_turns(q, px, py), quads.edge_lengths(q)
     cases = [
@@ -103,13 +106,13 @@ def covering_pairs(points: DataFrame, frames: DataFrame, point_id: Sequence[str]
         (~F.col("__convex") & quad, quads.covers(q, px, py), quads.edge_distance(q, px, py)),
     ]
     if "ring" in frames.columns:
-        cases.append((~quad, rings.covers(ring, px, py), rings.edge_distance(ring, px, py)))
+        cases.append((~quad, shapes.covers(shape, px, py), shapes.edge_distance(shape, px, py)))
     out = None
     for which, inside, to_edge in cases:
         side = slim.where(which)
-        side = (side if which is cases[-1][0] and len(cases) == 3 else side.drop("__ring")).withColumns({f"__len{i}": n for i, n in enumerate(lengths)})
+        side = (side if which is cases[-1][0] and len(cases) == 3 else side.drop("__shape")).withColumns({f"__len{i}": n for i, n in enumerate(lengths)})
         cond = inside if fits is None else inside & fits
-        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on).withColumn("__to_edge", to_edge).drop("__ring")
+        pairs = points_in_shapes(located, side, point_id, ["filename"], cond, also_on=also_on).withColumn("__to_edge", to_edge).drop("__shape")
         out = pairs if out is None else out.unionByName(pairs)
     slant = quads.distance3(px, py, F.col("z_mid"), F.col("cam_x"), F.col("cam_y"), F.col("cam_z"))
     return out.withColumns(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from aerolens.functions import quads
+from aerolens.functions import quads, shapes
 from aerolens.functions.crs import lonlat_to_grid
 from aerolens.operators import imagery, photo, select
 from aerolens.session import staged
@@ -40,9 +40,15 @@ def read_plan(views: DataFrame, frames: DataFrame, levels: DataFrame, screen_px:
     return members.join(plan.withColumnRenamed("view_id", "shared_id"), "shared_id").drop("shared_id")
 
 
+def _ground(columns) -> Column:
+    """The height of flat ground under a photo: the mean of a quad's corners, or of another outline's vertices."""
+    corners = quads.mean_height(quads.heights())
+    return F.coalesce(corners, shapes.mean_height(shapes.of_frame(columns))) if "ring" in columns else corners
+
+
 def _plan(boxes: DataFrame, frames: DataFrame, levels: DataFrame, screen_px: float, lim: int) -> DataFrame:
     wins = staged(select.frames_in_views(boxes, frames, lim))
-    rig = frames.select("filename", *photo.RIG_COLUMNS, quads.mean_height(quads.heights()).alias("gz"))
+    rig = frames.select("filename", *photo.RIG_COLUMNS, _ground(frames.columns).alias("gz"))
     stack = wins.select("view_id", "filename", F.col("place").alias("priority")).join(rig, "filename")
     fine = photo.photo_weights(stack.join(_spread(boxes, SPOTS), "view_id"))
     needed = photo.needed_frames(fine, ["view_id"], ["pi", "pj"]).where("needed").select("view_id", "priority")

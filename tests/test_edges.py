@@ -66,3 +66,66 @@ def test_outlines_of_any_shape_are_kept_whole(spark, sf):
     got = candidates(asked, frames.where("filename IN ('ell', 'square')")).collect()
     assert {(r.point_id, r.filename) for r in got} == {(1, "ell"), (1, "square"), (2, "square"), (3, "ell"), (3, "square")}
     assert next(r for r in got if (r.point_id, r.filename) == (1, "ell")).edge_frac == pytest.approx(2 / 150**0.5)
+
+
+def _polygon(rings, dims="z", order="<", kind=3, ewkb=False):
+    """WKB of one polygon; `dims` is any of "", "z", "m", "zm"."""
+    iso = {"": 0, "z": 1000, "m": 2000, "zm": 3000}[dims]
+    code = kind | (0x80000000 * ("z" in dims)) | (0x40000000 * ("m" in dims)) | 0x20000000 if ewkb else kind + iso
+    out = struct.pack(order + "BI", order == "<", code) + (struct.pack(order + "I", 3089) if ewkb else b"") + struct.pack(order + "I", len(rings))
+    for ring in rings:
+        out += struct.pack(order + "I", len(ring)) + b"".join(struct.pack(order + f"{2 + len(dims)}d", *p[:2], *([p[2]] if "z" in dims else []), *([9.5] if "m" in dims else [])) for p in ring)
+    return out
+
+
+OUTER = [(0, 0, 5), (10, 0, 5), (10, 20, 6), (0, 20, 5), (0, 0, 5)]
+HOLE = [(2, 4, 5), (8, 4, 5), (8, 12, 5), (2, 12, 5), (2, 4, 5)]
+OTHER = [(20, 0, 1), (30, 0, 1), (25, 10, 1), (20, 0, 1)]
+
+
+def test_wkb_of_any_dialect_holes_and_parts(spark):
+    multi = struct.pack("<BII", 1, 1006, 2) + _polygon([OUTER, HOLE]) + _polygon([OTHER], order=">")
+    blobs = {
+        "plain": _polygon([OUTER], ""), "z": _polygon([OUTER]), "m": _polygon([OUTER], "m"), "zm": _polygon([OUTER], "zm"), "big": _polygon([OUTER], "zm", ">"),
+        "ewkb": _polygon([OUTER, HOLE], "zm", ewkb=True), "hole": _polygon([OUTER, HOLE]), "multi": multi, "empty": _polygon([]), "none of it": struct.pack("<BII", 1, 6, 0),
+        "point": struct.pack("<BI2d", 1, 1, 1.0, 2.0), "line": struct.pack("<BII4d", 1, 2, 2, 1.0, 2.0, 3.0, 4.0), "null": None,
+    }
+    found = {r.name: r for r in wkb.with_outlines(spark.createDataFrame(list(blobs.items()) * 3, "name string, footprint_wkb binary").repartition(2)).collect()}
+    assert [found[n].x2 for n in ("plain", "z", "m", "zm", "big")] == [10.0] * 5 and [found[n].z2 for n in ("plain", "m", "zm", "big")] == [0.0, 0.0, 6.0, 6.0]
+    for name, parts in (("hole", 1), ("ewkb", 1), ("multi", 2)):
+        r = found[name]
+        assert r.x0 is None and len(r.parts) == parts and [tuple(p) for p in r.parts[0][1]] == HOLE and [tuple(p) for p in r.ring] == OUTER
+    assert [tuple(p) for p in found["multi"].parts[1][0]] == OTHER
+    assert [found[n].ring for n in ("empty", "none of it", "point", "line", "null")] == [[], [], None, None, None]
+
+
+def test_wkb_round_trip_of_shapes(spark):
+    shapes_in = [[[OUTER]], [[OUTER, HOLE]], [[OUTER, HOLE], [OTHER]], [], [[]], None, [[OTHER]]]
+    kind = "array<array<array<struct<x: double, y: double, z: double>>>>"
+    given = spark.createDataFrame([(k, None if s is None else [[[tuple(map(float, p)) for p in r] for r in part] for part in s]) for k, s in enumerate(shapes_in)], f"k int, shape {kind}")
+    back = given.select("k", wkb.shape_to_wkb(F.col("shape")).alias("b")).select("k", wkb._decode(F.col("b")).alias("s"))
+    assert [None if r.s is None else [[[tuple(p) for p in ring] for ring in part] for part in r.s] for r in back.orderBy("k").collect()] == shapes_in
+
+
+def test_long_outline_crossings_and_health(spark):
+    import math
+
+    n = 20_000
+    star = [(1000 * math.cos(2 * math.pi * k / n) * (1 + k % 2 * 0.01), 1000 * math.sin(2 * math.pi * k / n) * (1 + k % 2 * 0.01), 0.0) for k in range(n)]
+    cut = list(star)
+    cut[15_000] = (0.0, 1500.0, 0.0)  # one vertex drawn through the far side
+    rows = [("star", [star]), ("cut", [cut]), ("hole across", [OUTER, [(8, 4, 0), (12, 4, 0), (12, 8, 0), (8, 8, 0)]]), ("two corners", [[(0, 0, 0), (1, 1, 0)]])]
+    frames = wkb.with_outlines(spark.createDataFrame([(f, _polygon(r)) for f, r in rows], "filename string, footprint_wkb binary"))
+    got = {r.filename: r.outline_state for r in expect.with_validity(frames).collect()}
+    assert got == {"star": "valid", "cut": "invalid", "hole across": "invalid", "two corners": "invalid"}
+
+
+def test_scene_and_rules_take_outlines_of_any_kind(spark, sf):
+    from aerolens.catalog import outlines
+    from aerolens.plans import scene
+
+    f = outlines._shaped(spark, sf)
+    height = f.where("size(ring) > 0").select((F.col("x0").isNull()).alias("odd"), scene._ground(f.columns).alias("h")).groupBy("odd").agg(F.count("*").alias("n"), F.count("h").alias("k")).collect()
+    assert len(height) == 2 and all(r.n == r.k for r in height)
+    bad = expect.rules(f.where("size(ring) > 0"), {"away": expect.misdirected(f.columns).isNull()}).first().n_bad
+    assert bad == f.where("size(ring) > 0 AND x0 IS NULL AND cen_x IS NULL").count()
