@@ -84,6 +84,39 @@ def m4(spark, sf):
     return _surfaces(spark, sf).select("shape_id", R(F.col("flat"), 3).alias("flat"), R(F.col("surface"), 2).alias("surface"))
 
 
+#: Bent ground under the middle of each outline, a tilted footprint around it: heights of cells, and of places between or beyond.
+_CELL = "(500 + ((({i})::BIGINT * 7 + ({j})::BIGINT * 11 + meas_id) % 13) * 3)::DOUBLE"
+
+
+def _bent(x: str, y: str) -> str:
+    u, v = (f"least(19, greatest(0, ({a}) / 50e0 - 0.5e0))" for a in (f"{x} - left0", f"{y} - low0"))
+    i, j = f"least(18, floor({u}))", f"least(18, floor({v}))"
+    cell = lambda a, b: _CELL.format(i=f"{i} + {a}", j=f"{j} + {b}")
+    low, high = (f"({cell(0, b)} * (1 - ({u} - {i})) + {cell(1, b)} * ({u} - {i}))" for b in (0, 1))
+    on = f"{x} BETWEEN left0 AND left0 + 1000 AND {y} BETWEEN low0 AND low0 + 1000"
+    return f"(CASE WHEN {on} THEN {low} * (1 - ({v} - {j})) + {high} * ({v} - {j}) ELSE 400 + 0.02e0 * ({x} - left0) + 0.01e0 * ({y} - low0) END)"
+
+
+_SAMPLED = f"""outline AS (SELECT meas_id, ring, {s.ring_area('ring')} AS flat, ring[1].x - 300 AS left0, ring[1].y - 300 AS low0, list_min(list_transform(ring, lambda p: p.x)) AS bx0, list_max(list_transform(ring, lambda p: p.x)) AS bx1,
+ list_min(list_transform(ring, lambda p: p.y)) AS by0, list_max(list_transform(ring, lambda p: p.y)) AS by1, list_avg(list_transform(ring, lambda p: p.x)) AS mx, list_avg(list_transform(ring, lambda p: p.y)) AS my FROM m WHERE tool = 'area3d' AND len(v) >= 3),
+spaced AS (SELECT *, greatest(1, sqrt((bx1 - bx0) * (by1 - by0) / 400)) AS sp, greatest(2, sp / 2) AS d FROM outline WHERE flat > 0),
+sample AS (SELECT * FROM (SELECT *, bx0 + sp * (i + 0.5e0) AS sx, by0 + sp * (j + 0.5e0) AS sy FROM spaced, unnest(range(0, 600)) a(i), unnest(range(0, 600)) b(j) WHERE bx0 + sp * (i + 0.5e0) < bx1 AND by0 + sp * (j + 0.5e0) < by1) WHERE {s.even_odd('ring', 'sx', 'sy')}),
+spot AS (SELECT meas_id, flat, left0, low0, d, sx, sy FROM sample UNION ALL SELECT meas_id, flat, left0, low0, d, mx, my FROM spaced WHERE meas_id NOT IN (SELECT meas_id FROM sample))"""
+
+
+@query("m4_bent_surface", "meas", f"""WITH {_MEAS}, {_SAMPLED} SELECT meas_id AS shape_id, {r("any_value(flat) * avg(sqrt(1 + pow((e - w) / (2 * d), 2) + pow((n - o) / (2 * d), 2)))", 2)} AS surface
+FROM (SELECT *, {_bent('(sx + d)', 'sy')} AS e, {_bent('(sx - d)', 'sy')} AS w, {_bent('sx', '(sy + d)')} AS n, {_bent('sx', '(sy - d)')} AS o FROM spot) GROUP BY meas_id""")
+def m4_bent(spark, sf):
+    m = features.measured(domain.measurements(spark, sf)).where((F.col("tool") == "area3d") & (F.size("v") >= 3))
+    left, low, k = F.col("v")[0]["x"] - 300, F.col("v")[0]["y"] - 300, F.col("meas_id")
+    far = [(a, b) for a in (-3000, 4000) for b in (-3000, 4000)]
+    plane = {f"{c}{n}": e for n, (a, b) in enumerate(far) for c, e in (("x", left + a), ("y", low + b), ("z", F.lit(400 + 0.02 * a + 0.01 * b)))}
+    outlines = m.select(k.alias("shape_id"), k.alias("patch_id"), F.transform("v", lambda p: rings.point(p["x"], p["y"])).alias("ring"), *[e.alias(c) for c, e in plane.items()])
+    grid = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (500 + ((i * 7 + j * 11 + k) % 13) * 3).cast("double")))
+    patches = m.select(k.alias("patch_id"), F.lit(50.0).alias("cellSize"), left.alias("lowerLeftX"), low.alias("lowerLeftY"), F.lit(-9999.0).alias("noDataValue"), grid.alias("value"))
+    return features.surface_areas(outlines, patches, 400).select("shape_id", R(F.col("surface"), 2).alias("surface"))
+
+
 def _grp(e: str, d: str) -> str:
     """Thousands separators and d decimals."""
     return f"(CASE WHEN round({e}, {d}) < 0 THEN '-' ELSE '' END || printf('%,d', floor(abs(round({e}, {d})))::BIGINT) || CASE WHEN {d} > 0 THEN '.' || lpad((round(abs(round({e}, {d})) * pow(10, {d})) % pow(10, {d}))::BIGINT::VARCHAR, {d}, '0') ELSE '' END)"

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from aerolens.functions import rings, text
+from aerolens.functions import quads, rings, text
 from aerolens.functions.angles import js_round
 from aerolens.functions.crs import METRES_PER_FOOT, grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.quads import distance
@@ -304,8 +304,10 @@ def surface_areas(outlines: DataFrame, patches: DataFrame, samples: int = SURFAC
     """Area of the terrain surface under each outline (shape_id, patch_id, ring): flat area times the mean slope factor.
 
     Samples are exploded, kept inside the outline, and their four neighbours looked up in one join; a sliver between the
-    samples is judged at the mean of its vertices.
+    samples is judged at the mean of its vertices. Where the patch has no height, or there is none, the plane through the photo's
+    footprint stands in for it, if the outlines carry its corners (x0 to z3).
     """
+    corners = [f"{a}{n}" for n in range(4) for a in "xyz"] if "z3" in outlines.columns else []
     x0, y0, x1, y1 = rings.box(F.col("ring"))
     df = outlines.withColumns({"flat": rings.area(F.col("ring")), "bx0": x0, "by0": y0, "bx1": x1, "by1": y1}).where((F.size("ring") >= 3) & (F.col("flat") > 0))
     spacing = F.greatest(F.lit(1.0), F.sqrt((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")) / samples))
@@ -314,12 +316,14 @@ def surface_areas(outlines: DataFrame, patches: DataFrame, samples: int = SURFAC
     count = lambda lo, hi: F.greatest(F.lit(0), F.ceil((F.col(hi) - F.col(lo)) / F.col("sp") - 0.5) - 1).cast("int")
     grid = df.withColumn("i", F.explode(F.sequence(F.lit(0), count("bx0", "bx1")))).withColumn("j", F.explode(F.sequence(F.lit(0), count("by0", "by1"))))
     grid = rings.settle(grid.withColumns({"sx": F.col("bx0") + F.col("sp") * (F.col("i") + 0.5), "sy": F.col("by0") + F.col("sp") * (F.col("j") + 0.5)}), "sx", "sy")
-    grid = grid.where(rings.inside(F.col("ring"), F.col("sx"), F.col("sy"))).select("shape_id", "patch_id", "d", "sx", "sy", F.lit(False).alias("spare"))
-    spare = df.select("shape_id", "patch_id", "d", F.col("mx").alias("sx"), F.col("my").alias("sy"), F.lit(True).alias("spare"))
+    grid = grid.where(rings.inside(F.col("ring"), F.col("sx"), F.col("sy"))).select("shape_id", "patch_id", "d", "sx", "sy", F.lit(False).alias("spare"), *corners)
+    spare = df.select("shape_id", "patch_id", "d", F.col("mx").alias("sx"), F.col("my").alias("sy"), F.lit(True).alias("spare"), *corners)
     every = grid.unionByName(spare)
     offs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])])
     legs = every.withColumn("o", F.explode(offs)).withColumns({"x": F.col("sx") + F.col("o.a") * F.col("d"), "y": F.col("sy") + F.col("o.b") * F.col("d")})
-    high = with_heights(legs, patches, name="h")
+    high = with_heights(legs, patches, name="h", asked=outlines)
+    if corners:
+        high = high.withColumn("h", F.coalesce("h", quads.plane_height(quads.corners(), quads.heights(), F.col("x"), F.col("y")))).drop(*corners)
     at = lambda n: F.max(F.when(F.col("o.n") == n, F.col("h")))
     slopes = high.groupBy("shape_id", "spare", "sx", "sy", "d").agg(((at(0) - at(1)) / (2 * F.first("d"))).alias("gx"), ((at(2) - at(3)) / (2 * F.first("d"))).alias("gy"))
     factor = F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))

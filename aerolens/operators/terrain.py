@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Cells of a block, each way.
+BLOCK = 16
+
 
 def headers(patches: DataFrame) -> DataFrame:
     """Placement and size of each patch."""
@@ -14,6 +17,7 @@ def headers(patches: DataFrame) -> DataFrame:
         F.col("lowerLeftY").alias("low"),
         F.size(F.col("value")[0]).alias("cols"),
         F.size("value").alias("rows"),
+        F.col("noDataValue").alias("none"),
     )
 
 
@@ -30,43 +34,47 @@ def cells(patches: DataFrame) -> DataFrame:
     )
 
 
-def cell_quads(patches: DataFrame) -> DataFrame:
-    """Each cell with its right, upper and upper-right neighbours on one row, so that a lookup is one equi-join.
+def blocks(patches: DataFrame, side: int = BLOCK) -> DataFrame:
+    """Patches cut into blocks of `side` cells each way (patch_id, bi, bj, width, z): heights in rows one after another.
 
-    At the last column or row the cell stands in for the missing neighbour.
+    A block also has the first column and row of the next one, so that a lookup reads a single block.
     """
-    ahead = lambda a: F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, -1, 1))
-    pairs = F.arrays_zip(F.col("value").alias("lo"), ahead(F.col("value")).alias("hi"))
-    by_row = patches.select("patch_id", "noDataValue", F.posexplode(pairs).alias("j", "p"))
-    lo, hi = F.col("p.lo"), F.col("p.hi")
-    four = F.arrays_zip(lo.alias("z00"), ahead(lo).alias("z10"), hi.alias("z01"), ahead(hi).alias("z11"))
-    out = by_row.select("patch_id", "noDataValue", "j", F.posexplode(four).alias("i", "q"))
-    return out.select("patch_id", "i", "j", *[_known(F.col(f"q.{c}"), F.col("noDataValue")).alias(c) for c in ("z00", "z10", "z01", "z11")])
+    steps = lambda n: F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / side), F.lit(0)).cast("int"))
+    cut = patches.withColumn("bj", F.explode(steps(F.size("value"))))
+    cut = cut.select("patch_id", "bj", F.slice("value", F.col("bj") * side + 1, F.lit(side + 1)).alias("v"), F.size(F.col("value")[0]).alias("cols"))
+    cut = cut.withColumn("bi", F.explode(steps(F.col("cols"))))
+    rows = F.transform("v", lambda r: F.slice(r, F.col("bi") * side + 1, F.lit(side + 1)))
+    return cut.select("patch_id", "bi", "bj", F.least(F.col("cols") - F.col("bi") * side, F.lit(side + 1)).alias("width"), F.flatten(rows).alias("z"))
 
 
-def with_heights(places: DataFrame, patches: DataFrame, x: str = "x", y: str = "y", name: str = "height") -> DataFrame:
+def with_heights(places: DataFrame, patches: DataFrame, x: str = "x", y: str = "y", name: str = "height", asked: DataFrame | None = None, side: int = BLOCK) -> DataFrame:
     """Bilinear height between cell centres at each (patch_id, x, y); NULL off the patch or without data.
 
     Positions are held half a cell inside the edge. Missing corners are left out and the others take a little weight
-    each, so that there is an answer right at a missing cell.
+    each, so that there is an answer right at a missing cell. Only patches that are asked for are cut into blocks, a place meets
+    the one block it lies in, and the four heights around it are read from there by their index. `asked` names these patches
+    where that is cheaper than to list the places.
     """
     px, py = F.col(x), F.col(y)
-    df = places.join(headers(patches), "patch_id", "left")
+    asked = patches.join((places if asked is None else asked).select("patch_id").distinct(), "patch_id", "left_semi")
+    df = places.join(headers(asked), "patch_id", "left")
     width, height = F.col("cols") * F.col("cell"), F.col("rows") * F.col("cell")
     within = (px >= F.col("left")) & (px <= F.col("left") + width) & (py >= F.col("low")) & (py <= F.col("low") + height)
     place = lambda v, first, n: F.least(
         F.greatest((v - F.col(first)) / F.col("cell") - F.lit(0.5), F.lit(0.0)), (F.col(n) - 1).cast("double")
     )
     df = df.withColumns({"__u": F.when(within, place(px, "left", "cols")), "__v": F.when(within, place(py, "low", "rows"))})
-    df = df.withColumns(
-        {
-            "i": F.greatest(F.least(F.floor("__u"), F.col("cols") - 2), F.lit(0)).cast("int"),
-            "j": F.greatest(F.least(F.floor("__v"), F.col("rows") - 2), F.lit(0)).cast("int"),
-        }
-    )
-    df = df.join(cell_quads(patches), ["patch_id", "i", "j"], "left")
+    first = lambda at, n: F.greatest(F.least(F.floor(at), F.col(n) - 2), F.lit(0)).cast("int")
+    df = df.withColumns({"i": first("__u", "cols"), "j": first("__v", "rows")})
+    df = df.withColumns({"bi": F.floor(F.col("i") / side).cast("int"), "bj": F.floor(F.col("j") / side).cast("int")})
+    df = df.join(blocks(asked, side), ["patch_id", "bi", "bj"], "left")
     fu, fv = F.col("__u") - F.col("i"), F.col("__v") - F.col("j")
     one = F.lit(1.0)
+    # At the last column or row the cell stands in for the missing neighbour.
+    i1, j1 = F.least(F.col("i") + 1, F.col("cols") - 1), F.least(F.col("j") + 1, F.col("rows") - 1)
+    read = lambda i, j: _known(F.get("z", (j - F.col("bj") * side) * F.col("width") + i - F.col("bi") * side), F.col("none"))
+    corners = {"z00": read(F.col("i"), F.col("j")), "z10": read(i1, F.col("j")), "z01": read(F.col("i"), j1), "z11": read(i1, j1)}
+    df = df.withColumns(corners)
     weights = {"z00": (one - fu) * (one - fv), "z10": fu * (one - fv), "z01": (one - fu) * fv, "z11": fu * fv}
     missing = sum(F.col(c).isNull().cast("int") for c in weights) > 0
     extra = F.when(missing, 0.05).otherwise(0.0)
