@@ -267,3 +267,27 @@ def m19h(spark, sf):
     pairs = features.handles(loc).join(loc.select("id", "seq"), "id").join(_clicks(spark, sf), F.col("seq") == F.col("click_id"))
     out = features.nearest_handle(pairs)
     return out.select("click_id", F.col("index").cast("long").alias("index"), "role", R(F.col("d"), 3).alias("d"))
+
+
+#: Every click against every feature, edge by edge and handle by handle; boxes only save work.
+_EVERY = f"""ev AS MATERIALIZED (SELECT c.click_id, c.cx, c.cy, o.id, o.seq, o.kind, o.ground, o.outline FROM outl o JOIN ck c ON c.cx BETWEEN list_min(list_transform(o.outline, lambda q: q.x)) - 20 AND list_max(list_transform(o.outline, lambda q: q.x)) + 20
+ AND c.cy BETWEEN list_min(list_transform(o.outline, lambda q: q.y)) - 20 AND list_max(list_transform(o.outline, lambda q: q.y)) + 20)"""
+
+
+@query("m19_nearest_edge_of_all", "drawn", f"""WITH {_REPAIRED}, {_CLICK}, {_EVERY}, e AS (SELECT click_id, cx, cy, id, seq, outline, unnest(range(0, len(outline) - CASE WHEN kind = 'line' THEN 1 ELSE 0 END)) AS after FROM ev WHERE len(outline) > 1),
+ d AS (SELECT *, outline[after + 1] AS a, outline[1 + (after + 1) % len(outline)] AS b FROM e),
+ t AS (SELECT *, greatest(0, least(1, coalesce(((cx - a.x) * (b.x - a.x) + (cy - a.y) * (b.y - a.y)) / nullif((b.x - a.x)^2 + (b.y - a.y)^2, 0), 0))) AS t FROM d),
+ f AS (SELECT *, a.x + t * (b.x - a.x) AS x, a.y + t * (b.y - a.y) AS y, sqrt((cx - a.x - t * (b.x - a.x))^2 + (cy - a.y - t * (b.y - a.y))^2) AS d FROM t)
+SELECT click_id, {r('min(d)', 3)} AS d, arg_min(id, {{'d': round(d, 6), 's': seq, 'o': -after}}) AS id, {r("arg_min(x, {'d': round(d, 6), 's': seq, 'o': -after})", 2)} AS x, {r("arg_min(y, {'d': round(d, 6), 's': seq, 'o': -after})", 2)} AS y FROM f WHERE d <= 9 GROUP BY click_id""")
+def m19_all(spark, sf):
+    shapes = _located(spark, sf).select("id", "seq", "kind", "outline")
+    out = features.nearest_edges(_clicks(spark, sf), shapes)
+    return out.select("click_id", R(F.col("d"), 3).alias("d"), "id", R(F.col("x"), 2).alias("x"), R(F.col("y"), 2).alias("y"))
+
+
+@query("m19_nearest_handle_of_all", "drawn", f"""WITH {_REPAIRED}, {_CLICK}, {_EVERY}, h AS (SELECT click_id, cx, cy, id, seq, kind, unnest(CASE WHEN kind = 'circle' THEN [ground[1], outline[1]] ELSE ground END) AS p, unnest(range(0, CASE WHEN kind = 'circle' THEN 2 ELSE len(ground) END)) AS i FROM ev),
+ d AS (SELECT *, sqrt((p.x - cx)^2 + (p.y - cy)^2) AS d, {{'d': sqrt((p.x - cx)^2 + (p.y - cy)^2), 's': seq, 'i': i}} AS k FROM h)
+SELECT click_id, arg_min(id, k) AS id, arg_min(i, k) AS index, arg_min(CASE WHEN kind <> 'circle' THEN 'vertex' WHEN i = 0 THEN 'centre' ELSE 'radius' END, k) AS role, {r('min(d)', 3)} AS d FROM d WHERE d <= 11 GROUP BY click_id""")
+def m19_handles_all(spark, sf):
+    out = features.nearest_handles(_clicks(spark, sf), _located(spark, sf))
+    return out.select("click_id", "id", F.col("index").cast("long").alias("index"), "role", R(F.col("d"), 3).alias("d"))

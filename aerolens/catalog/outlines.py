@@ -134,7 +134,7 @@ def shape_health(spark, sf):
 @query("g13_shape_crossings", "frames", f"WITH {_CUT} SELECT filename FROM cut")
 def shape_crossings(spark, sf):
     f = _shaped(spark, sf)
-    return shapes.crossing_shapes(f.where(F.size("ring") > 0), "filename", shapes.of_frame(f.columns))
+    return expect.crossing_shapes(f.where(F.size("ring") > 0), "filename", shapes.of_frame(f.columns))
 
 
 @query("t14_shape_boxes", "frames", f"WITH {_SHAPES} SELECT filename, xmin, ymin, xmax, ymax FROM frames LEFT JOIN bounds USING (filename)")

@@ -116,33 +116,3 @@ def numbered_edges(df: DataFrame, key: str, shape: Column) -> DataFrame:
     given = given.select(key, "ring", rings.opened(F.col("v")).alias("v"))
     out = given.select(key, "ring", F.size("v").alias("n"), F.posexplode(rings.edges(F.col("v"))).alias("i", "e"))
     return out.select(key, "ring", "i", "n", "e.*").where("ax <> bx OR ay <> by")
-
-
-def crossing_shapes(df: DataFrame, key: str, shape: Column) -> DataFrame:
-    """The keys of shapes with two edges that properly cross.
-
-    Every shape has cells of its own, about as many as edges; an edge goes to the cells that it runs through, row by row, and only
-    edges that meet in a cell are compared, so that a long outline is spread over tasks and no pair of far edges is formed.
-    """
-    size = F.greatest(F.array_max(F.transform(vertices(shape), lambda p: p["x"])) - F.array_min(F.transform(vertices(shape), lambda p: p["x"])),
-                      F.array_max(F.transform(vertices(shape), lambda p: p["y"])) - F.array_min(F.transform(vertices(shape), lambda p: p["y"])))
-    pitch = df.select(key, (size / F.greatest(F.ceil(F.sqrt(F.size(vertices(shape)).cast("double"))), F.lit(1))).alias("pitch")).where("pitch > 0")
-    e = numbered_edges(df, key, shape).join(pitch, key)
-    cell = lambda v: F.floor(v / F.col("pitch"))
-    e = e.withColumn("row", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by")))))
-    # The stretch of the edge within the row of cells, and the columns it runs through.
-    at = lambda y: F.col("ax") + (F.col("bx") - F.col("ax")) * F.least(F.greatest((y - F.col("ay")) / (F.col("by") - F.col("ay")), F.lit(0.0)), F.lit(1.0))
-    level = F.col("ay") == F.col("by")
-    one, two = at(F.col("row") * F.col("pitch")), at((F.col("row") + 1) * F.col("pitch"))
-    left = F.when(level, F.least("ax", "bx")).otherwise(F.least(one, two))
-    right = F.when(level, F.greatest("ax", "bx")).otherwise(F.greatest(one, two))
-    # A little more on both sides, so that rounding never parts two edges that cross at a cell's edge.
-    slack = F.col("pitch") * 1e-9
-    e = e.withColumn("column", F.explode(F.sequence(cell(left - slack), cell(right + slack))))
-    names = ("ring", "i", "n", "ax", "ay", "bx", "by")
-    a, b = (e.select(key, "row", "column", *[F.col(c).alias(s + c) for c in names]) for s in "pq")
-    ordered = (F.col("pring") < F.col("qring")) | ((F.col("pring") == F.col("qring")) & (F.col("pi") < F.col("qi")))
-    near = (F.col("pring") == F.col("qring")) & ((F.col("qi") - F.col("pi") == 1) | ((F.col("pi") == 0) & (F.col("qi") == F.col("qn") - 1)))
-    side = lambda s, t, u: rings.side(F.col(s + "ax"), F.col(s + "ay"), F.col(s + "bx"), F.col(s + "by"), F.col(t + u + "x"), F.col(t + u + "y"))
-    cross = (side("p", "q", "a") * side("p", "q", "b") < 0) & (side("q", "p", "a") * side("q", "p", "b") < 0)
-    return a.join(b, [key, "row", "column"]).where(ordered & ~near & cross).select(key).distinct()

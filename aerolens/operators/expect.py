@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from aerolens.functions import quads, rings, shapes
 from aerolens.functions.angles import full_turn, half_turn
 from aerolens.functions.rings import settle
+from aerolens.operators.gridjoin import edge_cells
 
 CAMERAS = ["Color", "Fwd", "Bwd", "Left", "Right"]
 
@@ -147,7 +148,7 @@ def with_validity(frames: DataFrame, key: str = "filename", srid: int = 3089) ->
     """`frames` with `outline_state`: missing, empty, invalid or valid; and whether it is in another reference system.
 
     An outline is invalid if two of its edges cross, within a ring or between rings, if a ring has under three corners, or if it
-    has no area. Quads are judged by their corners, others edge by edge (`shapes.crossing_shapes`); `key` is unique.
+    has no area. Quads are judged by their corners, others edge by edge (`crossing_shapes`); `key` is unique.
     """
     q, shape = quads.corners(), shapes.of_frame(frames.columns)
     quad = F.col("x0").isNotNull()
@@ -155,7 +156,7 @@ def with_validity(frames: DataFrame, key: str = "filename", srid: int = 3089) ->
     df = settle(df.withColumn("__area", F.when(quad, quads.area(q)).otherwise(shapes.area(F.col("__shape")))), "__area")
     short = F.exists(F.flatten("__shape"), lambda r: F.size(rings.opened(r)) < 3)
     others = df.where(F.col("__shape").isNotNull()).select(key, "__shape")
-    cut = shapes.crossing_shapes(others, key, F.col("__shape")).withColumn("__cut", F.lit(True))
+    cut = crossing_shapes(others, key, F.col("__shape")).withColumn("__cut", F.lit(True))
     df = df.join(cut, key, "left")
     bad = F.coalesce(F.when(quad, crossed(q)).otherwise(F.col("__cut") | short), F.lit(False)) | (F.col("__area") <= 0)
     state = F.when(F.col("ring").isNull(), "missing").when(F.size("ring") == 0, "empty").when(bad, "invalid").otherwise("valid")
@@ -163,6 +164,25 @@ def with_validity(frames: DataFrame, key: str = "filename", srid: int = 3089) ->
     return df.withColumns({"outline_state": state, "other_srid": F.coalesce(other, F.lit(True))}).drop("__shape", "__area", "__cut")
 
 
+def crossing_shapes(df: DataFrame, key: str, shape: Column) -> DataFrame:
+    """The keys of shapes with two edges that properly cross.
+
+    Every shape has cells of its own, about as many as edges; an edge goes to the cells that it runs through, and only edges that
+    meet in a cell are compared, so that a long outline is spread over tasks and no pair of far edges is formed.
+    """
+    spread = lambda a: F.array_max(F.transform(shapes.vertices(shape), lambda p: p[a])) - F.array_min(F.transform(shapes.vertices(shape), lambda p: p[a]))
+    count = F.greatest(F.ceil(F.sqrt(F.size(shapes.vertices(shape)).cast("double"))), F.lit(1))
+    pitch = df.select(key, (F.greatest(spread("x"), spread("y")) / count).alias("pitch")).where("pitch > 0")
+    e = edge_cells(shapes.numbered_edges(df, key, shape).join(pitch, key), F.col("pitch"), names=("column", "row"))
+    names = ("ring", "i", "n", "ax", "ay", "bx", "by")
+    a, b = (e.select(key, "row", "column", *[F.col(c).alias(s + c) for c in names]) for s in "pq")
+    ordered = (F.col("pring") < F.col("qring")) | ((F.col("pring") == F.col("qring")) & (F.col("pi") < F.col("qi")))
+    near = (F.col("pring") == F.col("qring")) & ((F.col("qi") - F.col("pi") == 1) | ((F.col("pi") == 0) & (F.col("qi") == F.col("qn") - 1)))
+    side = lambda s, t, u: rings.side(F.col(s + "ax"), F.col(s + "ay"), F.col(s + "bx"), F.col(s + "by"), F.col(t + u + "x"), F.col(t + u + "y"))
+    cross = (side("p", "q", "a") * side("p", "q", "b") < 0) & (side("q", "p", "a") * side("q", "p", "b") < 0)
+    return a.join(b, [key, "row", "column"]).where(ordered & ~near & cross).select(key).distinct()
+
+
 def outline_rules(frames: DataFrame, key: str = "filename") -> DataFrame:
     """(rule, n_bad) over outlines of any kind."""
     state = F.col("outline_state")

@@ -15,8 +15,9 @@ from aerolens.functions import quads, rings, text
 from aerolens.functions.angles import js_round
 from aerolens.functions.crs import METRES_PER_FOOT, grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.quads import distance
-from aerolens.operators.gridjoin import points_in_shapes
+from aerolens.operators.gridjoin import points_in_shapes, points_near_edges
 from aerolens.operators.terrain import with_heights
+from aerolens.session import staged
 
 # Kinds with the fewest and most vertices, and what stands in for missing properties.
 KINDS = {"point": (1, 1), "text": (1, 1), "line": (2, 100000), "polygon": (3, 100000), "rectangle": (4, 4), "circle": (1, 1)}
@@ -219,50 +220,95 @@ def layer_extents(with_geom: DataFrame) -> DataFrame:
     return df.groupBy("layer").agg(F.count("*").alias("n"), F.min("a").alias("min_x"), F.min("b").alias("min_y"), F.max("c").alias("max_x"), F.max("d").alias("max_y"))
 
 
+#: Bands of a shape's height; a click meets the edges of its own band alone.
+BANDS = 16
+
+
 def hits(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = 300.0) -> DataFrame:
     """The feature under each click (click_id, cx, cy): (click_id, id), in the units both are projected to.
 
     `shapes` has id, seq, kind, label and `outline` in those units. Point or text, then line, then edge, then inside; ties
-    by distance, or the smaller area inside, then drawing order.
+    by distance, or the smaller area inside, then drawing order. What is near is found through single edges in cells; a shape's
+    inside is told from its box and the crossings of the edges at the click's own height. No outline is copied whole.
     """
-    n = F.length("label")
-    pad_x = F.when(F.col("kind") == "text", F.greatest(F.lit(tolerance + POINT_EXTRA), n * TEXT_HALF_CHAR + 4)).otherwise(F.lit(tolerance + POINT_EXTRA))
+    own = shapes.select("id", "seq", "kind", F.length("label").alias("n"), "outline").withColumn("key", F.monotonically_increasing_id())
     x0, y0, x1, y1 = rings.box(F.col("outline"))
-    pad_y = F.lit(max(TEXT_HALF_HEIGHT, tolerance + POINT_EXTRA))
-    boxed = shapes.withColumns({"__pad": pad_x, "xmin": x0 - pad_x, "ymin": y0 - pad_y, "xmax": x1 + pad_x, "ymax": y1 + pad_y})
-    pairs = points_in_shapes(clicks, boxed, ["click_id"], ["id"], F.lit(True), at=("cx", "cy"), cell=cell, levels=(0, 2, 4, 6, 8, 10))
-    ring, cx, cy = F.col("outline"), F.col("cx"), F.col("cy")
-    df = pairs.withColumns(
-        {
-            "__hub": distance(ring[0]["x"], ring[0]["y"], cx, cy),
-            "__line": F.when(F.col("kind") == "line", rings.edge_distance(ring, cx, cy, closed=False)),
-            "__edge": F.when(F.size(ring) > 2, rings.edge_distance(ring, cx, cy)),
-            "__in": F.when(F.size(ring) > 2, rings.inside(ring, cx, cy)),
-            "__area": F.when(F.size(ring) > 2, rings.area(ring)),
-        }
-    )
+    own = staged(own.withColumns({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1, "area": F.when(F.size("outline") > 2, rings.area(F.col("outline")))}))
+    near = _near(clicks, own, tolerance, cell)
+    inside = _around(clicks, own, cell)
+    both = near.select("click_id", "rank", "tie", "seq", "id").unionByName(inside.select("click_id", F.lit(3).alias("rank"), F.col("area").alias("tie"), "seq", "id"))
+    return both.groupBy("click_id").agg(F.min(F.struct("rank", "tie", "seq", "id")).alias("b")).select("click_id", "b.id", "b.rank")
+
+
+def _edges_of(shapes: DataFrame) -> DataFrame:
+    """Single edges of features; a point or a text has one of no length, a line no edge back to its beginning."""
+    ring, open_ended = F.col("outline"), F.col("kind") == "line"
+    each = F.when(open_ended, rings.legs(ring)).otherwise(rings.edges(ring))
+    return shapes.select(*[c for c in shapes.columns if c != "outline"], F.posexplode(each).alias("after", "e")).select("*", "e.*").drop("e")
+
+
+def _near(clicks: DataFrame, own: DataFrame, tolerance: float, cell: float) -> DataFrame:
+    """(click_id, id, seq, rank, tie) of the points, texts, lines and edges within reach of a click."""
+    reach = tolerance + POINT_EXTRA
+    kind = F.col("kind")
+    half = F.when(kind == "text", F.greatest(F.lit(reach), F.coalesce("n", F.lit(0)) * TEXT_HALF_CHAR + 4)).otherwise(F.lit(0.0))
+    # The writing of a text is a level edge through its place.
+    edges = _edges_of(own.select("id", "seq", "kind", "n", "outline")).withColumn("half", half)
+    edges = edges.withColumns({"ax": F.col("ax") - F.col("half"), "bx": F.col("bx") + F.col("half")})
+    pairs = points_near_edges(clicks.select("click_id", "cx", "cy"), edges, max(TEXT_HALF_HEIGHT, reach), ("cx", "cy"), cell)
+    d = F.sqrt(quads.segment_distance_sq(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("cx"), F.col("cy")))
+    hub = distance((F.col("ax") + F.col("bx")) / 2, F.col("ay"), F.col("cx"), F.col("cy"))
+    in_text = (F.abs((F.col("ax") + F.col("bx")) / 2 - F.col("cx")) <= F.col("half")) & (F.abs(F.col("ay") - F.col("cy")) <= TEXT_HALF_HEIGHT)
     spot = lambda rank, tie: F.struct(F.lit(rank).alias("rank"), tie.alias("tie"))
-    kind, hub = F.col("kind"), F.col("__hub")
-    in_text = (F.abs(ring[0]["x"] - cx) <= F.col("__pad")) & (F.abs(ring[0]["y"] - cy) <= TEXT_HALF_HEIGHT)
-    shape = ~kind.isin("point", "text", "line")
     found = (
-        F.when((kind == "point") & (hub <= tolerance + POINT_EXTRA), spot(0, hub))
-        .when((kind == "text") & in_text, spot(0, hub))
-        .when((kind == "line") & (F.col("__line") <= tolerance), spot(1, F.col("__line")))
-        .when(shape & (F.col("__edge") <= tolerance), spot(2, F.col("__edge")))
-        .when(shape & F.col("__in"), spot(3, F.col("__area")))
-    )
-    ranked = df.withColumn("__k", found).where(F.col("__k").isNotNull())
-    return ranked.groupBy("click_id").agg(F.min(F.struct("__k.rank", "__k.tie", "seq", "id")).alias("b")).select("click_id", "b.id", "b.rank")
+        F.when((kind == "point") & (hub <= reach), spot(0, hub)).when((kind == "text") & in_text, spot(0, hub))
+        .when((kind == "line") & (d <= tolerance), spot(1, d)).when(~kind.isin("point", "text", "line") & (d <= tolerance), spot(2, d))
+    )
+    return pairs.withColumn("k", found).where(F.col("k").isNotNull()).select("click_id", "id", "seq", "k.*")
+
+
+def _around(clicks: DataFrame, own: DataFrame, cell: float) -> DataFrame:
+    """(click_id, id, seq, area) of the shapes that a click lies inside: an odd number of edges to its right."""
+    closed = own.where(~F.col("kind").isin("point", "text", "line") & F.col("area").isNotNull())
+    closed = closed.withColumn("pitch", F.greatest((F.col("ymax") - F.col("ymin")) / BANDS, F.lit(1e-9)))
+    band = lambda y: F.floor((y - F.col("ymin")) / F.col("pitch"))
+    boxed = points_in_shapes(clicks.select("click_id", "cx", "cy"), closed.select("key", "id", "seq", "area", "xmin", "ymin", "xmax", "ymax", "pitch"), ["click_id"], ["key"], F.lit(True), at=("cx", "cy"), cell=cell, levels=(0, 2, 4, 6, 8, 10))
+    boxed = boxed.withColumn("band", band(F.col("cy")))
+    edges = _edges_of(closed.select("key", "kind", "ymin", "pitch", "outline")).where("ay <> by")
+    edges = edges.withColumn("band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by"))))).select("key", "band", "ax", "ay", "bx", "by")
+    turn = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("cx") - F.col("ax")) * (F.col("by") - F.col("ay"))
+    met = ((F.col("ay") <= F.col("cy")) & (F.col("by") > F.col("cy")) & (turn > 0)) | ((F.col("ay") > F.col("cy")) & (F.col("by") <= F.col("cy")) & (turn < 0))
+    crossed = boxed.join(edges, ["key", "band"]).where(met).groupBy("click_id", "key").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "seq", "area")])
+    return crossed.where("n % 2 = 1").select("click_id", "id", "seq", "area")
+
+
+def nearest_edges(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = 300.0) -> DataFrame:
+    """Per click (click_id, cx, cy) the nearest place on an edge of any feature within reach: (click_id, id, after, x, y, d).
+
+    Of equally near edges the first drawn feature's counts, and of one feature's the last one.
+    """
+    edges = _edges_of(shapes.where(F.size("outline") > 1).select("id", "seq", "kind", "outline"))
+    pairs = points_near_edges(clicks.select("click_id", "cx", "cy"), edges, tolerance, ("cx", "cy"), cell)
+    pairs = pairs.withColumn("p", rings.nearest_on_leg(F.struct("ax", "ay", "bx", "by"), F.col("cx"), F.col("cy"))).where(F.col("p.d") <= tolerance)
+    best = F.min(F.struct(F.col("p.d").alias("d"), "seq", (-F.col("after")).alias("o"), "id", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+    return pairs.groupBy("click_id").agg(best.alias("b")).select("click_id", "b.id", (-F.col("b.o")).alias("after"), "b.x", "b.y", "b.d")
+
+
+def nearest_handles(clicks: DataFrame, located: DataFrame, tolerance: float = HANDLE_TOLERANCE, cell: float = 300.0) -> DataFrame:
+    """Per click the nearest handle of any feature within reach, the first of equally near ones by drawing order and number."""
+    own = handles(located, keep=("seq",)).select("id", "seq", "index", "role", *[F.col(h).alias(c) for h, c in (("hx", "ax"), ("hy", "ay"), ("hx", "bx"), ("hy", "by"))])
+    pairs = points_near_edges(clicks.select("click_id", "cx", "cy"), own, tolerance, ("cx", "cy"), cell)
+    pairs = pairs.withColumn("d", distance(F.col("ax"), F.col("ay"), F.col("cx"), F.col("cy"))).where(F.col("d") <= tolerance)
+    return pairs.groupBy("click_id").agg(F.min(F.struct("d", "seq", "index", "id", "role")).alias("b")).select("click_id", "b.id", "b.index", "b.role", "b.d")
 
 
-def handles(located: DataFrame) -> DataFrame:
+def handles(located: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Places of a feature that can be grabbed: each vertex, or a circle's centre and its easternmost ring point."""
     circle = F.col("kind") == "circle"
     at = F.when(circle, F.array(F.col("ground")[0], F.col("outline")[0])).otherwise(F.col("ground"))
-    df = located.select("id", "kind", F.posexplode(at).alias("index", "p"))
+    df = located.select("id", *keep, "kind", F.posexplode(at).alias("index", "p"))
     role = F.when(F.col("kind") != "circle", "vertex").when(F.col("index") == 0, "centre").otherwise("radius")
-    return df.select("id", "index", role.alias("role"), F.col("p.x").alias("hx"), F.col("p.y").alias("hy"))
+    return df.select("id", *keep, "index", role.alias("role"), F.col("p.x").alias("hx"), F.col("p.y").alias("hy"))
 
 
 def nearest_handle(near: DataFrame, tolerance: float = HANDLE_TOLERANCE) -> DataFrame:

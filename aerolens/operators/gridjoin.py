@@ -47,6 +47,31 @@ def shape_cells(shapes: DataFrame, box: Sequence[str], cell: float, levels: Sequ
     return out.withColumn("__cy", F.explode(F.sequence(_cell(y0, size), _cell(y1, size))))
 
 
+def edge_cells(edges: DataFrame, cell: Column | float, pad: float = 0.0, names: tuple[str, str] = ("__cx", "__cy")) -> DataFrame:
+    """One row per cell that an edge (ax, ay, bx, by), widened by `pad` on all sides, runs through.
+
+    Rows of cells are walked one by one, and of each only the columns over the edge's own stretch are taken, so that a long
+    slanting edge has about as many cells as it crosses, not those of its box.
+    """
+    size = cell if isinstance(cell, Column) else F.lit(float(cell))
+    cx, cy = names
+    # A little more on all sides, so that rounding never parts what meets at a cell's edge.
+    reach = F.lit(float(pad)) + size * 1e-9
+    out = edges.withColumn(cy, F.explode(F.sequence(_cell(F.least("ay", "by") - reach, size), _cell(F.greatest("ay", "by") + reach, size))))
+    part = lambda y: F.least(F.greatest((y - F.col("ay")) / F.when(F.col("by") != F.col("ay"), F.col("by") - F.col("ay")), F.lit(0.0)), F.lit(1.0))
+    at = lambda y, level: F.when(F.col("ay") == F.col("by"), level).otherwise(F.col("ax") + (F.col("bx") - F.col("ax")) * part(y))
+    low, high = F.col(cy) * size - reach, (F.col(cy) + 1) * size + reach
+    one, two = at(low, F.col("ax")), at(high, F.col("bx"))
+    return out.withColumn(cx, F.explode(F.sequence(_cell(F.least(one, two) - reach, size), _cell(F.greatest(one, two) + reach, size))))
+
+
+def points_near_edges(points: DataFrame, edges: DataFrame, pad: float, at: tuple[str, str] = ("px", "py"), cell: float = CELL_FT) -> DataFrame:
+    """Pairs of a point and an edge (ax, ay, bx, by) in a cell within `pad` of it, found through single edges in cells."""
+    x, y = at
+    placed = points.withColumns({"__cx": _cell(F.col(x), F.lit(cell)), "__cy": _cell(F.col(y), F.lit(cell))})
+    return placed.join(edge_cells(edges, cell, pad), ["__cx", "__cy"]).drop("__cx", "__cy")
+
+
 def points_in_shapes(
     points: DataFrame,
     shapes: DataFrame,

@@ -129,3 +129,25 @@ def test_scene_and_rules_take_outlines_of_any_kind(spark, sf):
     assert len(height) == 2 and all(r.n == r.k for r in height)
     bad = expect.rules(f.where("size(ring) > 0"), {"away": expect.misdirected(f.columns).isNull()}).first().n_bad
     assert bad == f.where("size(ring) > 0 AND x0 IS NULL AND cen_x IS NULL").count()
+
+
+def test_edges_meet_every_cell_they_run_through(spark):
+    import random
+
+    from aerolens.operators.gridjoin import points_near_edges
+
+    rng = random.Random(4)
+    edges = [(0, 5.0, 5.0, 5.0, 5.0), (1, 0.0, 50.0, 400.0, 50.0), (2, 70.0, -200.0, 70.0, 300.0)]
+    edges += [(k, *(rng.uniform(-300, 300) for _ in range(4))) for k in range(3, 60)]
+    points = [(k, rng.uniform(-320, 320), rng.uniform(-320, 320)) for k in range(1500)] + [(1500, 399.0, 55.0), (1501, 5.0, 13.0)]
+
+    def far(e, p):
+        (ax, ay, bx, by), (x, y) = e[1:], p[1:]
+        length = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length)) if length else 0
+        return ((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2) ** 0.5
+
+    want = {(p[0], e[0]) for e in edges for p in points if far(e, p) <= 9}
+    pairs = points_near_edges(spark.createDataFrame(points, "p int, px double, py double"), spark.createDataFrame(edges, "e int, ax double, ay double, bx double, by double"), 9.0, cell=40.0).select("p", "e").collect()
+    got = [(r.p, r.e) for r in pairs]
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) < 20 * len(want)
