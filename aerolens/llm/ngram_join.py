@@ -11,10 +11,11 @@ what is still to come, there or in the set itself, cannot suffice, or when all i
 Before that, sets which have no partner go by counts alone: of any order's first n-grams, k more than a prefix has, two such sets
 share k; a set with fewer that any other set has among its first is out. The n-grams' hashes serve as the order there.
 
-Groups of more sets than a trie should hold are cut: in rounds, sets outside a group's largest component are stored in tries, eight
-times as many in each round, and all sets of the group are looked up there in parts, until every set outside the largest component
-has been stored once. A first round compares random parts of groups by one least hash, which joins most near copies. Links are
-those that connect; a pair that was never compared is in one component already, or cannot be alike.
+First, random parts of the sets that have a least hash in common are compared, which joins most near copies. Then, of every group
+that still has several components, the sets outside its largest one are stored in tries and all sets of the group are looked up
+there; what one set is to be compared with, for all its groups, meets it in one place. Large groups take rounds, each with eight
+times as many sets stored, until every set outside the largest component has been stored once. Links are those that connect; a pair
+that was never compared is in one component already, or cannot be alike.
 
 Defined cases: a null, empty or blank text has no set, is linked with nothing and its component is its own doc_id; fewer words than
 an n-gram has are one; the component of rows without any doc_id is null; repeated rows are linked; an empty table gives no rows.
@@ -29,19 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from aerolens.llm import common, graph
 
-#: Words whose hashes a task keeps.
-KEPT_WORDS = 500_000
-#: At most so many rows of a number or two are sent to every executor.
+#: At most so many rows of a number or two are sent to every executor; n-grams never are, whatever their number.
 SENT = 4_000_000
 #: Sets and n-grams of one trie, about.
 SETS, GRAMS = 64, 1 << 19
+#: Least hashes tried before the prefixes.
+CHANCES = 2
 #: One in so many n-grams is asked for beyond a prefix by the counts.
 EXTRA = 10
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def least_overlap(n, percent: int):
@@ -49,100 +51,79 @@ def least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-class Grams:
-    """Sets of n-gram hashes of texts; hashes of words are kept."""
-
-    def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: bytes | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size, k = max(len(words) - self.n + 1, 1), min(self.n, len(words))
-        out = np.full(size, k, np.uint64)
-        for j in range(k):
-            # Products of odd multipliers, turned between words, tell the order of words.
-            x = values[j : j + size] * MULTIPLIERS[j % len(MULTIPLIERS)]
-            out = (out ^ (out >> np.uint64(29))) * MULTIPLIERS[-1] + x
-        out ^= out >> np.uint64(32)
-        out *= MULTIPLIERS[0]
-        return np.unique(out ^ (out >> np.uint64(29)))
+def grams_of(text: bytes | None, n: int) -> np.ndarray:
+    """The distinct n-gram hashes of a text, sorted; of the whole sequence if it has fewer words."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    values = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size, k = max(len(words) - n + 1, 1), min(n, len(words))
+    out = np.full(size, k, np.uint64)
+    for j in range(k):
+        out = (out ^ (out >> np.uint64(29))) * MULTIPLIERS[0] + values[j : j + size] * MULTIPLIERS[1]
+    out = (out ^ (out >> np.uint64(32))) * MULTIPLIERS[2]
+    return np.unique(out ^ (out >> np.uint64(29)))
 
 
 def _sent(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= SENT else rows
 
 
-def _named(texts: DataFrame, n: int) -> DataFrame:
-    """(row, doc_id, n_grams, digest) of all rows; sets of one digest are equal."""
+def _named(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_grams, digest, first) of all rows: sets of one digest are equal; `first` are the least n-grams."""
+    extra = EXTRA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(n)
         for batch in batches:
-            sets = [grams(t) for t in batch.column("text").to_pylist()]
+            sets = [grams_of(t, n) for t in batch.column("text").to_pylist()]
+            first = [s[: len(s) - least_overlap(len(s), percent) + max(len(s) // extra, 1)].view(np.int64) for s in sets]
             digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests], ["row", "doc_id", "n_grams", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests, pa.array(first, pa.list_(pa.int64()))], ["row", "doc_id", "n_grams", "digest", "first"])
 
     given = texts.select("row", "doc_id", F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(run, given.select("row", "doc_id").schema.add("n_grams", "long").add("digest", "binary"))
+    return given.mapInArrow(run, given.select("row", "doc_id").schema.add("n_grams", "long").add("digest", "binary").add("first", ArrayType(LongType())))
+
+
+def _likely(named: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows (row, n_grams) of `heads` that share enough of their first n-grams with any others."""
+    n_heads = heads.count()
+    grams = named.select("row", "first").join(_sent(heads.select("row"), n_heads), "row", "left_semi").select("row", F.explode("first").alias("gram"))
+    shared = common.stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "join-shared")
+    hits = grams.join(shared.hint("merge"), "gram", "left_semi").groupBy("row").agg(F.count("*").alias("hits"))
+    return heads.join(hits, "row").where(F.col("hits") >= F.greatest(F.floor(F.col("partner") / EXTRA), F.lit(1))).select("row", "n_grams", "partner")
 
 
-def _grams(texts: DataFrame, rows: DataFrame, n_rows: int, n: int, first) -> DataFrame:
-    """(gram, row): the n-grams of the sets of some rows of texts; if `first` is a function of a set's size, so many least ones."""
+def _grams(texts: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(gram, row): the n-grams of some rows of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(n)
-        names = ["gram", "row"]
         for batch in batches:
+            rows, texts = batch.column("row").to_pylist(), batch.column("text").to_pylist()
             held, owners, size = [], [], 0
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
-                own = grams(text)
-                if first is not None:
-                    own = own[: first(len(own))]
-                held.append(own)
-                owners.append(row)
-                size += len(own)
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(owners, [len(h) for h in held]).astype(np.int64))], names)
+            for k, text in enumerate(texts):
+                held.append(grams_of(text, n))
+                owners.append(rows[k])
+                size += len(held[-1])
+                if size > 1_000_000 or k == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(owners, [len(h) for h in held]).astype(np.int64))], ["gram", "row"])
                     held, owners, size = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(owners, [len(h) for h in held]).astype(np.int64))], names)
 
-    ours = texts.join(_sent(rows.select("row"), n_rows), "row", "left_semi")
+    ours = texts.join(_sent(rows.select("row"), rows.count()), "row", "left_semi")
     return ours.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(run, "gram long, row long")
 
 
-def _likely(texts: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows (row, n_grams) of `heads` that share enough of their first n-grams with any others."""
-    extra = EXTRA
-    first = lambda size: size - least_overlap(size, percent) + max(size // extra, 1)
-    grams = _grams(texts, heads, heads.count(), n, first)
-    shared = common.stored(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "join-shared")
-    hits = grams.join(_sent(shared, shared.count()), "gram", "left_semi").groupBy("row").agg(F.count("*").alias("hits"))
-    partner = F.floor((F.lit(percent) * F.col("n_grams") + 99) / 100)
-    enough = F.greatest(F.floor(partner / extra), F.lit(1))
-    return heads.join(hits, "row").where(F.col("hits") >= enough).select("row", "n_grams")
-
-
-def _lists(texts: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n, ranks): per set its size and the ranks of its shared n-grams, the rarest n-gram's rank being the least."""
-    grams = _grams(texts, heads, heads.count(), n, None)
+def _lists(texts: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """(id, n, partner, ranks): per set its size, what a partner shares, and the ranks of its shared n-grams, the rarest first."""
+    grams = _grams(texts, heads, n)
     counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     counts = common.stored(counts, "join-counts")
     n_grams = counts.count()
     parts = common.partitions(texts.sparkSession, n_grams, 1_000_000)
     ranks = counts.repartitionByRange(parts, "df", "gram").sortWithinPartitions("df", "gram").select("gram", F.monotonically_increasing_id().alias("rank"))
     ranks = common.stored(ranks, "join-ranks")
-    own = grams.join(_sent(ranks, n_grams), "gram").groupBy("row").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-    lists = own.join(heads, "row").select(F.col("row").alias("id"), F.col("n_grams").alias("n"), "ranks")
-    return common.stored(lists.where(F.size("ranks") * 100 >= F.col("n") * percent), "join-lists")
+    own = grams.join(ranks.hint("merge"), "gram").groupBy("row").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    lists = own.join(heads, "row").select(F.col("row").alias("id"), F.col("n_grams").alias("n"), "partner", "ranks")
+    return common.stored(lists.where(F.size("ranks") >= F.col("partner")), "join-lists")
 
 
 class Node:
@@ -261,11 +242,11 @@ def links_of_unit(rows: list[dict], percent: int) -> Iterator[tuple[int, int]]:
                 yield r["id"], other["id"]
 
 
-_UNIT = ["rank", "class", "b", "p"]
+_UNIT = ["home", "b", "p"]
 
 
 def _compared(units: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) found in units (rank, class, b, p, id, group, build, probe), each a trie and the sets looked up in it."""
+    """Links (a, b) found in units (home, b, p, id, group, build, probe), each a trie and the sets looked up in it."""
     units = common.stored(units, "join-units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,96 +270,112 @@ def _compared(units: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
         if held:
             yield found()
 
-    rows = lists.join(_sent(units, units.count()), "id").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
+    rows = lists.select("id", "n", "ranks").join(_sent(units, units.count()), "id").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
     spark = lists.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     # Sets may be long: few rows to a batch.
     spark.conf.set(key, "256")
     try:
-        return common.stored(rows.select(*_UNIT, "id", "group", "build", "probe", "n", "ranks").mapInArrow(run, "a long, b long"), "join-links")
+        return common.stored(rows.mapInArrow(run, "a long, b long"), "join-links")
     finally:
         spark.conf.set(key, before)
 
 
-def _classes(percent: int):
-    """A set's size class, such that sets that are alike are of one class or of neighbours; a class's largest size."""
-    base = math.log(100 / percent) * 1.0001
-    return F.floor(F.log(F.col("n").cast("double")) / base).cast("int"), F.exp((F.col("class") + 1) * base)
+def _room(percent: int) -> Column:
+    """Sets of one trie in a class of sets."""
+    most = F.exp((F.col("class") + 1) * _base(percent))
+    return F.greatest(F.least(F.lit(SETS), F.floor(F.lit(GRAMS) / most)), F.lit(2)).cast("int")
 
 
-def _room() -> "F.Column":
-    """Sets of one trie in a class of sets."""
-    return F.greatest(F.least(F.lit(SETS), F.floor(F.lit(GRAMS) / F.col("most"))), F.lit(2))
+def _base(percent: int) -> float:
+    """Sets that are alike are of one size class or of neighbours, if a class spans this in the logarithm."""
+    return math.log(100 / percent) * 1.0001
 
 
 def _roots(edges: DataFrame) -> DataFrame:
     return common.stored(graph.components(edges, "join-components"), "join-roots")
 
 
-def _linked(lists: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the sets that links connect."""
-    size_class, most = _classes(percent)
-    # A set meets its own class and, as one of the lower, the next one.
-    classed = lists.select("id", "n", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    least = F.expr("array_min(transform(ranks, r -> named_struct('h', xxhash64(r), 'r', r))).r")
-    keyed = common.stored(lists.select("id", least.alias("rank"), F.explode(F.array(size_class, size_class + 1)).alias("class")), "join-keys")
-    sizes = keyed.groupBy("rank", "class").agg(F.count("*").alias("m")).where("m > 1").withColumn("most", most).withColumn("parts", F.ceil(F.col("m") / _room()))
-    sizes = common.stored(sizes.select("rank", "class", "parts"), "join-sizes")
-    first = keyed.join(_sent(sizes, sizes.count()), ["rank", "class"])
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ids with their component, `group`."""
+    found = _sent(roots.withColumnRenamed("node", "id"), roots.count())
+    return rows.join(found, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+
+
+def _by_chance(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, root): what random parts of the sets that have one least n-gram hash in common connect, for several hashes."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / _base(percent)).cast("int")
+    least = [F.expr(f"struct({seed} as seed, array_min(transform(ranks, r -> named_struct('h', xxhash64(r, {seed}), 'r', r))).r as rank)") for seed in range(CHANCES)]
+    keyed = lists.select("id", size_class.alias("class"), F.explode(F.array(*least)).alias("key"))
+    keyed = common.stored(keyed.select("id", "class", F.xxhash64("class", "key.seed", "key.rank").alias("home")), "join-keys")
+    sizes = keyed.groupBy("home").agg(F.count("*").alias("m"), F.first("class").alias("class")).where("m > 1")
+    sizes = common.stored(sizes.select("home", F.ceil(F.col("m") / _room(percent)).alias("parts")), "join-sizes")
     yes = F.lit(True)
-    first = first.select("rank", "class", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("b"), F.lit(0).alias("p"), "id", F.col("id").alias("group"), yes.alias("build"), yes.alias("probe"))
-    roots = _roots(_compared(first, lists, percent))
+    units = keyed.join(_sent(sizes, sizes.count()), "home")
+    units = units.select("home", F.pmod(F.xxhash64("id", "home"), "parts").cast("int").alias("b"), F.lit(0).alias("p"), "id", F.col("id").alias("group"), yes.alias("build"), yes.alias("probe"))
+    return _roots(_compared(units, lists, percent))
+
 
-    prefix = F.expr(f"slice(ranks, 1, size(ranks) - cast(floor(({percent} * n + 99) / 100) as int) + 1)")
-    members = lists.select("id", "n", F.explode(prefix).alias("rank")).join(classed.select("id", "class"), "id").select("rank", "class", "id")
-    members = common.stored(members, "join-prefixes")
-    # Groups of the same sets are one: they are told by their number and two hashes.
+def _linked(lists: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets that links connect."""
+    roots = _by_chance(lists, percent)
+    size_class = F.floor(F.log(F.col("n").cast("double")) / _base(percent)).cast("int")
+    prefix = F.expr("slice(ranks, 1, cast(size(ranks) - partner + 1 as int))")
+    members = lists.select("id", F.explode(F.array(size_class, size_class + 1)).alias("class"), prefix.alias("prefix")).select("id", "class", F.explode("prefix").alias("rank"))
+    # Groups of one component are settled. Those of the same sets are one: they are told by their number and two hashes.
+    members = common.stored(_placed(members, roots), "join-prefixes")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"mark{k}") for k in (1, 2)]
-    groups = members.groupBy("rank", "class").agg(F.count("*").alias("m"), *marks).where("m > 1").groupBy("class", "m", "mark1", "mark2").agg(F.min("rank").alias("rank"))
-    groups = common.stored(groups.withColumn("most", most).select("rank", "class", "m", _room().cast("int").alias("room")), "join-groups")
-    members = common.stored(members.join(_sent(groups, groups.count()), ["rank", "class"]), "join-members")
+    several = members.groupBy("rank", "class").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("rank", "class")
+    several = common.stored(several, "join-several")
+    members = common.stored(members.select("rank", "class", "id").join(_sent(several, several.count()), ["rank", "class"]), "join-unsettled")
+    groups = members.groupBy("rank", "class").agg(F.count("*").alias("m"), *marks).groupBy("class", "m", "mark1", "mark2").agg(F.min("rank").alias("rank"))
+    groups = common.stored(groups.select("rank", "class", "m", _room(percent).alias("room"), F.xxhash64("rank", "class").alias("held")), "join-groups")
+    members = common.stored(members.join(_sent(groups, groups.count()), ["rank", "class"]).select("held", "m", "room", "id"), "join-members")
     done, names = None, 8
-    group = ["rank", "class"]
+    yes, no = F.lit(True), F.lit(False)
     while True:
-        placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-        placed = common.stored(placed, "join-placed")
-        held = placed.groupBy(*group, "group").agg(F.count("*").alias("k")).groupBy(*group).agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
-        held = common.stored(held.where("groups > 1").select(*group, F.col("top.group").alias("largest")), "join-open")
-        ours = placed.join(_sent(held, held.count()), group)
+        placed = common.stored(_placed(members, roots), "join-placed")
+        top = placed.groupBy("held", "group").agg(F.count("*").alias("k")).groupBy("held").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
+        top = common.stored(top.where("groups > 1").select("held", F.col("top.group").alias("largest")), "join-open")
+        ours = placed.join(_sent(top, top.count()), "held")
         outside = ours.where(F.col("group") != F.col("largest"))
         if done is not None:
-            outside = outside.join(done, [*group, "id"], "left_anti")
-        outside = common.stored(outside.select(*group, "m", "room", "id"), "join-outside")
-        if outside.isEmpty():
+            outside = outside.join(done, ["held", "id"], "left_anti")
+        # Of a large group, so many at a time.
+        part = F.when(F.col("m") <= F.col("room"), F.xxhash64("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(names)))
+        named = common.stored(outside.groupBy("held", part.alias("part")).agg(F.min("id").alias("id")).select("held", "id"), "join-named")
+        if named.isEmpty():
             return roots
-        few = outside.where("m <= room").select(*group).distinct()
-        whole = ours.join(few, group, "left_semi").select(*group, F.lit(0).alias("b"), F.lit(0).alias("p"), "id", "group", yes.alias("build"), yes.alias("probe"))
-        named = outside.where("m > room").groupBy(*group, "m", "room", F.pmod(F.xxhash64("id"), F.lit(names)).alias("part")).agg(F.min("id").alias("id"))
-        named = common.stored(named.select(*group, "m", "room", "id"), "join-named")
-        tries = common.stored(named.groupBy(*group).agg(F.ceil(F.count("*") / F.first("room")).cast("int").alias("tries")), "join-tries")
-        many = common.stored(ours.join(tries, group).withColumn("parts", F.ceil(F.col("m") / F.col("room")).cast("int")), "join-many")
+        # All that a named set is to be compared with, in whichever group, meets it in one place.
+        homes = common.stored(named.groupBy("id").agg(F.min("held").alias("home")), "join-homes")
+        where = common.stored(named.join(homes, "id").select("held", "home").distinct(), "join-where")
+        probe = ours.join(_sent(where, where.count()), "held").select("home", "id", "group", "room").groupBy("home", "id").agg(F.first("group").alias("group"), F.min("room").alias("room"))
+        probe = common.stored(probe, "join-probes")
+        counts = probe.groupBy("home").agg(F.count("*").alias("m"), F.min("room").alias("room"))
+        counts = counts.join(homes.groupBy("home").agg(F.count("*").alias("k")), "home")
+        counts = common.stored(counts.select("home", F.ceil(F.col("k") / F.col("room")).cast("int").alias("tries"), F.ceil(F.col("m") / (8 * F.col("room"))).cast("int").alias("parts")), "join-tries")
+        build = _placed(homes, roots).join(_sent(counts, counts.count()), "home")
         each = lambda upto: F.explode(F.sequence(F.lit(0), F.col(upto) - 1))
-        build = many.join(named.select(*group, "id"), [*group, "id"], "left_semi")
-        build = build.select(*group, F.pmod(F.xxhash64("id", F.lit(1)), "tries").cast("int").alias("b"), each("parts").alias("p"), "id", "group", yes.alias("build"), F.lit(False).alias("probe"))
-        probe = many.select(*group, each("tries").alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int").alias("p"), "id", "group", F.lit(False).alias("build"), yes.alias("probe"))
-        links = _compared(whole.unionByName(build).unionByName(probe), lists, percent)
+        build = build.select("home", F.pmod(F.xxhash64("id", F.lit(1)), "tries").cast("int").alias("b"), each("parts").alias("p"), "id", "group", yes.alias("build"), no.alias("probe"))
+        probe = probe.join(_sent(counts, counts.count()), "home")
+        probe = probe.select("home", each("tries").alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int").alias("p"), "id", "group", no.alias("build"), yes.alias("probe"))
+        links = _compared(build.unionByName(probe), lists, percent)
         roots = _roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-        now = named.select(*group, "id").unionByName(whole.select(*group, "id"))
-        done = common.stored(now if done is None else done.unionByName(now), "join-done")
+        done = common.stored(named if done is None else done.unionByName(named), "join-done")
         names *= 8
 
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     texts = common.stored(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"], docs["text"]), "join-texts")
-    named = common.stored(_named(texts, n), "join-named-sets")
+    named = common.stored(_named(texts, n, percent), "join-named-sets")
     some = named.where("n_grams > 0")
     same = some.groupBy("digest").agg(F.min("row").alias("head"), F.first("n_grams").alias("n_grams"), F.min("doc_id").alias("least"))
     same = common.stored(same, "join-heads")
-    heads = same.select(F.col("head").alias("row"), "n_grams")
-    likely = common.stored(_likely(texts, heads, n, percent), "join-likely")
-    roots = _linked(_lists(texts, likely, n, percent), percent)
+    heads = same.select(F.col("head").alias("row"), "n_grams", F.floor((F.col("n_grams") * percent + 99) / 100).alias("partner"))
+    likely = common.stored(_likely(named, heads), "join-likely")
+    roots = _linked(_lists(texts, likely, n), percent)
     rooted = same.join(roots.withColumnRenamed("node", "head"), "head", "left").select("digest", "least", F.coalesce("root", "head").alias("root"))
     rooted = common.stored(rooted, "join-rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
