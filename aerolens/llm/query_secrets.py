@@ -19,7 +19,7 @@ _EACH = "\nUNION ALL ".join(
     f"SELECT doc_id, source, {no} AS no, string_split_regex(t, '{form}') AS gaps, regexp_extract_all(t, '{form}', 0) AS ms, regexp_extract_all(t, '{form}', {group}) AS vs FROM texts"
     for no, (form, group) in enumerate(_FORMS)
 )
-#: Positions as running sums, owners counted over all candidates. (Tests hold the patterns against the open ones in Python.)
+#: Positions as running sums, owners and documents counted over all candidates. (Tests hold the patterns against the open ones in Python.)
 SQL = f"""
 WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), each AS ({_EACH}),
 rows AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM each),
@@ -28,10 +28,10 @@ placed AS (
 ), found AS (
   SELECT doc_id, source, no, v, e - length(m) AS s, e FROM placed WHERE CASE no WHEN 0 THEN length(v) >= 6 WHEN 1 THEN true WHEN 2 THEN true
     ELSE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') END
-), owners AS (SELECT v, count(DISTINCT coalesce('s' || source, 'none')) AS n FROM found GROUP BY 1),
+), owners AS (SELECT v, count(DISTINCT coalesce('s' || source, 'none')) <= 2 AND count(DISTINCT coalesce('d' || doc_id, 'none')) <= 5 AS few FROM found GROUP BY 1),
 spans AS (
-  SELECT f.*, o.n <= 2 AS live FROM found f JOIN owners o ON o.v = f.v
-  WHERE f.no < 3 OR (o.n <= 2 AND NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.no < 3 AND b.s < f.e AND f.s < b.e))
+  SELECT f.*, o.few AS live FROM found f JOIN owners o ON o.v = f.v
+  WHERE f.no < 3 OR (o.few AND NOT EXISTS (SELECT 1 FROM found b WHERE b.doc_id = f.doc_id AND b.no < 3 AND b.s < f.e AND f.s < b.e))
 ), listed AS (
   SELECT doc_id, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
     string_agg(['assign', 'access', 'hex', 'bare'][no + 1] || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans,

@@ -2,8 +2,8 @@
 
 Base patterns mark assignments of a password-like word, access key ids and long hexadecimal runs. A fourth pattern takes
 bare tokens that look random (long, of lower case, upper case and digits). The values of all of them are counted over the
-whole corpus by distinct repositories and distinct owners: a value that at most `max_owners` owners hold looks like a live
-credential, one held by more is a copied example. A bare token becomes a span of its own (kind `bare`) only if it looks
+whole corpus by distinct repositories and distinct owners: a value that at most `max_owners` owners hold, in at most
+`max_repositories` repositories, looks like a live credential; one that is held by more, or copied widely by one owner, is an example. A bare token becomes a span of its own (kind `bare`) only if it looks
 live and touches no base span; base spans always stay, and are told apart by the counts n_live and n_example.
 
 All of it is column expressions. Positions are running sums over the gaps and lengths of a text's matches, as a window over
@@ -60,7 +60,7 @@ def candidates(docs: DataFrame, repository: str = "doc_id", owner: str = "source
     return rows.select("row", "doc_id"), each
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 5) -> DataFrame:
     """Every row with doc_id, counts per kind, and `found`: spans (start, end, kind, value, owners, repositories, live) in order."""
     rows, each = candidates(docs, repository, owner)
     each = each.withColumn("digest", F.sha2("value", 256))
@@ -68,7 +68,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
     held = each.select("digest", "owner", "repository").distinct().groupBy("digest", "owner").agg(F.count("*").alias("repositories"))
     held = held.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     held = common.stored(held, "ownership")
-    spans = each.join(held, "digest").withColumn("live", F.col("owners") <= max_owners)
+    spans = each.join(held, "digest").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     spans = spans.where((F.col("kind") < 3) | F.col("live"))
     span = F.struct("start", "kind", "end", "value", "owners", "repositories", "live")
     per = spans.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("all"))

@@ -62,6 +62,14 @@ def test_bare_tokens_depend_on_owners(spark):
     assert many[4].s == f"assign:0:{9 + len(token)}" and many[4].n_example == 1 and many[4].n_live == 0
 
 
+def test_tokens_copied_within_one_source_are_examples(spark):
+    token, rare = "Zq3RtY7uIoP9aSdF1gHjK", "Pq3RtY7uIoP9aSdF1gHjK"
+    rows = run(spark, [f"see {token} here"] * 40 + [f"key {rare}"] * 5 + [f"secret={token}"], ["a"] * 46)
+    assert all(rows[k].s == "" and rows[k].n_live == 0 for k in range(40))
+    assert all(rows[k].s == "bare:4:25" and rows[k].n_live == 1 for k in range(40, 45))
+    assert (rows[45].n_live, rows[45].n_example, rows[45].n_assign) == (0, 1, 1)
+
+
 def test_awkward_and_empty(spark):
     assert secrets.scan(edge.awkward(spark)).count() == len(edge.TEXTS)
     assert secrets.scan(edge.empty(spark)).count() == 0
