@@ -199,17 +199,24 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     similarity can be, never carry their sets through a shuffle.
     """
     enough = lambda both, a, b: both >= F.lit(similarity) * (a + b - both)
-    sizes, slim = sets.select("row", "n"), sets.select("row", "n", "counts")
+    sizes = sets.select("row", "n")
     may = pairs.join(sizes.toDF("x", "m"), "x").join(sizes.toDF("y", "n"), "y")
     may = common.stored(may.where(enough(F.least("m", "n"), F.col("m"), F.col("n"))).select("x", "y"), "near-sized")
+    slim = _of_pairs(sets.select("row", "n", "counts"), may)
     may = may.join(slim.toDF("x", "m", "s"), "x").join(slim.toDF("y", "n", "t"), "y")
     most = F.aggregate(F.zip_with("s", "t", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
     may = common.stored(may.where(enough(most, F.col("m"), F.col("n"))).select("x", "y"), "near-likely")
-    full = sets.select("row", "shingles")
+    full = _of_pairs(sets.select("row", "shingles"), may)
     checked = may.join(full.toDF("x", "s"), "x").join(full.toDF("y", "t"), "y")
     return checked.where(enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows that pairs (x, y) name, so that a join with the pairs does not shuffle all others."""
+    named = pairs.select(F.col("x").alias("row")).unionByName(pairs.select(F.col("y").alias("row"))).distinct()
+    return rows.join(_sent(common.stored(named, "near-named-rows")), "row", "left_semi")
+
+
 def _sent(rows: DataFrame) -> DataFrame:
     """Numbers of rows: where they are few they are sent to the texts, else both sides are shuffled."""
     return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
