@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aerolens.catalog import domain, domain_sql as s
 from aerolens.catalog.registry import R, query, r
 from aerolens.catalog.selection import _rank_sql, _views_sql
-from aerolens.operators import evaluate
+from aerolens.operators import evaluate, select
 from aerolens.session import stored
 
 _SAMPLE = "pts AS (SELECT filename AS point_id, (x0 + x2) / 2 AS px, (y0 + y2) / 2 AS py FROM frames WHERE camera = 'Color' ORDER BY md5(filename || '42'), filename LIMIT 2000)"
@@ -143,7 +143,7 @@ def e9(spark, sf):
 
 
 _RULES = [
-    "looking down returns only the nadir camera", "a compass request returns only obliques", "pick 1 exists where a frame covers", "pick 1 is in tolerance when any is",
+    "a frame covers the place", "looking down returns only the nadir camera", "a compass request returns only obliques", "pick 1 exists where a frame covers", "pick 1 is in tolerance when any is",
     "pick 1 is eligible when any in tolerance is", "degrees agree with the grid", "the first frame of a pass has no previous one", "neighbours are in shot order", "shots are distinct along a pass",
 ]
 
@@ -161,16 +161,27 @@ def _inner(n: int) -> str:
     return f"SELECT * EXCLUDE (xs), (list_min(xs) + list_max(xs)) / 2 + 37.3e0 AS px, scan + 61.7e0 AS py FROM (SELECT *, list_filter([{xs}], lambda v: v IS NOT NULL) AS xs FROM (SELECT *, {scan} AS scan FROM frames WHERE camera IN ('Fwd', 'Left') ORDER BY md5(filename), filename LIMIT {n}))"
 
 
-@query(
-    "e11_formulations",
-    "fg",
-    f"""WITH pk AS (SELECT filename AS point_id, {s.lon_of('px', 'py')} AS lon, {s.lat_of('px', 'py')} AS lat, [0e0, 90e0, 180e0, 270e0][1 + (row_number() OVER (ORDER BY md5(filename), filename) - 1) % 4] AS want_azimuth FROM ({_inner(400)})),
+@query("e10_uncovered_places", "cand", "SELECT 'a frame covers the place' AS rule, count(*) AS n_bad FROM points WHERE point_id % 17 = 0 OR point_id NOT IN (SELECT point_id FROM cand)")
+def e10_uncovered(spark, sf):
+    points = domain.points(spark, sf).withColumn("px", F.col("px") + F.when(F.col("point_id") % 17 == 0, 5e6).otherwise(0.0))
+    return evaluate.uncovered(points, select.candidates(points, domain.frames(spark, sf)))
+
+
+_FORMS = f"""WITH pk AS (SELECT filename AS point_id, {s.lon_of('px', 'py')} AS lon, {s.lat_of('px', 'py')} AS lat, [0e0, 90e0, 180e0, 270e0][1 + (row_number() OVER (ORDER BY md5(filename), filename) - 1) % 4] AS want_azimuth FROM ({_inner(400)})),
 a0 AS (SELECT *, {s.grid_x('lon', 'lat')} AS px, {s.grid_y('lon', 'lat')} AS py FROM pk), k AS ({_rank_sql('a0', 'point_id')}),
 vw AS (SELECT point_id AS view_id, lon - 1e-6 AS west, lat - 1e-6 AS south, lon + 1e-6 AS east, lat + 1e-6 AS north, want_azimuth FROM pk), {_views_sql('vw')}
-SELECT pk.point_id, pk.want_azimuth, k.filename AS by_point, shown.filename AS by_view FROM pk LEFT JOIN k ON k.point_id = pk.point_id AND k.pick = 1 AND k.az_ok LEFT JOIN shown ON shown.view_id = pk.point_id AND shown.place = 1""",
-)
+SELECT pk.point_id, pk.want_azimuth, k.filename AS by_point, shown.filename AS by_view FROM pk LEFT JOIN k ON k.point_id = pk.point_id AND k.pick = 1 AND k.az_ok LEFT JOIN shown ON shown.view_id = pk.point_id AND shown.place = 1"""
+
+
+@query("e11_formulations", "fg", _FORMS)
 def e11(spark, sf):
     f = domain.frames(spark, sf)
     chosen = stored(spark, f"hash|{sf}", lambda: evaluate.hash_chosen(f))
     # Off the middle line of the outlines, where two exposures would be equally far.
     return evaluate.formulations(chosen.withColumns({"px": F.col("px") + 37.3, "py": F.col("py") + 61.7}), f)
+
+
+@query("e11_agreement", "fg", f"""SELECT 'the point form and the view form agree' AS rule, count(*) AS n_places, sum((by_point IS DISTINCT FROM by_view)::INT)::BIGINT AS n_apart,
+ CASE WHEN sum((by_point IS DISTINCT FROM by_view)::INT) > 2 THEN sum((by_point IS DISTINCT FROM by_view)::INT) ELSE 0 END::BIGINT AS n_bad FROM ({_FORMS})""")
+def e11_agreement(spark, sf):
+    return evaluate.agreement(e11(spark, sf))

@@ -16,6 +16,8 @@ from aerolens.operators.skew import exact_quantiles
 
 DIRECTIONS = (0.0, 90.0, 180.0, 270.0)
 EDGE_FRACTIONS = (0.0, 0.05, 0.10, 0.20)
+#: Places of 400 at which two forms of the selection may differ (a fixed value).
+ALLOWED_MISSES = 2
 
 
 def interior_points(frames: DataFrame) -> DataFrame:
@@ -166,6 +168,19 @@ def outside_shown(payload: DataFrame) -> DataFrame:
     return c.where(~quads.inside(quad, F.col("px"), F.col("py"))).select("category", *ASKED, F.col("c.pick").alias("pick"), F.col("c.filename").alias("filename"))
 
 
+def uncovered(points: DataFrame, cands: DataFrame) -> DataFrame:
+    """The rule that a frame covers each place; `cands` are the candidates of these places (or of some directions of them)."""
+    return rule("a frame covers the place", points.join(cands.select("point_id").distinct(), "point_id", "left_anti"))
+
+
+def agreement(pairs: DataFrame, allowed: int = ALLOWED_MISSES) -> DataFrame:
+    """From `formulations`: (rule, n_places, n_apart, n_bad), where the two forms may differ at a few places near an outline."""
+    apart = (~F.col("by_point").eqNullSafe(F.col("by_view"))).cast("long")
+    counted = pairs.agg(F.count("*").alias("n_places"), F.coalesce(F.sum(apart), F.lit(0)).alias("n_apart"))
+    bad = F.when(F.col("n_apart") > allowed, F.col("n_apart")).otherwise(F.lit(0)).cast("long")
+    return counted.select(F.lit("the point form and the view form agree").alias("rule"), "n_places", "n_apart", bad.alias("n_bad"))
+
+
 def selection_rules(points: DataFrame, frames: DataFrame) -> DataFrame:
     """The invariants of the selection as (rule, n_bad), over all the given points in every direction and straight down."""
     down = points.withColumn("want_azimuth", F.lit(None).cast("double"))
@@ -187,6 +202,7 @@ def selection_rules(points: DataFrame, frames: DataFrame) -> DataFrame:
     heads = frames.groupBy("pass_id", "camera").agg(F.min("shot").alias("head"))
     ordered = sides.join(heads, ["pass_id", "camera"])
     rules = [
+        uncovered(points, cands.where(F.col("want_azimuth").isNull())),
         rule("looking down returns only the nadir camera", cands.where(F.col("want_azimuth").isNull() & (F.col("camera") != "Color"))),
         rule("a compass request returns only obliques", cands.where(F.col("want_azimuth").isNotNull() & (F.col("camera") == "Color"))),
         rule("pick 1 exists where a frame covers", both.where(F.col("first").isNull() | F.col("any_ok").isNull())),
