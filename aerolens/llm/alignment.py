@@ -42,7 +42,7 @@ FAN = 32
 #: Pairs of documents that a task holds before it gives a chunk.
 CHUNK = 4_000_000
 #: Parts of texts that a worker keeps.
-KEPT = 500_000
+KEPT = 800_000
 #: Characters of texts looked at together, and of one stretch of a text.
 TOGETHER, STRETCH = 1_000_000, 1_000_000
 #: Bits of a level for each pair in it.
