@@ -78,7 +78,8 @@ def identities(docs: DataFrame, block_bytes: int = 4096) -> tuple[DataFrame, Dat
     at = F.struct("batch", (F.col("fresh_at") + F.col("k")).alias("number"))
     # A block has one place for each batch that holds it, so the list of a block grows with batches, not with rows.
     names = blocks.groupBy("block").agg(F.collect_list(at).alias("at")).sortWithinPartitions("block")
-    names = names.select(F.monotonically_increasing_id().alias("name"), F.explode("at").alias("at")).select("name", "at.batch", "at.number")
+    # The name is given before the list is spread: beside explode in one select it would count places, not blocks.
+    names = names.withColumn("name", F.monotonically_increasing_id()).select("name", F.explode("at").alias("at")).select("name", "at.batch", "at.number")
     names = common.stored(names, "block-names")
     places = rows.select("row", "batch", "n_blocks", F.posexplode("blocks").alias("pos", "number"))
     named = common.stored(places.join(names, ["batch", "number"]).select("row", "n_blocks", "pos", "name"), "level")

@@ -42,3 +42,13 @@ def test_awkward_and_empty(spark):
 
 def test_query_against_sql(spark, sf):
     assert compare(QUERIES["op5_exact_dedup"](spark, sf), connect(sf), ORACLES["op5_exact_dedup"]) is None
+
+
+def test_copies_in_many_batches(spark):
+    """A block that several batches hold has one name, so copies meet across partitions."""
+    plain = [(k, t) for k, t in enumerate(["same text", "other", "same\ttext ", "", None, "same text", "x" * 9, " ", "other"] * 3)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(6, "doc_id")
+    for size in (3, 4096):
+        found, rows = got(exact_dedup.groups(docs, block_bytes=size))
+        assert found == brute(plain)
+        assert sum(r.kept for r in rows) == 4
