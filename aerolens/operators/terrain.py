@@ -53,11 +53,12 @@ def with_heights(places: DataFrame, patches: DataFrame, x: str = "x", y: str = "
     Positions are held half a cell inside the edge. Missing corners are left out and the others take a little weight
     each, so that there is an answer right at a missing cell. Only patches that are asked for are cut into blocks, a place meets
     the one block it lies in, and the four heights around it are read from there by their index. `asked` names these patches
-    where that is cheaper than to list the places.
+    where that is cheaper than to list the places. Heights compress so well on disk that Spark would take large tables of them
+    for small ones and gather them in the driver, so these joins are always merged.
     """
     px, py = F.col(x), F.col(y)
-    asked = patches.join((places if asked is None else asked).select("patch_id").distinct(), "patch_id", "left_semi")
-    df = places.join(headers(asked), "patch_id", "left")
+    asked = patches.join((places if asked is None else asked).select("patch_id").distinct().hint("merge"), "patch_id", "left_semi")
+    df = places.join(headers(asked).hint("merge"), "patch_id", "left")
     width, height = F.col("cols") * F.col("cell"), F.col("rows") * F.col("cell")
     within = (px >= F.col("left")) & (px <= F.col("left") + width) & (py >= F.col("low")) & (py <= F.col("low") + height)
     place = lambda v, first, n: F.least(
@@ -67,7 +68,7 @@ def with_heights(places: DataFrame, patches: DataFrame, x: str = "x", y: str = "
     first = lambda at, n: F.greatest(F.least(F.floor(at), F.col(n) - 2), F.lit(0)).cast("int")
     df = df.withColumns({"i": first("__u", "cols"), "j": first("__v", "rows")})
     df = df.withColumns({"bi": F.floor(F.col("i") / side).cast("int"), "bj": F.floor(F.col("j") / side).cast("int")})
-    df = df.join(blocks(asked, side), ["patch_id", "bi", "bj"], "left")
+    df = df.join(blocks(asked, side).hint("merge"), ["patch_id", "bi", "bj"], "left")
     fu, fv = F.col("__u") - F.col("i"), F.col("__v") - F.col("j")
     one = F.lit(1.0)
     # At the last column or row the cell stands in for the missing neighbour.
