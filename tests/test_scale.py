@@ -3,10 +3,12 @@
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-from aerolens.catalog import domain
+from aerolens.catalog import domain, load
 from aerolens.functions import quads
 from aerolens.operators import select, skew
-from aerolens.operators.gridjoin import boxes_meet, points_in_shapes
+from aerolens.operators.gridjoin import boxes_meet, points_in_shapes, points_in_single_shapes
+
+QUERIES = load()[0]
 
 
 def rows(df):
@@ -36,6 +38,45 @@ def test_levels_find_small_and_huge_shapes_once(spark):
     assert rows(got) == rows(pts.join(shapes, inbox).select("id", "s"))
 
 
+def test_single_shapes_meet_copied_points_once(spark):
+    pts = spark.range(300).select("id", (F.col("id") * 500.0 - 20000).alias("px"), (F.col("id") * 1313.0 % 90000 - 30000).alias("py"))
+    shapes = spark.range(60).select(
+        F.col("id").alias("s"), (F.col("id") * 3000.0 - 40000).alias("xmin"), (F.col("id") * 1500.0 - 50000).alias("ymin"),
+        (F.col("id") * 3000.0 - 40000 + F.pow(F.lit(2.0), F.col("id") % 17) * (F.col("id") % 3)).alias("xmax"), (F.col("id") * 1500.0 - (F.col("id") % 2) * 50000).alias("ymax"),
+    )
+    inbox = F.col("px").between(F.col("xmin"), F.col("xmax")) & F.col("py").between(F.col("ymin"), F.col("ymax"))
+    brute = rows(pts.join(shapes, inbox).select("id", "s"))
+    for floor in (1, 100_000):
+        assert rows(points_in_single_shapes(pts, shapes, ["id"], ["s"], F.lit(True), cell=500.0, floor=floor).select("id", "s")) == brute
+    assert len(brute) > 100
+
+
+def test_frames_are_not_copied_to_cells(spark, sf, capsys):
+    """A frame is a wide row: the points are copied, so nothing multiplies the frames before they are shuffled."""
+    f = domain.frames(spark, sf)
+    select.covering_pairs(domain.points(spark, sf), f, ["point_id"]).explain("formatted")
+    assert "sequence(" not in capsys.readouterr().out.split("AdaptiveSparkPlan")[-1].replace("sequence(0,", "")
+
+
+def test_source_rows_are_dealt_to_tasks(spark, sf):
+    whole, dealt = domain.table(spark, sf, "part").select("p_partkey"), domain.spread(spark, sf, "part", "p_partkey", each=40)
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert rows(dealt) == rows(whole) and len(parts) == -(-whole.count() // 40) and max(p["count"] for p in parts) <= 60
+
+
+def test_sizes_of_pictures_make_no_tile_lists(spark, sf, capsys):
+    QUERIES["i8_fit_inside"](spark, sf).explain("formatted")
+    out = capsys.readouterr().out
+    assert "transform(" not in out and "offsets" not in out
+
+
+def test_compressible_tables_are_not_gathered_in_the_driver(spark, sf, capsys):
+    for name in ("p10_ground_or_plane", "p20_ortho_pixels", "s13_detail_json"):
+        QUERIES[name](spark, sf).explain("formatted")
+        out = capsys.readouterr().out
+        assert "SortMergeJoin" in out and "BroadcastHashJoin" not in out, name
+
+
 def test_boxes_meet_reports_a_pair_once(spark):
     box = lambda k, w: (spark.range(80).select(F.col("id").alias(k), (F.col("id") * 731 % 9000).cast("double").alias(k + "x0"), (F.col("id") * 389 % 7000).cast("double").alias(k + "y0"))
                         .withColumns({k + "x1": F.col(k + "x0") + w, k + "y1": F.col(k + "y0") + w}))
