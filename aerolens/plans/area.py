@@ -24,6 +24,8 @@ def load(areas: DataFrame, tiles: DataFrame, nodes: DataFrame, points: DataFrame
     pairs = staged(pairs.join(own, ["area_id", "file"], "left_semi"))
     plan = pointcloud.depth_under_budget(pairs, max_points, max_bytes)
     wanted = pointcloud.selected_nodes(pairs, plan).select("area_id", "file", "key")
-    clipped = pointcloud.clipped_points(points.join(wanted.select("file", "key").distinct(), ["file", "key"], "left_semi"), grid)
-    clipped = clipped.join(wanted, ["area_id", "file", "key"], "left_semi")
-    return clipped, pointcloud.load_summary(plan, loaded, pointcloud.chunk_sizes(clipped))
+    asked = points.join(wanted.select("file", "key").distinct(), ["file", "key"], "left_semi")
+    planned = lambda df: df.join(wanted, ["area_id", "file", "key"], "left_semi")
+    # The summary counts whole cells at once: a row for every point and area would grow with the product of both.
+    chunks = planned(pointcloud.clipped_chunks(asked, grid))
+    return planned(pointcloud.clipped_points(asked, grid)), pointcloud.load_summary(plan, loaded, chunks)
