@@ -54,7 +54,10 @@ def planned_regions(regions: DataFrame, levels: DataFrame, max_tiles: Column | i
     canvas; the smallest level always does. Empty regions have no row.
     """
     most = max_tiles if isinstance(max_tiles, Column) else F.lit(max_tiles)
-    df = regions.join(ladder(levels), "photo")
+    # A region takes far longer to plan than its bytes tell, so the tasks are a number that Spark does not put together by size.
+    tasks = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda side: side.repartition(tasks, "photo")
+    df = dealt(regions).join(ladder(dealt(levels)).hint("merge"), "photo")
     full = F.element_at("ladder", -1)
     df = df.withColumns({"fw": full["width"], "fh": full["height"]})
     zero = F.lit(0.0)
