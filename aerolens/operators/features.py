@@ -222,22 +222,27 @@ def layer_extents(with_geom: DataFrame) -> DataFrame:
 
 #: Bands of a shape's height; a click meets the edges of its own band alone.
 BANDS = 16
+#: Cells in which clicks meet edges, a few times the reach of a click, and the finest ones in which they meet boxes.
+NEAR_CELL, BOX_CELL = 96.0, 300.0
 
 
-def hits(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = 300.0) -> DataFrame:
+def hits(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = NEAR_CELL) -> DataFrame:
     """The feature under each click (click_id, cx, cy): (click_id, id), in the units both are projected to.
 
     `shapes` has id, seq, kind, label and `outline` in those units. Point or text, then line, then edge, then inside; ties
     by distance, or the smaller area inside, then drawing order. What is near is found through single edges in cells; a shape's
-    inside is told from its box and the crossings of the edges at the click's own height. No outline is copied whole.
+    inside is told from its box and the crossings of the edges at the click's own height. No outline is copied whole. As being
+    inside ranks last, it is asked only for clicks that nothing is near to: where shapes lie densely these are few.
     """
     own = shapes.select("id", "seq", "kind", F.length("label").alias("n"), "outline").withColumn("key", F.monotonically_increasing_id())
     x0, y0, x1, y1 = rings.box(F.col("outline"))
     own = staged(own.withColumns({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1, "area": F.when(F.size("outline") > 2, rings.area(F.col("outline")))}))
-    near = _near(clicks, own, tolerance, cell)
-    inside = _around(clicks, own, cell)
-    both = near.select("click_id", "rank", "tie", "seq", "id").unionByName(inside.select("click_id", F.lit(3).alias("rank"), F.col("area").alias("tie"), "seq", "id"))
-    return both.groupBy("click_id").agg(F.min(F.struct("rank", "tie", "seq", "id")).alias("b")).select("click_id", "b.id", "b.rank")
+    best = lambda df: df.groupBy("click_id").agg(F.min(F.struct("rank", "tie", "seq", "id")).alias("b")).select("click_id", "b.id", "b.rank")
+    near = staged(best(_near(clicks, own, tolerance, cell)))
+    # Clicks may share a number; one that is NULL is a click like any other, so it counts as found in the same way.
+    left = clicks.join(near.select(F.col("click_id").alias("__near")).hint("merge"), F.col("click_id").eqNullSafe(F.col("__near")), "left_anti")
+    inside = _around(left, own, BOX_CELL)
+    return near.unionByName(best(inside.select("click_id", F.lit(3).alias("rank"), F.col("area").alias("tie"), "seq", "id")))
 
 
 def _edges_of(shapes: DataFrame) -> DataFrame:
@@ -264,7 +269,8 @@ def _near(clicks: DataFrame, own: DataFrame, tolerance: float, cell: float) -> D
         F.when((kind == "point") & (hub <= reach), spot(0, hub)).when((kind == "text") & in_text, spot(0, hub))
         .when((kind == "line") & (d <= tolerance), spot(1, d)).when(~kind.isin("point", "text", "line") & (d <= tolerance), spot(2, d))
     )
-    return pairs.withColumn("k", found).where(F.col("k").isNotNull()).select("click_id", "id", "seq", "k.*")
+    # Settled, so that the formulas stay out of the join's own loop, which is compiled only while it is short.
+    return rings.settle(pairs.withColumn("k", found), "k").where(F.col("k").isNotNull()).select("click_id", "id", "seq", "k.*")
 
 
 def _around(clicks: DataFrame, own: DataFrame, cell: float) -> DataFrame:
@@ -282,19 +288,20 @@ def _around(clicks: DataFrame, own: DataFrame, cell: float) -> DataFrame:
     return crossed.where("n % 2 = 1").select("click_id", "id", "seq", "area")
 
 
-def nearest_edges(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = 300.0) -> DataFrame:
+def nearest_edges(clicks: DataFrame, shapes: DataFrame, tolerance: float = HIT_TOLERANCE, cell: float = NEAR_CELL) -> DataFrame:
     """Per click (click_id, cx, cy) the nearest place on an edge of any feature within reach: (click_id, id, after, x, y, d).
 
     Of equally near edges the first drawn feature's counts, and of one feature's the last one.
     """
     edges = _edges_of(shapes.where(F.size("outline") > 1).select("id", "seq", "kind", "outline"))
     pairs = points_near_edges(clicks.select("click_id", "cx", "cy"), edges, tolerance, ("cx", "cy"), cell)
-    pairs = pairs.withColumn("p", rings.nearest_on_leg(F.struct("ax", "ay", "bx", "by"), F.col("cx"), F.col("cy"))).where(F.col("p.d") <= tolerance)
+    # Settled, so that the formulas stay out of the join's own loop, which is compiled only while it is short.
+    pairs = rings.settle(pairs.withColumn("p", rings.nearest_on_leg(F.struct("ax", "ay", "bx", "by"), F.col("cx"), F.col("cy"))), "p").where(F.col("p.d") <= tolerance)
     best = F.min(F.struct(F.col("p.d").alias("d"), "seq", (-F.col("after")).alias("o"), "id", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
     return pairs.groupBy("click_id").agg(best.alias("b")).select("click_id", "b.id", (-F.col("b.o")).alias("after"), "b.x", "b.y", "b.d")
 
 
-def nearest_handles(clicks: DataFrame, located: DataFrame, tolerance: float = HANDLE_TOLERANCE, cell: float = 300.0) -> DataFrame:
+def nearest_handles(clicks: DataFrame, located: DataFrame, tolerance: float = HANDLE_TOLERANCE, cell: float = NEAR_CELL) -> DataFrame:
     """Per click the nearest handle of any feature within reach, the first of equally near ones by drawing order and number."""
     own = handles(located, keep=("seq",)).select("id", "seq", "index", "role", *[F.col(h).alias(c) for h, c in (("hx", "ax"), ("hy", "ay"), ("hx", "bx"), ("hy", "by"))])
     pairs = points_near_edges(clicks.select("click_id", "cx", "cy"), own, tolerance, ("cx", "cy"), cell)
