@@ -109,7 +109,9 @@ def plan_tiles(plans: DataFrame, key: list[str]) -> DataFrame:
 
 def byte_chunks(ranges: DataFrame, size: int, key: list[str]) -> DataFrame:
     """Ranges [start, end) cut into consecutive pieces of at most `size` bytes."""
-    at = ranges.where("end > start").withColumn("__at", F.explode(F.sequence("start", F.col("end") - 1, F.lit(size).cast("long"))))
+    # A condition of the sequence, not a filter: Spark would move a filter below the ends and make what they come from twice.
+    starts = F.when(F.col("end") > F.col("start"), F.sequence("start", F.col("end") - 1, F.lit(size).cast("long")))
+    at = ranges.withColumn("__at", F.explode(starts))
     return at.select(*key, F.col("__at").alias("start"), F.least(F.col("__at") + size, F.col("end")).alias("end"))
 
 
