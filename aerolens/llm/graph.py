@@ -19,10 +19,10 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = common.stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), what)
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.stored(large.where("a <> b").distinct(), what)
         least = common.stored(edges.groupBy("a").agg(F.min("b").alias("m")), what)
-        small = edges.join(least, "a")
+        small = edges.join(least.hint("merge"), "a")
         edges = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = common.stored(edges.where("a <> b").distinct(), what)
         after = edges.agg(mark).first()[0]

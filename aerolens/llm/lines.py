@@ -11,7 +11,8 @@ equal runs the first stays, in the order of doc_id and line; the lines of the ot
 stays elsewhere, and a line that is part of no repeated run of that many words is kept.
 
 Everything is a table: numbers come from map-side combined counts of distinct keys, are written, and joined back by plain
-shuffles that Spark can split at a line which a third of all documents share. Windows run within one document.
+shuffles that Spark can split at a line which a third of all documents share. Joins are always merged: tables of numbers take so
+few bytes on disk that Spark would gather long ones in the driver. Windows run within one document.
 
 Defined cases: a null text stays null and has no lines; lines of blanks only are kept and do not end runs; runs may lie in one
 document; repeated rows are copies, of which the later loses its repeated runs; a null doc_id comes last; a document that loses
@@ -43,7 +44,7 @@ def repeated_lines(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
 
     names = _numbered(lines, ["digest"], "line-names")
     placed = lines.withColumn("i", place)
-    level = common.stored(placed.join(names, "digest").select("row", "doc_id", "i", "line", "words", F.col("number").alias("name")), "lines-0")
+    level = common.stored(placed.join(names.hint("merge"), "digest").select("row", "doc_id", "i", "line", "words", F.col("number").alias("name")), "lines-0")
     # Stretches of repeated lines without a gap; a run lies within one.
     stretch = F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i"))
     some = level.withColumn("stretch", stretch)
@@ -69,16 +70,16 @@ def repeated_lines(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     keyed, half = [], 1
     while half <= longest:
         ours = runs.where((F.col("size") >= half) & (F.col("size") < 2 * half))
-        ours = ours.join(level.withColumnRenamed("name", "a"), ["row", "i"])
+        ours = ours.join(level.withColumnRenamed("name", "a").hint("merge"), ["row", "i"])
         ends = level.select("row", F.col("i").alias("j"), F.col("name").alias("b"))
-        ours = ours.withColumn("j", F.col("i") + F.col("size") - half).join(ends, ["row", "j"])
+        ours = ours.withColumn("j", F.col("i") + F.col("size") - half).join(ends.hint("merge"), ["row", "j"])
         keyed.append(ours.select("row", "doc_id", "i", "size", "a", "b"))
         if 2 * half > longest:
             break
         after = F.first("name").over(Window.partitionBy("row").orderBy("i").rangeBetween(half, half))
         pairs = common.stored(level.withColumn("next", after).where("next IS NOT NULL"), "line-pairs")
         names = _numbered(pairs, ["name", "next"], "line-pair-names")
-        level = common.stored(pairs.join(names, ["name", "next"]).select("row", "i", F.col("number").alias("name")), f"lines-{half}")
+        level = common.stored(pairs.join(names.hint("merge"), ["name", "next"]).select("row", "i", F.col("number").alias("name")), f"lines-{half}")
         half *= 2
     if not keyed:
         return n_lines, lines.select("row", "line").limit(0)
@@ -89,9 +90,9 @@ def repeated_lines(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFra
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "i")
     firsts = found.groupBy("size", "a", "b").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1")
     firsts = common.stored(firsts.select("size", "a", "b", F.col("first.row").alias("first_row"), F.col("first.i").alias("first_i")), "run-firsts")
-    later = found.join(firsts, ["size", "a", "b"]).where("row <> first_row OR i <> first_i")
+    later = found.join(firsts.hint("merge"), ["size", "a", "b"]).where("row <> first_row OR i <> first_i")
     gone = later.select("row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("size") - 1)).alias("i")).distinct()
-    return n_lines, gone.join(placed.select("row", "i", "line"), ["row", "i"]).select("row", "line")
+    return n_lines, gone.join(placed.select("row", "i", "line").hint("merge"), ["row", "i"]).select("row", "line")
 
 
 def deduplicated(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -101,8 +102,8 @@ def deduplicated(docs: DataFrame, min_words: int = 10) -> DataFrame:
     n_lines, gone = repeated_lines(slim, min_words)
     # As many lines as one document has.
     gone = common.stored(gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone")), "gone")
-    counts = n_lines.join(gone, "row", "left")
-    out = texts.join(counts, "row", "left")
+    counts = n_lines.join(gone.hint("merge"), "row", "left")
+    out = texts.join(counts.hint("merge"), "row", "left")
     out = out.withColumn("lines", F.split("doc.text", "\n", -1))
     # The kept lines are the slices between deleted ones.
     cuts = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))

@@ -134,7 +134,7 @@ def mix(
     cells = cells.withColumn("seats", F.least("seats", F.sum("cap").over(Window.partitionBy("source_no"))))
     quota = common.stored(apportioned(cells, ["source_no"], ["shard"], "votes", "cap", "seats", "quota").select("source_no", "shard", "words", "blocks", "quota"), "quotas")
 
-    rows = rows.join(quota, ["source_no", "shard"], "left")
+    rows = rows.join(quota.hint("merge"), ["source_no", "shard"], "left")
     line = Window.partitionBy("source_no", "shard").orderBy("__deal", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(line), F.lit(0))
     rows = rows.withColumns(

@@ -32,10 +32,14 @@ SEED = 42
 BLOCK = 65_536
 #: Words whose hashes a task keeps; more than that and it starts afresh.
 KEPT_WORDS = 500_000
-#: At most so many keys, numbers of eight bytes, are sent to every executor.
-KEYS_SENT = 1_000_000
-#: Bins of a shingle set's counts.
-BINS = 128
+#: At most so many keys, rows of a few numbers, are sent to every executor. The driver holds each such table in several forms.
+KEYS_SENT = 200_000
+#: Words of 64 bits that tell which of more keys than that there may be.
+SIEVE_WORDS = 1 << 20
+#: Bits of a shingle set's sketch: at least so many, and so many for each shingle.
+SKETCH_BITS, BITS_EACH = 512, 2
+#: Texts that are compared with one text in one task, and pairs of texts that are compared without asking which could be spared.
+AT_ONCE, PAIRS_AT_ONCE = 64, 10_000
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = SEED) -> np.ndarray:
@@ -129,8 +133,7 @@ def variants(fps: DataFrame, distance: int, keep: Sequence[str] = ("fp",), seed_
 def _members(index: DataFrame) -> DataFrame:
     """(key, bit, fp, n) of the keys that n > 1 fingerprints share; where these keys are few, the index is shuffled only once."""
     keys = common.stored(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-keys")
-    shared = F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
-    return common.stored(index.join(shared, "key").select("key", "bit", "fp", "n"), "simhash-members")
+    return common.stored(_of_keys(index, keys).select("key", "bit", "fp", "n"), "simhash-members")
 
 
 def _pairs(members: DataFrame, bucket: int) -> DataFrame:
@@ -170,45 +173,92 @@ def near_groups(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame:
     rows = common.stored(rows, "fingerprints")
     heads = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-heads")
     roots = graph.components(links(heads.select("fp")))
-    heads = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = heads.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = common.stored(heads, "fingerprint-roots")
     least = common.stored(heads.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    known = common.stored(heads.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    out = rows.join(known, "fp")
+    known = common.stored(heads.join(least.hint("merge"), "root").select("fp", "component_id"), "fingerprint-components")
+    out = rows.join(known.hint("merge"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(row, shingles, n, counts): the distinct n-word shingles of a text as hashes, and how many fall into each of some bins."""
+def _sketches(texts: DataFrame, n: int) -> DataFrame:
+    """(row, n, bits): how many distinct n-word shingles a text has, and the bits that their hashes set."""
+
+    def bits(hashes: np.ndarray) -> np.ndarray:
+        size = SKETCH_BITS
+        while size < BITS_EACH * len(hashes):
+            size *= 2
+        out = np.zeros(size, np.uint8)
+        out[(hashes % np.uint64(size)).astype(np.int64)] = 1
+        return np.packbits(out, bitorder="little").view("<i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(words_of(t), n)) for t in batch.column("text").to_pylist()]
-            counts = [np.bincount((x % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32) for x in sets]
-            arrays = [batch.column("row"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "shingles", "n", "counts"])
+            arrays = [batch.column("row"), pa.array([len(x) for x in sets], pa.int32()), pa.array([bits(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "n", "bits"])
 
     rows = texts.select("row", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row long, shingles array<long>, n int, counts array<int>")
+    return rows.mapInArrow(run, "row long, n int, bits array<long>")
+
 
+def _enough(both: Column, a: Column, b: Column, similarity: float) -> Column:
+    return both >= F.lit(similarity) * (a + b - both)
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) whose shingle sets have the Jaccard similarity.
 
-    Two sets share no more than the smaller counts of their bins add up to; pairs that this rules out, which none of that
-    similarity can be, never carry their sets through a shuffle.
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) that may have the Jaccard similarity, by their sets' sizes and then by their sketches.
+
+    A bit that one sketch alone has set stands for a shingle at least that the other text has not. Sizes of alike sets differ
+    by less than twice, and so do their sketches; the larger one is folded.
+    """
+    sizes = sketches.select("row", "n")
+    may = pairs.join(sizes.toDF("x", "m").hint("merge"), "x").join(sizes.toDF("y", "n").hint("merge"), "y")
+    may = common.stored(may.where(_enough(F.least("m", "n"), F.col("m"), F.col("n"), similarity)).select("x", "y"), "near-sized")
+    slim = _of_pairs(sketches, may)
+    may = may.join(slim.toDF("x", "m", "s").hint("merge"), "x").join(slim.toDF("y", "n", "t").hint("merge"), "y")
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), lambda a, b: a.bitwiseOR(b))).otherwise(F.col(c))
+    may = may.select("x", "y", "m", "n", folded("s", "t").alias("s"), folded("t", "s").alias("t"))
+    # One walk over both: the bits that one alone has set.
+    own = F.zip_with("s", "t", lambda a, b: F.struct(F.bit_count(a.bitwiseAND(F.bitwise_not(b))).alias("a"), F.bit_count(b.bitwiseAND(F.bitwise_not(a))).alias("b")))
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    add = lambda z, e: F.struct((z["a"] + e["a"]).alias("a"), (z["b"] + e["b"]).alias("b"))
+    may = may.select("x", "y", "m", "n", F.explode(F.array(F.aggregate(own, zero, add))).alias("own"))
+    most = F.least(F.col("m") - F.col("own.a"), F.col("n") - F.col("own.b"))
+    return common.stored(may.where(_enough(most, F.col("m"), F.col("n"), similarity)).select("x", "y"), "near-likely")
+
+
+def _alike(may: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose texts' shingle sets have the Jaccard similarity.
+
+    Texts are shuffled, not their sets, which are several times as large; a text goes once to each `AT_ONCE` texts that it is
+    compared with.
     """
-    enough = lambda both, a, b: both >= F.lit(similarity) * (a + b - both)
-    sizes = sets.select("row", "n")
-    may = pairs.join(sizes.toDF("x", "m"), "x").join(sizes.toDF("y", "n"), "y")
-    may = common.stored(may.where(enough(F.least("m", "n"), F.col("m"), F.col("n"))).select("x", "y"), "near-sized")
-    slim = _of_pairs(sets.select("row", "n", "counts"), may)
-    may = may.join(slim.toDF("x", "m", "s"), "x").join(slim.toDF("y", "n", "t"), "y")
-    most = F.aggregate(F.zip_with("s", "t", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    may = common.stored(may.where(enough(most, F.col("m"), F.col("n"))).select("x", "y"), "near-likely")
-    full = _of_pairs(sets.select("row", "shingles"), may)
-    checked = may.join(full.toDF("x", "s"), "x").join(full.toDF("y", "t"), "y")
-    return checked.where(enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    crowded = common.stored(may.groupBy("x").agg(F.count("*").alias("n")).where(f"n > {AT_ONCE}"), "near-crowded")
+    dealt = F.pmod(F.xxhash64("y"), F.coalesce(F.ceil(F.col("n") / AT_ONCE), F.lit(1))).cast("int")
+    dealt = common.stored(may.join(_sent(crowded), "x", "left").select("x", dealt.alias("part"), "y"), "near-dealt")
+    heads = dealt.select("x", "part").distinct().select("x", "part", F.lit(0).alias("member"), F.col("x").alias("row"))
+    places = common.stored(heads.unionByName(dealt.select("x", "part", F.lit(1).alias("member"), F.col("y").alias("row"))), "near-places")
+    placed = _of_pairs(texts, may).join(_sent(places), "row").select("x", "part", "member", "row", F.col("text").cast("binary").alias("text"))
+    placed = placed.repartition("x", "part").sortWithinPartitions("x", "part", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for x, member, row, text in zip(*(batch.column(c).to_pylist() for c in ("x", "member", "row", "text"))):
+                own = np.unique(shingle_hashes(words_of(text), shingle))
+                if not member:
+                    head = own
+                    continue
+                both = len(np.intersect1d(head, own, assume_unique=True))
+                if both >= similarity * (len(head) + len(own) - both):
+                    a.append(x)
+                    b.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
 
 
 def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -218,8 +268,34 @@ def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _sent(rows: DataFrame) -> DataFrame:
-    """Numbers of rows: where they are few they are sent to the texts, else both sides are shuffled."""
-    return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows
+    """Numbers of rows: where they are few they are sent to the texts, else both sides are shuffled.
+
+    Never left to Spark, which would take a table that it cannot size, as after an explode or of few bytes on disk, for a
+    small one and gather it in the driver.
+    """
+    return F.broadcast(rows) if rows.count() <= KEYS_SENT else rows.hint("merge")
+
+
+def _of_keys(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The index joined with some of its keys: where these are too many to be sent, a sieve of their bits is, of one size
+    whatever their number, so that little else of the index is shuffled."""
+    if keys.count() <= KEYS_SENT:
+        return index.join(F.broadcast(keys), "key")
+    words = SIEVE_WORDS
+    place = lambda: F.pmod("key", F.lit(words * 64))
+    word = lambda: F.expr(f"CAST(pmod(key, {words * 64}L) div 64 AS INT)")
+    bits = keys.groupBy(word().alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place() % 64).cast("int"))).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(words, np.int64)
+        for batch in batches:
+            out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.int64()))], ["sieve"])
+
+    sieve = common.stored(bits.coalesce(1).mapInArrow(run, "sieve array<long>"), "near-sieve")
+    met = F.call_function("shiftright", F.get("sieve", word()), (place() % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    some = index.crossJoin(F.broadcast(sieve)).where(met).select(*index.columns)
+    return some.join(keys.hint("merge"), "key")
 
 
 def _crowds(prints: DataFrame, distance: int, seed_no: int) -> DataFrame:
@@ -233,7 +309,7 @@ def _crowds(prints: DataFrame, distance: int, seed_no: int) -> DataFrame:
     index = variants(own, distance, ("fp", "n", "first"), seed_no)
     # The marks of all keys would be most of the disk; only shared keys have them.
     keys = common.stored(index.groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1"), "near-keys")
-    shared = common.stored(index.join(_sent(keys), "key").select("key", "fp", "n", "rows", "first"), "near-shared-keys")
+    shared = common.stored(_of_keys(index, keys).select("key", "fp", "n", "rows", "first"), "near-shared-keys")
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"mark{k}") for k in (1, 2)]
     each = shared.groupBy("key").agg(F.count("*").alias("prints"), F.first("rows").alias("rows"), *marks)
     each = common.stored(each.groupBy("prints", "rows", "mark1", "mark2").agg(F.min("key").alias("key")).select("key"), "near-distinct-keys")
@@ -253,9 +329,9 @@ def _first_candidates(crowds: DataFrame, prints: DataFrame, distance: int, bucke
     fingerprint's, and each row with its fingerprint's first."""
     few, many = crowds.where(f"rows <= {bucket}"), crowds.where(f"rows > {bucket}")
     one = few.select("key", F.col("seed").alias("s"), F.col("fp").alias("a"))
-    close = one.join(few.select("key", F.col("fp").alias("b")), "key").where("a <= b").where(_near("a", "b", distance)).select("s", "a", "b").distinct()
+    close = one.join(few.select("key", F.col("fp").alias("b")).hint("merge"), "key").where("a <= b").where(_near("a", "b", distance)).select("s", "a", "b").distinct()
     left, right = prints.select(F.col("row").alias("x"), F.col("seed").alias("s"), F.col("fp").alias("a")), prints.select(F.col("row").alias("y"), F.col("seed").alias("s"), F.col("fp").alias("b"))
-    pairs = close.join(left, ["s", "a"]).join(right, ["s", "b"]).where("a < b OR x < y").select("x", "y")
+    pairs = close.join(left.hint("merge"), ["s", "a"]).join(right.hint("merge"), ["s", "b"]).where("a < b OR x < y").select("x", "y")
     least = common.stored(many.groupBy("key").agg(F.min(F.struct("fp", "first")).alias("least")).select("key", F.col("least.fp").alias("a"), F.col("least.first").alias("x")), "near-least")
     starred = many.join(_sent(least), "key").where(_near("a", "fp", distance)).select("x", F.col("first").alias("y"))
     shared = many.where("n > 1").select("seed", "fp", "first").distinct()
@@ -263,41 +339,77 @@ def _first_candidates(crowds: DataFrame, prints: DataFrame, distance: int, bucke
     return common.stored(_ordered(pairs.unionByName(starred).unionByName(shared)), "near-candidates")
 
 
-def _linked(crowds: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, distance: int, bucket: int, found: DataFrame) -> DataFrame:
+def _grouped(rows: DataFrame, row: str, roots: DataFrame, group: str) -> DataFrame:
+    """`rows` with the group of the row that a column names; a row without a root is a group of its own."""
+    return rows.join(roots.select(F.col("node").alias(row), F.col("root").alias("__root")).hint("merge"), row, "left").withColumn(group, F.coalesce("__root", row)).drop("__root")
+
+
+def _connected(pairs: DataFrame, roots: DataFrame, texts: DataFrame, sketches: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of `roots` joined further by the pairs (x, y) that are alike.
+
+    Only what connects is looked for: while there are many pairs, every group is compared with one other by a single pair, then
+    with up to sixteen times as many, and pairs that have come into one group meanwhile are left out. So the texts that a step
+    shuffles are about as many as the groups, however many pairs a group of near copies has.
+    """
+    left, tries = _likely(pairs, sketches, similarity), 1
+    while True:
+        left = _grouped(_grouped(left.select("x", "y"), "x", roots, "gx"), "y", roots, "gy").where("gx <> gy")
+        left = common.stored(left, "near-left")
+        n = left.count()
+        if not n:
+            return roots
+        low, high = F.least("gx", "gy"), F.greatest("gx", "gy")
+        chosen = left.select("x", "y", low.alias("low"), high.alias("high"))
+        if n > PAIRS_AT_ONCE:
+            part = F.pmod(F.xxhash64("low", "x", "y"), F.lit(tries)).alias("part")
+            chosen = common.stored(chosen.groupBy("high", part).agg(F.min(F.struct("low", "x", "y")).alias("one")).select("one.*", "high"), "near-chosen")
+        found = _alike(chosen.select("x", "y"), texts, shingle, similarity)
+        found = common.stored(chosen.join(found.toDF("x", "y").hint("merge"), ["x", "y"]).select(F.col("low").alias("a"), F.col("high").alias("b")), "near-found")
+        if not found.isEmpty():
+            linked = common.stored(graph.components(found, "near-components"), "near-linked")
+            moved = roots.join(linked.toDF("root", "__to").hint("merge"), "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+            alone = linked.join(roots.select("node").hint("merge"), "node", "left_anti")
+            roots = common.stored(moved.unionByName(alone.select("node", "root")), "near-roots")
+        if n <= PAIRS_AT_ONCE:
+            return roots
+        left = left.join(chosen.select("x", "y").hint("merge"), ["x", "y"], "left_anti")
+        tries *= 16
+
+
+def _linked(crowds: DataFrame, prints: DataFrame, texts: DataFrame, sketches: DataFrame, shingle: int, similarity: float, distance: int, bucket: int, found: DataFrame) -> DataFrame:
     """(node, root) of the rows that alike candidates connect, all candidates of crowded keys included.
 
     Under a key of more than `bucket` rows pairs are not formed at once. In each round it names rows outside its largest group,
     which are compared with all its rows of other groups, eight times as many in each round, until every row outside the
     largest group has been named. A pair that was never compared is then of one group already.
     """
-    roots = common.stored(graph.components(_alike(found, sets, similarity), "near-components"), "near-roots")
+    none = found.select(F.col("x").alias("node"), F.col("x").alias("root")).limit(0)
+    roots = _connected(found, none, texts, sketches, shingle, similarity)
     many = common.stored(crowds.where(f"rows > {bucket}").select("key", "seed", "fp"), "near-many")
     if many.isEmpty():
         return roots
     inside = common.stored(prints.join(_sent(common.stored(many.select("seed", "fp").distinct(), "near-inside")), ["seed", "fp"]), "near-inside-rows")
     done, names = None, 8
     while True:
-        placed = inside.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "seed", "fp", F.coalesce("root", "row").alias("group"))
-        placed = common.stored(placed, "near-placed")
+        placed = common.stored(_grouped(inside, "row", roots, "group").select("row", "seed", "fp", "group"), "near-placed")
         cells = common.stored(placed.groupBy("seed", "fp", "group").agg(F.count("*").alias("n")), "near-cells")
-        held = many.join(cells, ["seed", "fp"])
+        held = many.join(cells.hint("merge"), ["seed", "fp"])
         groups = held.groupBy("key", "group").agg(F.sum("n").alias("n"))
         largest = groups.groupBy("key").agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
         largest = common.stored(largest.select("key", F.col("most.group").alias("largest")), "near-largest")
         # Only keys of several groups are left.
         held = common.stored(held.join(_sent(largest), "key").select("key", "seed", "fp", "group", "largest"), "near-held")
         fresh = placed if done is None else placed.join(_sent(done), "row", "left_anti")
-        outside = held.where("group <> largest").select("key", "seed", "fp", "group").join(fresh, ["seed", "fp", "group"])
+        outside = held.where("group <> largest").select("key", "seed", "fp", "group").join(fresh.hint("merge"), ["seed", "fp", "group"])
         named = outside.groupBy("key", F.pmod(F.xxhash64("row"), F.lit(names)).alias("part")).agg(F.min("row").alias("row"))
         named = common.stored(named.select("row").distinct(), "near-named")
         if named.isEmpty():
             return roots
         mine = placed.join(_sent(named), "row").select(F.col("row").alias("x"), "seed", F.col("fp").alias("a"), F.col("group").alias("own"))
-        mine = common.stored(mine.join(held.select("key", "seed", F.col("fp").alias("a"), F.col("group").alias("own")), ["seed", "a", "own"]).select("key", "x", "a", "own"), "near-mine")
+        mine = common.stored(mine.join(held.select("key", "seed", F.col("fp").alias("a"), F.col("group").alias("own")).hint("merge"), ["seed", "a", "own"]).select("key", "x", "a", "own"), "near-mine")
         meets = held.join(_sent(mine), "key").where("group <> own").where(_near("a", "fp", distance)).select("x", "seed", "fp", "group").distinct()
         pairs = common.stored(_ordered(placed.join(_sent(common.stored(meets, "near-meets")), ["seed", "fp", "group"]).select("x", F.col("row").alias("y"))), "near-pairs")
-        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_alike(pairs, sets, similarity))
-        roots = common.stored(graph.components(edges, "near-components"), "near-roots")
+        roots = _connected(pairs, roots, texts, sketches, shingle, similarity)
         done = named if done is None else common.stored(done.unionByName(named), "near-done")
         names *= 8
 
@@ -316,9 +428,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     words = F.lower(F.trim(F.regexp_replace(text, common.BLANK, " ")))
     named = common.stored(stored.select("row", F.col("doc.doc_id").alias("doc_id"), F.md5(words).alias("digest")), "near-digests")
     same = common.stored(named.groupBy("digest").agg(F.min("row").alias("head")), "near-heads")
-    named = common.stored(named.join(same, "digest").select("row", "doc_id", "head"), "near-rows")
+    named = common.stored(named.join(same.hint("merge"), "digest").select("row", "doc_id", "head"), "near-rows")
     texts = stored.select("row", F.col("doc.text").alias("text"))
-    prints = with_fingerprints(texts, 1, seeds).join(same.select(F.col("head").alias("row")), "row", "left_semi")
+    prints = with_fingerprints(texts, 1, seeds).join(same.select(F.col("head").alias("row")).hint("merge"), "row", "left_semi")
     prints = common.stored(prints.select("row", F.posexplode("fps").alias("seed", "fp")), "near-fingerprints")
 
     crowds = None
@@ -329,14 +441,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seed
     found = _first_candidates(crowds, prints, distance, bucket)
     some = found.select(F.col("x").alias("row")).unionByName(found.select(F.col("y").alias("row")))
     crowded = crowds.where(f"rows > {bucket}").select("seed", "fp").distinct()
-    some = some.unionByName(prints.join(crowded, ["seed", "fp"]).select("row")).distinct()
-    sets = common.stored(_shingle_sets(texts.join(_sent(common.stored(some, "near-some")), "row", "left_semi"), shingle), "near-shingles")
+    some = some.unionByName(prints.join(_sent(common.stored(crowded, "near-crowded-prints")), ["seed", "fp"]).select("row")).distinct()
+    sketches = common.stored(_sketches(texts.join(_sent(common.stored(some, "near-some")), "row", "left_semi"), shingle), "near-sketches")
     # Texts without words have no shingles and one digest; they never meet here.
-    roots = _linked(crowds, prints, sets, similarity, distance, bucket, found)
-    groups = named.join(roots.select(F.col("node").alias("head"), "root"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
+    roots = _linked(crowds, prints, texts, sketches, shingle, similarity, distance, bucket, found)
+    groups = named.join(roots.select(F.col("node").alias("head"), "root").hint("merge"), "head", "left").select("row", "doc_id", F.coalesce("root", "head").alias("root"))
     groups = common.stored(groups, "near-groups")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     best = common.stored(groups.groupBy("root").agg(least.alias("best")).select("root", F.col("best.row").alias("stays")), "near-best")
-    gone = common.stored(groups.join(best, "root").where("row <> stays").select("row"), "near-gone")
+    gone = common.stored(groups.join(best.hint("merge"), "root").where("row <> stays").select("row"), "near-gone")
     kept = stored.join(_sent(gone), "row", "left_anti")
     return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, max_chars: int
     rows = docs.where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = rows.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
     # Which documents, from slim rows; then their texts.
-    known = rows.select("doc_id", "__h").join(marks, F.col("doc_id") == F.col("__id")).select("__id", "__h", "toxic")
+    known = rows.select("doc_id", "__h").join(marks.hint("merge"), F.col("doc_id") == F.col("__id")).select("__id", "__h", "toxic")
     chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy("__h", "__id").limit(max_docs).collect()]
     chosen = docs.sparkSession.createDataFrame(list(dict.fromkeys((r[0], r[2]) for r in chosen)), marks.schema)
     rows = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic", "__h")

@@ -206,3 +206,51 @@ def test_original_in_the_middle_of_its_copies(spark):
     texts, _ = star_of_copies(60, 200)
     left = len(kept_of(spark, texts))
     assert left == reached(texts, 3), left
+
+
+def crowd(n, words=200, shared=0.75, seed=8):
+    """Texts that share so much of their words, and pairs of near copies among them."""
+    rng = random.Random(seed)
+    base = [f"v{int(3000 * rng.random() ** 3)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        own = changed(rng, base, int(words * (1 - shared) / 5))
+        texts += [" ".join(own), " ".join(changed(rng, own, 2))]
+    return texts
+
+
+def test_few_texts_are_compared_in_a_crowd_that_is_not_alike(spark, monkeypatch):
+    """Pairs that cannot be alike are ruled out by their sketches, and none that is alike; groups are joined all the same."""
+    texts = crowd(30)
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    both = spark.createDataFrame(pairs, "x long, y long")
+    sketches = simhash._sketches(rows, 5)
+    alike = set(near_pairs(texts))
+    likely = {(r.x, r.y) for r in simhash._likely(both, sketches, 0.8).collect()}
+    assert alike <= likely and len(likely) < 0.2 * len(pairs) and len(alike) >= 30
+    assert {(r.a, r.b) for r in simhash._alike(both, rows, 5, 0.8).collect()} == alike
+    none = spark.createDataFrame([], "node long, root long")
+    want = components(range(60), lambda a, b: (b, a) in alike or (a, b) in alike)
+    for at_once, each in ((10_000, 64), (1, 1)):
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "AT_ONCE", each)
+        root = {k: k for k in range(60)} | {r.node: r.root for r in simhash._connected(both, none, rows, sketches, 5, 0.8).collect()}
+        parts = lambda root: {frozenset(n for n in root if root[n] == r) for r in root.values()}
+        assert parts(root) == parts(want)
+
+
+def test_tables_too_long_to_be_sent_never_go_to_the_driver(spark, monkeypatch):
+    """An index that is exploded from few bytes, and keys that are many: neither is gathered, and no row is lost."""
+    texts = crowd(25)
+    kept = kept_of(spark, texts)
+    prints = spark.createDataFrame([(k, 0, slow_fingerprint(t, 1) - 2**63) for k, t in enumerate(texts)], "row long, seed int, fp long")
+    few = sorted(map(tuple, simhash._crowds(prints, 3, 0).select("key", "fp").collect()))
+    monkeypatch.setattr(simhash, "KEYS_SENT", 0)
+    monkeypatch.setattr(simhash, "SIEVE_WORDS", 4)
+    crowds = simhash._crowds(prints, 3, 0)
+    index = simhash._of_keys(simhash.variants(prints.select("fp"), 3), crowds.select("key").distinct())
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert sorted(map(tuple, crowds.select("key", "fp").collect())) == few and few
+    assert kept_of(spark, texts) == kept
