@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ from aerolens.functions.angles import js_round
 from aerolens.functions.crs import METRES_PER_FOOT, grid_to_lonlat, lonlat_to_grid
 from aerolens.functions.quads import distance
 from aerolens.operators.gridjoin import points_in_shapes, points_near_edges
-from aerolens.operators.terrain import with_heights
+from aerolens.operators.terrain import cut_out, heights_within
 from aerolens.session import staged
 
 # Kinds with the fewest and most vertices, and what stands in for missing properties.
@@ -353,35 +354,85 @@ def side_lengths(vertices: DataFrame, closed: Column, mode3d: bool = False) -> D
     return df.select("meas_id", F.col("seq").alias("a"), F.col("b.seq").alias("b"), feet.alias("feet"))
 
 
+#: Grid points of an outline that are worked on at once.
+POINTS_AT_ONCE = 1 << 18
+
+
+def _inside_grid(rx: np.ndarray, ry: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a grid that lie inside an outline, by the test of `rings.inside`."""
+    odd = np.zeros((len(ys), len(xs)), bool)
+    for ax, ay, bx, by in zip(rx, ry, np.roll(rx, -1), np.roll(ry, -1)):
+        rows = np.flatnonzero((ay <= ys) != (by <= ys))
+        turn = (bx - ax) * (ys[rows, None] - ay) - (xs[None, :] - ax) * (by - ay)
+        odd[rows] ^= np.where((ay <= ys[rows])[:, None], turn > 0, turn < 0)
+    j, i = np.nonzero(odd)
+    return xs[i], ys[j]
+
+
+def _slope_factors(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
+    """Sum and number of the slope factors at places of one outline, those that have a height on all four sides."""
+    d, h = row["d"], []
+    for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+        px, py = x + a * d, y + b * d
+        z = heights_within(px, py, row)
+        if row.get("base") is not None:
+            z = np.where(np.isnan(z), row["base"] + row["east"] * (px - row["bx0"]) + row["north"] * (py - row["by0"]), z)
+        h.append(z)
+    gx, gy = (h[0] - h[1]) / (2 * d), (h[2] - h[3]) / (2 * d)
+    factor = np.sqrt(1 + gx * gx + gy * gy)
+    factor = factor[~np.isnan(factor)]
+    return float(factor.sum()), len(factor)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            rx, ry, sp = np.array(row["rx"], float), np.array(row["ry"], float), row["sp"]
+            steps = [np.arange(max(0, math.ceil((row[hi] - row[lo]) / sp - 0.5) - 1) + 1) for lo, hi in (("bx0", "bx1"), ("by0", "by1"))]
+            xs, ys = row["bx0"] + sp * (steps[0] + 0.5), row["by0"] + sp * (steps[1] + 0.5)
+            total, n = 0.0, 0
+            each = max(1, POINTS_AT_ONCE // len(xs))
+            for at in range(0, len(ys), each):
+                part = _slope_factors(row, *_inside_grid(rx, ry, xs, ys[at : at + each]))
+                total, n = total + part[0], n + part[1]
+            out.append((row["shape_id"], total, n, *_slope_factors(row, np.array([row["mx"]]), np.array([row["my"]]))))
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, [batch.schema.field("shape_id"), *SUMS])], ["shape_id", *(f.name for f in SUMS)])
+
+
+#: Sums and numbers of the factors of the samples inside an outline and of the one that stands in for them.
+SUMS = [pa.field("total", pa.float64()), pa.field("n", pa.int64()), pa.field("spare", pa.float64()), pa.field("n_spare", pa.int64())]
+
+
 def surface_areas(outlines: DataFrame, patches: DataFrame, samples: int = SURFACE_SAMPLES) -> DataFrame:
     """Area of the terrain surface under each outline (shape_id, patch_id, ring): flat area times the mean slope factor.
 
-    Samples are exploded, kept inside the outline, and their four neighbours looked up in one join; a sliver between the
+    Samples on a grid are kept inside the outline, and the heights of their four neighbours looked up; a sliver between the
     samples is judged at the mean of its vertices. Where the patch has no height, or there is none, the plane through the photo's
-    footprint stands in for it, if the outlines carry its corners (x0 to z3).
+    footprint stands in for it, if the outlines carry its corners (x0 to z3). An outline meets the part of its patch under
+    it once, and all its samples are worked out there: none is a row of a table.
     """
-    corners = [f"{a}{n}" for n in range(4) for a in "xyz"] if "z3" in outlines.columns else []
     x0, y0, x1, y1 = rings.box(F.col("ring"))
     df = outlines.withColumns({"flat": rings.area(F.col("ring")), "bx0": x0, "by0": y0, "bx1": x1, "by1": y1}).where((F.size("ring") >= 3) & (F.col("flat") > 0))
     spacing = F.greatest(F.lit(1.0), F.sqrt((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")) / samples))
     df = rings.settle(df.withColumns({"sp": spacing, "mx": rings.total(rings.x_of(F.col("ring")), lambda v: v) / F.size("ring"), "my": rings.total(rings.y_of(F.col("ring")), lambda v: v) / F.size("ring")}), "flat", "sp", "bx0", "by0", "bx1", "by1", "mx", "my")
     df = df.withColumn("d", F.greatest(F.lit(2.0), F.col("sp") / 2))
-    count = lambda lo, hi: F.greatest(F.lit(0), F.ceil((F.col(hi) - F.col(lo)) / F.col("sp") - 0.5) - 1).cast("int")
-    grid = df.withColumn("i", F.explode(F.sequence(F.lit(0), count("bx0", "bx1")))).withColumn("j", F.explode(F.sequence(F.lit(0), count("by0", "by1"))))
-    grid = rings.settle(grid.withColumns({"sx": F.col("bx0") + F.col("sp") * (F.col("i") + 0.5), "sy": F.col("by0") + F.col("sp") * (F.col("j") + 0.5)}), "sx", "sy")
-    grid = grid.where(rings.inside(F.col("ring"), F.col("sx"), F.col("sy"))).select("shape_id", "patch_id", "d", "sx", "sy", F.lit(False).alias("spare"), *corners)
-    spare = df.select("shape_id", "patch_id", "d", F.col("mx").alias("sx"), F.col("my").alias("sy"), F.lit(True).alias("spare"), *corners)
-    every = grid.unionByName(spare)
-    offs = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])])
-    legs = every.withColumn("o", F.explode(offs)).withColumns({"x": F.col("sx") + F.col("o.a") * F.col("d"), "y": F.col("sy") + F.col("o.b") * F.col("d")})
-    high = with_heights(legs, patches, name="h", asked=outlines)
-    if corners:
-        high = high.withColumn("h", F.coalesce("h", quads.plane_height(quads.corners(), quads.heights(), F.col("x"), F.col("y")))).drop(*corners)
-    at = lambda n: F.max(F.when(F.col("o.n") == n, F.col("h")))
-    slopes = high.groupBy("shape_id", "spare", "sx", "sy", "d").agg(((at(0) - at(1)) / (2 * F.first("d"))).alias("gx"), ((at(2) - at(3)) / (2 * F.first("d"))).alias("gy"))
-    factor = F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    means = slopes.groupBy("shape_id").agg(F.avg(F.when(~F.col("spare"), factor)).alias("m"), F.avg(F.when(F.col("spare"), factor)).alias("s"))
-    return df.select("shape_id", "flat").join(means, "shape_id").select("shape_id", "flat", (F.col("flat") * F.coalesce("m", "s")).alias("surface"))
+    near = {"__x0": F.col("bx0") - F.col("d"), "__y0": F.col("by0") - F.col("d"), "__x1": F.col("bx1") + F.col("d"), "__y1": F.col("by1") + F.col("d")}
+    own = {"rx": rings.x_of(F.col("ring")), "ry": rings.y_of(F.col("ring"))}
+    if "z3" in outlines.columns:
+        plane = lambda x, y: quads.plane_height(quads.corners(), quads.heights(), x, y)
+        base = plane(F.col("bx0"), F.col("by0"))
+        own |= {"base": base, "east": (plane(F.col("bx0") + 1024, F.col("by0")) - base) / 1024, "north": (plane(F.col("bx0"), F.col("by0") + 1024) - base) / 1024}
+    slim = df.where(F.col("shape_id").isNotNull()).select("shape_id", "patch_id", "d", "sp", "bx0", "by0", "bx1", "by1", "mx", "my", *[c.alias(n) for n, c in (own | near).items()])
+    cut = cut_out(slim, patches, tuple(near)).drop("patch_id", *near)
+    # Rows are few and small for the work in them.
+    dealt = cut.repartition(math.ceil(math.sqrt(outlines.count() + 1)))
+    schema = T.StructType([cut.schema["shape_id"], *[T.StructField(f.name, T.LongType() if f.type == pa.int64() else T.DoubleType()) for f in SUMS]])
+    sums = dealt.mapInArrow(_sampled, schema).groupBy("shape_id").agg(*[F.sum(f.name).alias(f.name) for f in SUMS])
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n))
+    means = sums.select("shape_id", mean("total", "n").alias("m"), mean("spare", "n_spare").alias("s"))
+    return df.select("shape_id", "flat").join(means.hint("merge"), "shape_id").select("shape_id", "flat", (F.col("flat") * F.coalesce("m", "s")).alias("surface"))
 
 
 def readings(measures: DataFrame) -> DataFrame:

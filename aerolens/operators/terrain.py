@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Cells of a block, each way.
@@ -83,3 +84,47 @@ def with_heights(places: DataFrame, patches: DataFrame, x: str = "x", y: str = "
     weight = sum(F.when(F.col(c).isNotNull(), w + extra).otherwise(0.0) for c, w in weights.items())
     out = F.when(weight > 1e-9, total / weight)
     return df.select(*places.columns, out.alias(name))
+
+
+def cut_out(boxes: DataFrame, patches: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
+    """`boxes` with the part of their patch (patch_id) that heights within a box depend on, for `heights_within`.
+
+    Adds the patch's placement (`headers`), the first column and row of the part, its number of columns, and its heights in rows
+    one after another; NULL where there is no patch. A patch is copied to no row whole, but for boxes as large as it.
+    """
+    own = headers(patches).columns
+    known = patches.select(*headers(patches).columns[:1], "cellSize", "lowerLeftX", "lowerLeftY", F.size(F.col("value")[0]).alias("cols"), F.size("value").alias("rows"), "noDataValue", "value").toDF(*own, "__value")
+    df = boxes.join(known.hint("merge"), "patch_id", "left")
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    # A cell more on each side, so that rounding leaves none out.
+    at = lambda v, first, n, more: F.floor(F.least(F.greatest((v - F.col(first)) / F.col("cell") + F.lit(more), F.lit(0.0)), (F.col(n) - 1).cast("double"))).cast("int")
+    df = df.withColumns({"i0": at(x0, "left", "cols", -2.0), "i1": at(x1, "left", "cols", 2.0), "j0": at(y0, "low", "rows", -2.0), "j1": at(y1, "low", "rows", 2.0)})
+    wide = F.col("i1") - F.col("i0") + 1
+    part = F.transform(F.slice("__value", F.col("j0") + 1, F.col("j1") - F.col("j0") + 1), lambda r: F.slice(r, F.col("i0") + 1, wide))
+    return df.withColumns({"wide": wide, "part": F.flatten(part)}).drop("__value", "i1", "j1")
+
+
+def heights_within(x: np.ndarray, y: np.ndarray, cut: dict) -> np.ndarray:
+    """The heights of `with_heights` at places within the box of one row of `cut_out`; not a number where there is none."""
+    if cut["part"] is None or cut["none"] is None or any(cut[c] is None for c in ("cell", "left", "low", "cols", "rows")):
+        return np.full(len(x), np.nan)
+    cell, left, low, cols, rows = (cut[c] for c in ("cell", "left", "low", "cols", "rows"))
+    z = np.asarray(cut["part"], float).reshape(-1, cut["wide"])
+    z = np.where(np.isfinite(z) & (z != cut["none"]), z, np.nan)
+    within = (x >= left) & (x <= left + cols * cell) & (y >= low) & (y <= low + rows * cell)
+    u, v = np.clip((x - left) / cell - 0.5, 0.0, cols - 1.0), np.clip((y - low) / cell - 0.5, 0.0, rows - 1.0)
+    i, j = (np.maximum(np.minimum(np.floor(at), n - 2), 0) for at, n in ((u, cols), (v, rows)))
+    fu, fv = u - i, v - j
+    # Places off the patch read some cell, and have no height.
+    hold = lambda at, first, n: np.clip(np.nan_to_num(at) - first, 0, n - 1).astype(np.int64)
+    i, i1 = hold(i, cut["i0"], z.shape[1]), hold(np.minimum(i + 1, cols - 1), cut["i0"], z.shape[1])
+    j, j1 = hold(j, cut["j0"], z.shape[0]), hold(np.minimum(j + 1, rows - 1), cut["j0"], z.shape[0])
+    corners = [z[j, i], z[j, i1], z[j1, i], z[j1, i1]]
+    weights = [(1 - fu) * (1 - fv), fu * (1 - fv), (1 - fu) * fv, fu * fv]
+    gaps = [np.isnan(c) for c in corners]
+    extra = np.where(gaps[0] | gaps[1] | gaps[2] | gaps[3], 0.05, 0.0)
+    total, weight = np.zeros(len(x)), np.zeros(len(x))
+    for c, w, gap in zip(corners, weights, gaps):
+        total += np.where(gap, 0.0, np.nan_to_num(c) * (w + extra))
+        weight += np.where(gap, 0.0, w + extra)
+    return np.where(within & (weight > 1e-9), total / np.where(weight > 1e-9, weight, 1.0), np.nan)
