@@ -26,6 +26,11 @@ def _spread(views: DataFrame, n: int) -> DataFrame:
     return grid.select("view_id", "pi", "pj", gx.alias("gx"), gy.alias("gy"))
 
 
+def with_places(rows: DataFrame, views: DataFrame, n: int) -> DataFrame:
+    """Rows of views with each of a view's places, always merged: exploded places are left out of Spark's sizes."""
+    return rows.join(_spread(views, n).hint("merge"), "view_id")
+
+
 def read_plan(views: DataFrame, frames: DataFrame, levels: DataFrame, screen_px: float = 1000.0, lim: int = 6) -> DataFrame:
     """One row per photo a view needs: level and tile rectangle, within the tile budget the view's photos share.
 
@@ -35,9 +40,9 @@ def read_plan(views: DataFrame, frames: DataFrame, levels: DataFrame, screen_px:
     rounded = imagery.shared_boxes(views)
     shared = rounded.groupBy(*BOX).agg(F.min("view_id").alias("shared_id"))
     same = reduce(and_, [rounded[c].eqNullSafe(shared[c]) for c in BOX])
-    members = rounded.join(shared, same).select("view_id", "shared_id")
+    members = rounded.join(shared.hint("merge"), same).select("view_id", "shared_id")
     plan = _plan(shared.withColumnRenamed("shared_id", "view_id"), frames, levels, screen_px, lim)
-    return members.join(plan.withColumnRenamed("view_id", "shared_id"), "shared_id").drop("shared_id")
+    return members.join(plan.withColumnRenamed("view_id", "shared_id").hint("merge"), "shared_id").drop("shared_id")
 
 
 def _ground(columns) -> Column:
@@ -47,20 +52,21 @@ def _ground(columns) -> Column:
 
 
 def _plan(boxes: DataFrame, frames: DataFrame, levels: DataFrame, screen_px: float, lim: int) -> DataFrame:
+    # Frames and picks compress well on disk: Spark would take them for small tables and gather them, so all joins are merged.
     wins = staged(select.frames_in_views(boxes, frames, lim))
     rig = frames.select("filename", *photo.RIG_COLUMNS, _ground(frames.columns).alias("gz"))
-    stack = wins.select("view_id", "filename", F.col("place").alias("priority")).join(rig, "filename")
-    fine = photo.photo_weights(stack.join(_spread(boxes, SPOTS), "view_id"))
+    stack = wins.select("view_id", "filename", F.col("place").alias("priority")).join(rig.hint("merge"), "filename")
+    fine = photo.photo_weights(with_places(stack, boxes, SPOTS))
     needed = photo.needed_frames(fine, ["view_id"], ["pi", "pj"]).where("needed").select("view_id", "priority")
-    kept = stack.join(needed, ["view_id", "priority"])
-    region = photo.regions_under(kept.join(_spread(boxes, OUTLINE_SPOTS), "view_id"), ["view_id", "filename"])
+    kept = stack.join(needed.hint("merge"), ["view_id", "priority"])
+    region = photo.regions_under(with_places(kept, boxes, OUTLINE_SPOTS), ["view_id", "filename"])
     region = region.select("view_id", "filename", *[F.col(c).alias("r" + c) for c in ("x0", "y0", "x1", "y1")])
     x0, _ = lonlat_to_grid(F.col("west"), F.col("south"))
     x1, _ = lonlat_to_grid(F.col("east"), F.col("south"))
     scale = F.lit(screen_px) / (x1 - x0)
     flat = boxes.select("view_id", scale.alias("ax"), F.lit(0.0).alias("bx"), F.lit(0.0).alias("ay"), (-scale).alias("by"))
-    sized = photo.max_screen_scales(region.join(rig, "filename").join(flat, "view_id"), ["view_id", "filename"])
-    ask = region.join(sized, ["view_id", "filename"]).join(imagery.tile_shares(kept, ["view_id"]), "view_id")
+    sized = photo.max_screen_scales(region.join(rig.hint("merge"), "filename").join(flat.hint("merge"), "view_id"), ["view_id", "filename"])
+    ask = region.join(sized.hint("merge"), ["view_id", "filename"]).join(imagery.tile_shares(kept, ["view_id"]).hint("merge"), "view_id")
     ask = ask.select(
         "view_id", F.col("filename").alias("photo"), F.col("rx0").alias("x0"), F.col("ry0").alias("y0"), F.col("rx1").alias("x1"),
         F.col("ry1").alias("y1"), F.col("scale").alias("need"), "per_frame",
